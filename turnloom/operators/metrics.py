@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import precision_recall
-from turnloom.plans.ordered import neighbours, running
+from turnloom.plans.ordered import blocked, neighbours, running
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -69,7 +69,7 @@ def coverage_overflow(ref: DataFrame, hyp: DataFrame, sizes: DataFrame, by: Sequ
     by = list(by)
     tag = lambda df, c: df.select(*by, "pos", F.lit(1).alias(c)).distinct()
     marks = tag(ref, "_r").join(tag(hyp, "_h"), [*by, "pos"], "full_outer")
-    blk = F.floor(F.col("pos") / F.lit(block))
+    marks, blk = blocked(marks, by, F.floor(F.col("pos") / F.lit(block))), "_b"
     here = F.when(F.col("_h").isNotNull(), F.col("pos"))
     m = running(marks, by, ["pos"], blk, {"scene": ("sum", F.coalesce("_r", F.lit(0))), "hyp_before": ("last", here)})
     m = running(m, by, ["pos"], blk, {"hyp_after": ("last", here)}, reverse=True)
@@ -78,7 +78,7 @@ def coverage_overflow(ref: DataFrame, hyp: DataFrame, sizes: DataFrame, by: Sequ
     piece = m.withColumn("piece", F.coalesce("next_mark", F.col("last_shot") + 1) - F.col("pos"))
     widest = piece.groupBy(*by, "scene").agg(F.max("piece").alias("widest"))
     r = m.where("_r = 1").select(*by, "scene", "pos", "hyp_before", "hyp_after", "last_shot")
-    sblk = F.floor(F.col("scene") / F.lit(block))
+    r, sblk = blocked(r, by, F.floor(F.col("scene") / F.lit(block))), "_b"
     r = neighbours(r, by, ["scene"], sblk, prev={"prev_inf": F.col("pos")}, nxt={"next_inf": F.col("pos"), "next_hyp": F.col("hyp_after")})
     r = neighbours(r, by, ["scene"], sblk, nxt={"next2_inf": F.col("next_inf")})
     r = r.withColumns({

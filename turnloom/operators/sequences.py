@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import preprocess
 from turnloom.functions.vectors import block_distance
-from turnloom.plans.ordered import band, islands, neighbours, running, time_block, with_halo
+from turnloom.plans.ordered import band, blocked, islands, neighbours, running, time_block, with_halo
 from turnloom.plans.rounds import find_roots
 
 STEP_MS = 500  # fixed value: interval between two measurements of the speech rate
@@ -173,9 +173,9 @@ def extract_bounded_lsus(shots: DataFrame, min_ms: int, max_ms: int, nested: boo
 def merge_summary(segs: DataFrame, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Merge selected segments that touch or overlap within an episode."""
     keys, order = list(keys), ["start_ms", "end_ms"]
-    r = running(segs, keys, order, time_block("start_ms"), {"_before": ("max", F.col("end_ms"))}, inclusive=False)
+    r = running(blocked(segs, keys, time_block("start_ms")), keys, order, "_b", {"_before": ("max", F.col("end_ms"))}, inclusive=False)
     r = r.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start_ms") > F.col("_before")), 1).otherwise(0).cast("long"))
-    i = running(r, keys, order, time_block("start_ms"), {"island": ("sum", F.col("_new"))})
+    i = running(r, keys, order, "_b", {"island": ("sum", F.col("_new"))})
     return i.groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 

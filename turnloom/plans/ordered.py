@@ -5,6 +5,10 @@ fails when one group holds a third of the data.  Every pass here works on
 blocks of a group instead: a column ``block`` that grows with the order (a time
 grid, or an index divided by a block length).  Rows are windowed per
 (group, block); one small row per block carries the state across blocks.
+
+The rows are shuffled once per pass: the window, the block totals and the join
+with the carried state all read the same exchange.  Chained passes share it too
+when the block is a column made by ``blocked`` and given by name.
 """
 
 from __future__ import annotations
@@ -21,6 +25,17 @@ def time_block(col: str, size: int = BLOCK_MS) -> Column:
     return F.floor(F.col(col) / F.lit(size))
 
 
+def blocked(df: DataFrame, keys: Sequence[str], block: Column, name: str = "_b") -> DataFrame:
+    """Add the block column and lay the rows out by (group, block) for several passes."""
+    return df.withColumn(name, block).repartition(*keys, name)
+
+
+def _laid_out(df: DataFrame, keys: list[str], block: Column | str) -> tuple[DataFrame, str]:
+    if isinstance(block, str):
+        return df, block
+    return blocked(df, keys, block, "_blk"), "_blk"
+
+
 def _local(kind: str, col: Column) -> Column:
     if kind == "last":
         return F.last(col, ignorenulls=True)
@@ -42,17 +57,17 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     reverse: bool = False,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min``/``last`` (last non-null) per group in order."""
     keys, order = list(keys), list(order)
-    src = df.withColumn("_blk", block)
+    src, blk = _laid_out(df, keys, block)
     flip = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     rows = (
-        Window.partitionBy(*keys, "_blk")
+        Window.partitionBy(*keys, blk)
         .orderBy(*[flip(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
@@ -64,12 +79,12 @@ def running(
             return (F.min if reverse else F.max)(tagged)["v"]
         return _local(kind, col)
 
-    per_block = src.groupBy(*keys, "_blk").agg(*[total(k, c).alias(f"_t_{n}") for n, (k, c) in aggs.items()])
-    blocks = Window.partitionBy(*keys).orderBy(flip("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = src.groupBy(*keys, blk).agg(*[total(k, c).alias(f"_t_{n}") for n, (k, c) in aggs.items()])
+    blocks = Window.partitionBy(*keys).orderBy(flip(blk)).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select(
-        *keys, "_blk", *[_local(k, F.col(f"_t_{n}")).over(blocks).alias(f"_c_{n}") for n, (k, _) in aggs.items()]
+        *keys, blk, *[_local(k, F.col(f"_t_{n}")).over(blocks).alias(f"_c_{n}") for n, (k, _) in aggs.items()]
     )
-    out = here.join(carry, [*keys, "_blk"], "left")
+    out = here.join(carry, [*keys, blk], "left")
     return out.select(
         *df.columns, *[_merge(k, F.col(f"_c_{n}"), F.col(f"_h_{n}")).alias(n) for n, (k, _) in aggs.items()]
     )
@@ -79,15 +94,15 @@ def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     prev: dict[str, Column] | None = None,
     nxt: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Values of the previous / next row of the group, NULL at its ends."""
     keys, order = list(keys), list(order)
-    src = df.withColumn("_blk", block)
-    rows = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    blocks = Window.partitionBy(*keys).orderBy("_blk")
+    src, blk = _laid_out(df, keys, block)
+    rows = Window.partitionBy(*keys, blk).orderBy(*order)
+    blocks = Window.partitionBy(*keys).orderBy(blk)
     at = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     here, edges, carried = src, [], []
     for tag, cols, shift, pick in (("p", prev, F.lag, F.max_by), ("n", nxt, F.lead, F.min_by)):
@@ -97,8 +112,8 @@ def neighbours(
         here = here.withColumn(f"_h{tag}", shift(packed).over(rows))
         edges.append(pick(packed, at).alias(f"_e{tag}"))
         carried.append(shift(F.col(f"_e{tag}")).over(blocks).alias(f"_c{tag}"))
-    carry = src.groupBy(*keys, "_blk").agg(*edges).select(*keys, "_blk", *carried)
-    out = here.join(carry, [*keys, "_blk"], "left")
+    carry = src.groupBy(*keys, blk).agg(*edges).select(*keys, blk, *carried)
+    out = here.join(carry, [*keys, blk], "left")
     picked = []
     for tag, cols in (("p", prev), ("n", nxt)):
         for n in cols or {}:
@@ -121,10 +136,10 @@ def islands(
     name: str = "island",
 ) -> DataFrame:
     """Number the runs of rows; ``starts`` may use the ``prev`` columns (NULL on the first row)."""
-    near = neighbours(df, keys, order, block, prev=prev)
+    near = neighbours(blocked(df, keys, block), keys, order, "_b", prev=prev)
     flagged = near.withColumn("_new", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0).cast("long"))
-    out = running(flagged, keys, order, block, {name: ("sum", F.col("_new"))})
-    return out.drop("_new", *prev)
+    out = running(flagged, keys, order, "_b", {name: ("sum", F.col("_new"))})
+    return out.drop("_new", "_b", *prev)
 
 
 def with_halo(df: DataFrame, idx: str, back: int, ahead: int, size: int = 4096) -> DataFrame:
