@@ -27,8 +27,8 @@ def merge_close(segs: DataFrame, keys: Sequence[str] = ("episode",), gap: int =
     ).drop("island")
 
 
-def characters_near(segs: DataFrame, keys: Sequence[str], step: int, width: int) -> DataFrame:
-    """Characters per grid time; each segment adds its share to the few grid times around it.
+def character_shares(segs: DataFrame, keys: Sequence[str], step: int = STEP_MS, width: int = WINDOW_MS) -> DataFrame:
+    """Each segment's share of characters ``c`` at the few grid times ``t`` around it.
 
     Characters are spread evenly over their segment; how many fall in a window
     follows from integer division, so no row per character is made.
@@ -48,7 +48,7 @@ def characters_near(segs: DataFrame, keys: Sequence[str], step: int, width: int)
         F.expr("((b + 1) * n + dur - 1) div nullif(dur, 0)")
     )
     cnt = F.greatest(F.least(stop, F.col("n")) - F.when(F.col("dur") == 0, 0).otherwise(first), F.lit(0))
-    return g.select(*keys, "t", "_last", cnt.alias("c")).groupBy(*keys, "t").agg(F.sum("c").alias("chars"), F.max("_last").alias("_last"))
+    return g.select(*keys, "t", "_last", cnt.alias("c"))
 
 
 def speech_rate(segs: DataFrame, keys: Sequence[str] = ("episode",), step: int = STEP_MS, width: int = WINDOW_MS) -> DataFrame:
@@ -57,7 +57,7 @@ def speech_rate(segs: DataFrame, keys: Sequence[str] = ("episode",), step: int =
     The grid runs from 0 until the window has left the last character.
     """
     keys = list(keys)
-    near = characters_near(segs, keys, step, width)
+    near = character_shares(segs, keys, step, width).groupBy(*keys, "t").agg(F.sum("c").alias("chars"), F.max("_last").alias("_last"))
     span = near.groupBy(*keys).agg(F.max("_last").alias("_last"), F.max("chars").alias("_max"))
     stop = F.floor((F.col("_last") + width // 2) / F.lit(step)) + 1
     grid = span.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), stop))).withColumn("t", F.col("_g") * step)

@@ -1,0 +1 @@
+"""Order-driven operators on streams; on closed input they equal their batch forms."""
