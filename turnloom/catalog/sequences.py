@@ -9,6 +9,7 @@ from turnloom.functions.text import preprocess, tokens
 from turnloom.operators import sequences as S
 from turnloom.operators import text as T
 from turnloom.plans.ordered import row_index
+from turnloom.session import cut
 from turnloom.sources import adapters as A
 
 H = 3_600_000
@@ -105,26 +106,26 @@ def _(s, d):
 
 WIN = f"""
 win as (select a.episode, a.shot_idx as f, a.start_ms, max(b.shot_idx) as l from shots a join shots b on a.episode = b.episode and b.shot_idx >= a.shot_idx
-   and b.end_ms - a.start_ms <= {4 * H} group by 1, 2, 3 having max(b.shot_idx) > a.shot_idx)"""
+   and b.end_ms - a.start_ms <= {2 * H} group by 1, 2, 3 having max(b.shot_idx) > a.shot_idx)"""
 
 
 @query("w06_extract_lsus_bounded", sql(SHOTS, LINKS, WIN, then=f"""
 , op as (select w.episode, w.f, s.shot_idx, s.start_ms, s.end_ms from win w join shots s on s.episode = w.episode and s.shot_idx between w.f and w.l
    where not exists (select 1 from ln l where l.episode = w.episode and l.shot_idx >= w.f and l.shot_idx < s.shot_idx and l.nxt > s.shot_idx and l.nxt <= w.l)),
 nx as (select *, lead(shot_idx) over o as n, lead(end_ms) over o as e from op window o as (partition by episode, f order by shot_idx))
-select distinct episode, shot_idx as first_shot, n as last_shot, start_ms, e as end_ms from nx where n - shot_idx >= 2 and e - start_ms >= {H}"""))
+select distinct episode, shot_idx as first_shot, n as last_shot, start_ms, e as end_ms from nx where n - shot_idx >= 2 and e - start_ms >= {H // 2}"""))
 def _(s, d):
-    return S.extract_bounded_lsus(A.shots(s, d), H, 4 * H)
+    return S.extract_bounded_lsus(A.shots(s, d), H // 2, 2 * H)
 
 
 @query("w06_extract_lsus_nested", sql(SHOTS, LINKS, WIN, then=f"""
 , pr as (select w.episode, w.f, e.shot_idx as l, w.start_ms, e.end_ms from win w join shots e on e.episode = w.episode and e.shot_idx between w.f + 2 and w.l),
 hole as (select distinct p.episode, p.f, p.l from pr p join shots m on m.episode = p.episode and m.shot_idx > p.f and m.shot_idx < p.l
   where not exists (select 1 from ln k where k.episode = p.episode and k.shot_idx >= p.f and k.shot_idx < m.shot_idx and k.nxt > m.shot_idx and k.nxt <= p.l))
-select episode, f as first_shot, l as last_shot, start_ms, end_ms from pr where end_ms - start_ms >= {H}
+select episode, f as first_shot, l as last_shot, start_ms, end_ms from pr where end_ms - start_ms >= {H // 2}
  and not exists (select 1 from hole h where h.episode = pr.episode and h.f = pr.f and h.l = pr.l)"""))
 def _(s, d):
-    return S.extract_bounded_lsus(A.shots(s, d), H, 4 * H, nested=True)
+    return S.extract_bounded_lsus(A.shots(s, d), H // 2, 2 * H, nested=True)
 
 
 @query("w07_merge_summary", sql(SHOTS, then="""
@@ -175,8 +176,13 @@ def _counts(s, d):
     return T.term_counts(A.lines(s, d), stop_words(s, d), ["unit", "source", "seg_idx"])
 
 
+def _unit_counts(s, d):
+    """Words per document at once, used several times."""
+    return cut(T.term_counts(A.lines(s, d), stop_words(s, d), ["unit"]))
+
+
 def _units(s, d):
-    u = A.lines(s, d).select("unit", "source").distinct()
+    u = A.table(s, d, "documents").select(F.col("doc_id").alias("unit"), "source")
     return row_index(u, ["source"], ["unit"], F.floor(F.col("unit") / 4096), "pos")
 
 
@@ -205,7 +211,7 @@ def _(s, d):
 
 @query("t05_idf", sql(LINES, TOK, then="select term, df, round(idf, 6) as idf from idf"))
 def _(s, d):
-    return T.idf(T.unit_terms(_counts(s, d)), A.lines(s, d)).withColumn("idf", F.round("idf", 6))
+    return T.idf(_unit_counts(s, d), A.table(s, d, "documents").select(F.col("doc_id").alias("unit"))).withColumn("idf", F.round("idf", 6))
 
 
 @query("t06_tfidf_cosine", sql(LINES, TOK, then="""
@@ -215,9 +221,9 @@ pd as (select unit1, unit2, sum(a.w * b.w) as p from pr join wv a on a.unit = un
 select unit1, unit2, round(coalesce(p / (x.norm * y.norm), 0), 6) as cosine from pr left join pd using (unit1, unit2)
 left join nm x on x.unit = unit1 left join nm y on y.unit = unit2"""))
 def _(s, d):
-    ut = T.unit_terms(_counts(s, d))
+    ut = _unit_counts(s, d)
     pairs = A.table(s, d, "labels").select(F.col("doc_id").alias("unit1"), (F.col("doc_id") + 1).alias("unit2"))
-    v = T.weighted(ut, T.idf(ut, A.lines(s, d)))
+    v = T.weighted(ut, T.idf(ut, A.table(s, d, "documents").select(F.col("doc_id").alias("unit"))))
     return T.tfidf_cosine(pairs, v).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -229,7 +235,6 @@ pd as (select u1, u2, sum(a.w * b.w) as p from pr join wv a on a.unit = u1 join
 select source, i, j, round(coalesce(p / (x.norm * y.norm), 0), 6) as cosine from pr left join pd using (u1, u2)
 left join nm x on x.unit = u1 left join nm y on y.unit = u2"""))
 def _(s, d):
-    ut = T.unit_terms(_counts(s, d), ["unit"])
-    u = _units(s, d)
+    ut, u = _unit_counts(s, d), _units(s, d)
     r = T.lexical_similarity(ut.join(u, "unit"), u, T.idf(ut, u), 3)
     return r.select("source", "i", "j", F.round("cosine", 6).alias("cosine"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.columns import overlap_sizes, pair_high, pair_low
 from turnloom.plans.ordered import islands, running, time_block, with_halo
+from turnloom.session import cut
 
 ORDER = ["start_ms", "seg_idx"]
 NO_ONE = "NULL"  # fixed value: stands for an empty reference
@@ -187,6 +188,8 @@ def _scores(rows: DataFrame, by: list[str]) -> DataFrame:
 def evaluate_interactions(segments: DataFrame, by: Sequence[str] = (), hyp: str = "inter", ref: str = "inter_ref", directed: bool = True) -> DataFrame:
     """Speaker- and utterance-oriented scores of hypothesised against reference interlocutors."""
     by = list(by)
+    # Eight aggregates read the segments: inferring the interlocutors once and writing them is cheaper.
+    segments = cut(segments.select(*by, "unit", "speaker", "start_ms", "end_ms", hyp, ref))
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     per_speaker = segments.groupBy(*by, "unit", "speaker").agg(flat(hyp).alias("hyp"), flat(ref).alias("ref"))
     n = segments.groupBy(*by).agg(F.count(F.lit(1)).alias("n_seg"))

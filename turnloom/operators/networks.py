@@ -33,8 +33,9 @@ def _pair_timeline(edges: DataFrame) -> DataFrame:
     ``p_*`` the last own scene so far, ``q_*`` the next one after this scene.
     The work is spread by pair and block of scenes, so one long series is many tasks.
     """
+    edges = cut(edges.where("src <> dst").groupBy("series", "src", "dst", "scene").agg(F.sum("weight").alias("weight")))
     act = _ends(edges, ["series", "scene"]).groupBy("series", "scene", "speaker").agg(F.sum("weight").alias("w"))
-    own = edges.where("src <> dst").groupBy("series", "src", "dst", "scene").agg(F.sum("weight").alias("own"))
+    own = edges.withColumnRenamed("weight", "own")
     pairs = own.select("series", "src", "dst").distinct()
     side = lambda end, c: pairs.join(act.withColumnRenamed("speaker", end), ["series", end]).select(
         "series", "src", "dst", "scene", *[(F.col("w") if x == c else F.lit(None).cast("double")).alias(x) for x in ("oa", "ob")]

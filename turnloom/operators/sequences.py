@@ -27,6 +27,13 @@ def merge_close(segs: DataFrame, keys: Sequence[str] = ("episode",), gap: int =
     ).drop("island")
 
 
+def character_ends(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Start, length, number of characters and time of the last character of each segment."""
+    n = F.length(F.regexp_replace(preprocess("text"), " ", "")).cast("long")
+    s = segs.select(*keys, "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur"), n.alias("n")).where("n > 0 and dur >= 0")
+    return s.withColumn("_last", F.expr("start_ms + (n - 1) * dur div n"))
+
+
 def character_shares(segs: DataFrame, keys: Sequence[str], step: int = STEP_MS, width: int = WINDOW_MS) -> DataFrame:
     """Each segment's share of characters ``c`` at the few grid times ``t`` around it.
 
@@ -34,10 +41,7 @@ def character_shares(segs: DataFrame, keys: Sequence[str], step: int = STEP_MS,
     follows from integer division, so no row per character is made.
     """
     half = width // 2
-    n = F.length(F.regexp_replace(preprocess("text"), " ", "")).cast("long")
-    s = segs.select(*keys, "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("dur"), n.alias("n")).where("n > 0 and dur >= 0")
-    last = F.expr("start_ms + (n - 1) * dur div n")
-    s = s.withColumn("_last", last)
+    s = character_ends(segs, keys)
     lo = F.greatest(F.ceil((F.col("start_ms") - half) / F.lit(step)), F.lit(0))
     hi = F.floor((F.col("_last") + half) / F.lit(step))
     g = s.withColumn("grid", F.explode(F.sequence(lo, F.greatest(hi, lo)))).withColumn("t", F.col("grid") * step)
@@ -48,7 +52,7 @@ def character_shares(segs: DataFrame, keys: Sequence[str], step: int = STEP_MS,
         F.expr("((b + 1) * n + dur - 1) div nullif(dur, 0)")
     )
     cnt = F.greatest(F.least(stop, F.col("n")) - F.when(F.col("dur") == 0, 0).otherwise(first), F.lit(0))
-    return g.select(*keys, "t", "_last", cnt.alias("c"))
+    return g.select(*keys, "t", cnt.alias("c"))
 
 
 def speech_rate(segs: DataFrame, keys: Sequence[str] = ("episode",), step: int = STEP_MS, width: int = WINDOW_MS) -> DataFrame:
@@ -57,12 +61,13 @@ def speech_rate(segs: DataFrame, keys: Sequence[str] = ("episode",), step: int =
     The grid runs from 0 until the window has left the last character.
     """
     keys = list(keys)
-    near = character_shares(segs, keys, step, width).groupBy(*keys, "t").agg(F.sum("c").alias("chars"), F.max("_last").alias("_last"))
-    span = near.groupBy(*keys).agg(F.max("_last").alias("_last"), F.max("chars").alias("_max"))
+    near = character_shares(segs, keys, step, width).select(*keys, "t", "c")
+    end = character_ends(segs, keys).groupBy(*keys).agg(F.max("_last").alias("_last"))
     stop = F.floor((F.col("_last") + width // 2) / F.lit(step)) + 1
-    grid = span.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), stop))).withColumn("t", F.col("_g") * step)
-    rate = F.coalesce(F.col("chars"), F.lit(0)) * 1000.0 / width
-    return grid.join(near.drop("_last"), [*keys, "t"], "left").select(*keys, "t", rate.alias("rate"), (rate / (F.col("_max") * 1000.0 / width)).alias("share"))
+    grid = end.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), stop))).select(*keys, (F.col("_g") * step).alias("t"), F.lit(0).cast("long").alias("c"))
+    rate = near.unionByName(grid).groupBy(*keys, "t").agg((F.sum("c") * 1000.0 / width).alias("rate"))
+    top = rate.groupBy(*keys).agg(F.max("rate").alias("_max"))
+    return rate.join(top, keys).select(*keys, "t", "rate", (F.col("rate") / F.col("_max")).alias("share"))
 
 
 def frame_distances(frames: DataFrame, n_blocks: int, metric: str = "correl", size: int = 4096) -> DataFrame:
@@ -143,26 +148,27 @@ def extract_bounded_lsus(shots: DataFrame, min_ms: int, max_ms: int, nested: boo
     w = Window.partitionBy("episode", "_hb").orderBy("start_ms").rangeBetween(0, max_ms)
     h = h.withColumn("win", F.collect_list(F.struct("shot_idx", "start_ms", "end_ms", "nxt")).over(w)).where("_own")
     fits = F.filter("win", lambda m: m["end_ms"] - F.col("start_ms") <= max_ms)
-    h = h.select("episode", F.array_sort(fits).alias("win")).where(F.size("win") >= 2)
-
-    def inside(i, lo, hi) -> Column:
-        return F.exists("win", lambda m: (m["shot_idx"] >= lo) & (m["shot_idx"] < i) & (m["nxt"] > i) & (m["nxt"] <= hi))
-
+    h = h.select("episode", "shot_idx", F.array_sort(fits).alias("win")).where(F.size("win") >= 2)
+    # Positions k in a window count from 0; shot_idx + k is the shot.
+    n, here = F.size("win"), lambda k: F.col("shot_idx") + k
+    ks = lambda first: F.sequence(F.lit(first), F.greatest(n - 1, F.lit(first)))
     if nested:
-        first = F.col("win")[0]
-        ends = F.filter("win", lambda e: (e["shot_idx"] >= first["shot_idx"] + 2) & F.forall(
-            F.filter("win", lambda m: (m["shot_idx"] > first["shot_idx"]) & (m["shot_idx"] < e["shot_idx"])),
-            lambda m: inside(m["shot_idx"], first["shot_idx"], e["shot_idx"]),
-        ))
-        found = h.select("episode", first.alias("a"), F.explode(ends).alias("b"))
+        # need[k]: the first shot that must be reached for shot k to be spanned from inside; none = never.
+        far = 1 << 62
+        after = lambda k: F.array_min(F.filter(F.slice("nx", F.lit(1), k), lambda x: x > here(k)))
+        h = h.withColumn("nx", F.transform("win", lambda m: m["nxt"]))
+        h = h.withColumn("need", F.transform(ks(1), lambda k: F.coalesce(after(k), F.lit(far))))
+        ends = F.filter(ks(2), lambda k: (k < n) & (F.array_max(F.slice("need", F.lit(1), k - 1)) <= here(k)))
+        found = h.select("episode", F.col("win")[0].alias("a"), F.explode(F.transform(ends, lambda k: F.get("win", k))).alias("b"))
     else:
         top = F.element_at("win", -1)["shot_idx"]
-        bottom = F.col("win")[0]["shot_idx"]
-        open_ = F.filter("win", lambda m: ~inside(m["shot_idx"], bottom, top))
-        o = h.select("episode", open_.alias("o"))
+        h = h.withColumn("lim", F.transform("win", lambda m: F.when(m["nxt"] <= top, m["nxt"]).otherwise(-1)))
+        # A shot is open (not spanned) unless an earlier shot of the window recurs after it, inside the window.
+        o = F.concat(F.array(F.lit(0)), F.filter(ks(1), lambda k: F.array_max(F.slice("lim", F.lit(1), k)) <= here(k)))
+        h = h.select("episode", "win", o.alias("o"))
         pairs = F.arrays_zip(F.expr("slice(o, 1, size(o) - 1)").alias("a"), F.expr("slice(o, 2, size(o) - 1)").alias("b"))
-        found = o.where(F.size("o") >= 2).select("episode", F.explode(pairs).alias("p")).select("episode", "p.a", "p.b")
-        found = found.where(F.col("b.shot_idx") - F.col("a.shot_idx") >= 2)
+        found = h.select("episode", "win", F.explode(F.filter(pairs, lambda p: p["b"] - p["a"] >= 2)).alias("p"))
+        found = found.select("episode", F.get("win", F.col("p.a")).alias("a"), F.get("win", F.col("p.b")).alias("b"))
     out = found.select(
         "episode", F.col("a.shot_idx").alias("first_shot"), F.col("b.shot_idx").alias("last_shot"),
         F.col("a.start_ms").alias("start_ms"), F.col("b.end_ms").alias("end_ms"),
