@@ -91,12 +91,9 @@ def _(s, d):
     return S.label_recurring(shot_hists(s, d), 0.72, 5, 4)
 
 
-LINKS = """
-ln as (select *, lead(shot_idx) over (partition by episode, cam_manual order by shot_idx) as nxt from shots)"""
-
-
-@query("w06_extract_lsus", sql(SHOTS, LINKS, then="""
-, ins as (select s.episode, s.shot_idx from shots s where exists (select 1 from ln l where l.episode = s.episode and l.shot_idx < s.shot_idx and l.nxt > s.shot_idx)),
+@query("w06_extract_lsus", sql(SHOTS, then="""
+, cm as (select episode, cam_manual, min(shot_idx) as a, max(shot_idx) as b from shots group by 1, 2),
+ins as (select s.episode, s.shot_idx from shots s where exists (select 1 from cm where cm.episode = s.episode and a < s.shot_idx and b > s.shot_idx)),
 g as (select *, shot_idx - row_number() over (partition by episode order by shot_idx) as k from ins),
 u as (select episode, min(shot_idx) - 1 as first_shot, max(shot_idx) + 1 as last_shot from g group by episode, k)
 select u.*, a.start_ms, b.end_ms from u join shots a on a.episode = u.episode and a.shot_idx = first_shot join shots b on b.episode = u.episode and b.shot_idx = last_shot"""))
@@ -104,24 +101,27 @@ def _(s, d):
     return S.extract_lsus(A.shots(s, d))
 
 
+# Windows of at most two hours from every shot; units of half an hour at least.
 WIN = f"""
 win as (select a.episode, a.shot_idx as f, a.start_ms, max(b.shot_idx) as l from shots a join shots b on a.episode = b.episode and b.shot_idx >= a.shot_idx
    and b.end_ms - a.start_ms <= {2 * H} group by 1, 2, 3 having max(b.shot_idx) > a.shot_idx)"""
 
 
-@query("w06_extract_lsus_bounded", sql(SHOTS, LINKS, WIN, then=f"""
-, op as (select w.episode, w.f, s.shot_idx, s.start_ms, s.end_ms from win w join shots s on s.episode = w.episode and s.shot_idx between w.f and w.l
-   where not exists (select 1 from ln l where l.episode = w.episode and l.shot_idx >= w.f and l.shot_idx < s.shot_idx and l.nxt > s.shot_idx and l.nxt <= w.l)),
+@query("w06_extract_lsus_bounded", sql(SHOTS, WIN, then=f"""
+, wc as (select w.episode, w.f, cam_manual, min(shot_idx) as a, max(shot_idx) as b from win w join shots s on s.episode = w.episode and shot_idx between w.f and w.l group by 1, 2, 3),
+op as (select w.episode, w.f, s.shot_idx, s.start_ms, s.end_ms from win w join shots s on s.episode = w.episode and s.shot_idx between w.f and w.l
+   where not exists (select 1 from wc where wc.episode = w.episode and wc.f = w.f and wc.a < s.shot_idx and wc.b > s.shot_idx)),
 nx as (select *, lead(shot_idx) over o as n, lead(end_ms) over o as e from op window o as (partition by episode, f order by shot_idx))
 select distinct episode, shot_idx as first_shot, n as last_shot, start_ms, e as end_ms from nx where n - shot_idx >= 2 and e - start_ms >= {H // 2}"""))
 def _(s, d):
     return S.extract_bounded_lsus(A.shots(s, d), H // 2, 2 * H)
 
 
-@query("w06_extract_lsus_nested", sql(SHOTS, LINKS, WIN, then=f"""
+@query("w06_extract_lsus_nested", sql(SHOTS, WIN, then=f"""
 , pr as (select w.episode, w.f, e.shot_idx as l, w.start_ms, e.end_ms from win w join shots e on e.episode = w.episode and e.shot_idx between w.f + 2 and w.l),
+pc as (select p.episode, p.f, p.l, cam_manual, min(shot_idx) as a, max(shot_idx) as b from pr p join shots s on s.episode = p.episode and shot_idx between p.f and p.l group by 1, 2, 3, 4),
 hole as (select distinct p.episode, p.f, p.l from pr p join shots m on m.episode = p.episode and m.shot_idx > p.f and m.shot_idx < p.l
-  where not exists (select 1 from ln k where k.episode = p.episode and k.shot_idx >= p.f and k.shot_idx < m.shot_idx and k.nxt > m.shot_idx and k.nxt <= p.l))
+  where not exists (select 1 from pc where pc.episode = p.episode and pc.f = p.f and pc.l = p.l and pc.a < m.shot_idx and pc.b > m.shot_idx))
 select episode, f as first_shot, l as last_shot, start_ms, end_ms from pr where end_ms - start_ms >= {H // 2}
  and not exists (select 1 from hole h where h.episode = pr.episode and h.f = pr.f and h.l = pr.l)"""))
 def _(s, d):

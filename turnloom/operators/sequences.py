@@ -113,11 +113,11 @@ def _next_same_camera(shots: DataFrame, camera: str) -> DataFrame:
 
 def extract_lsus(shots: DataFrame, camera: str = "cam_manual") -> DataFrame:
     """Story units over a whole episode: maximal runs of shots spanned by a recurring camera, widened by one shot each side."""
-    linked = _next_same_camera(shots, camera)
-    far = linked.where(F.col("nxt") - F.col("shot_idx") >= 2)
-    events = far.select("episode", (F.col("shot_idx") + 1).alias("shot_idx"), F.lit(1).alias("e")).unionByName(
-        far.select("episode", F.col("nxt").alias("shot_idx"), F.lit(-1).alias("e"))
-    ).groupBy("episode", "shot_idx").agg(F.sum("e").cast("long").alias("e"))
+    # A camera spans what lies between its first and its last shot; -1 never recurs.
+    span = shots.where(F.col(camera) != -1).groupBy("episode", camera).agg(F.min("shot_idx").alias("a"), F.max("shot_idx").alias("b")).where("b - a >= 2")
+    events = span.select("episode", F.explode(F.array(
+        F.struct((F.col("a") + 1).alias("shot_idx"), F.lit(1).alias("e")), F.struct(F.col("b").alias("shot_idx"), F.lit(-1).alias("e"))
+    )).alias("v")).groupBy("episode", F.col("v.shot_idx").alias("shot_idx")).agg(F.sum("v.e").cast("long").alias("e"))
     s = shots.join(events, ["episode", "shot_idx"], "left").na.fill(0, ["e"])
     s = running(s, ["episode"], ["shot_idx"], time_block("start_ms"), {"cover": ("sum", F.col("e"))})
     inside = s.where("cover > 0").select("episode", "shot_idx", "start_ms")
@@ -154,17 +154,20 @@ def extract_bounded_lsus(shots: DataFrame, min_ms: int, max_ms: int, nested: boo
     ks = lambda first: F.sequence(F.lit(first), F.greatest(n - 1, F.lit(first)))
     if nested:
         # need[k]: the first shot that must be reached for shot k to be spanned from inside; none = never.
+        # A shot whose camera was seen before is spanned as soon as it recurs.
         far = 1 << 62
         after = lambda k: F.array_min(F.filter(F.slice("nx", F.lit(1), k), lambda x: x > here(k)))
         h = h.withColumn("nx", F.transform("win", lambda m: m["nxt"]))
-        h = h.withColumn("need", F.transform(ks(1), lambda k: F.coalesce(after(k), F.lit(far))))
+        again = lambda k: F.when(F.array_contains(F.slice("nx", F.lit(1), k), here(k)) & (F.get("nx", k) > 0), F.get("nx", k))
+        h = h.withColumn("need", F.transform(ks(1), lambda k: F.coalesce(F.least(after(k), again(k)), F.lit(far))))
         ends = F.filter(ks(2), lambda k: (k < n) & (F.array_max(F.slice("need", F.lit(1), k - 1)) <= here(k)))
         found = h.select("episode", F.col("win")[0].alias("a"), F.explode(F.transform(ends, lambda k: F.get("win", k))).alias("b"))
     else:
         top = F.element_at("win", -1)["shot_idx"]
         h = h.withColumn("lim", F.transform("win", lambda m: F.when(m["nxt"] <= top, m["nxt"]).otherwise(-1)))
-        # A shot is open (not spanned) unless an earlier shot of the window recurs after it, inside the window.
-        o = F.concat(F.array(F.lit(0)), F.filter(ks(1), lambda k: F.array_max(F.slice("lim", F.lit(1), k)) <= here(k)))
+        # A shot is open (not spanned) unless an earlier shot of the window recurs after it, or as it and again later.
+        reach = lambda k: F.array_max(F.slice("lim", F.lit(1), k))
+        o = F.concat(F.array(F.lit(0)), F.filter(ks(1), lambda k: (reach(k) < here(k)) | ((reach(k) == here(k)) & (F.get("lim", k) == -1))))
         h = h.select("episode", "win", o.alias("o"))
         pairs = F.arrays_zip(F.expr("slice(o, 1, size(o) - 1)").alias("a"), F.expr("slice(o, 2, size(o) - 1)").alias("b"))
         found = h.select("episode", "win", F.explode(F.filter(pairs, lambda p: p["b"] - p["a"] >= 2)).alias("p"))
