@@ -157,7 +157,9 @@ def _with_ref(s, d):
     return e.select(S.scene_code("series", (F.col("scene") / 24).cast("int"), "scene").alias("scene_ref"), "src", "dst", "weight")
 
 
-@query("s09_export_graphml")
+@query("s09_export_graphml", sql(SPEECH, SE, then="""
+, r as (select printf('S%02dE%02d_%03d', series, scene // 24, scene) as scene_ref, * from se where weight > 0)
+select scene_ref, count(*) as edges, (select count(distinct v) from (select unnest([src, dst]) as v from r q where q.scene_ref = r.scene_ref)) as nodes from r group by 1"""))
 def _(s, d):
     path = _path(s, "graphml")
     S.export_graphml(_with_ref(s, d), path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.columns import seconds
+from turnloom.session import cut
 
 FRAME_MS = 40  # fixed value: one frame at 25 images per second
 
@@ -70,7 +70,10 @@ def representative_episodes(segments: DataFrame, k: int = 2) -> DataFrame:
     total = per.groupBy("speakers").agg(F.sum("n").alias("all_n"))
     total = total.crossJoin(total.agg(F.sum("all_n").alias("t"))).select("speakers", (F.col("all_n") / F.col("t")).alias("goal"))
     size = per.groupBy("episode").agg(F.sum("n").alias("ep_n"))
-    grid = size.crossJoin(total).join(per, ["episode", "speakers"], "left").na.fill(0, ["n"])  # episodes x speaker counts
+    # The corpus histogram is one row: a list with one entry per number of speakers.
+    goal = total.agg(F.collect_list(F.struct("speakers", "goal")).alias("g"))
+    bins = size.crossJoin(goal).select("episode", "ep_n", F.explode("g").alias("g")).select("episode", "ep_n", "g.speakers", "g.goal")
+    grid = cut(bins.join(per, ["episode", "speakers"], "left").na.fill(0, ["n"]))
     picked = None
     for step in range(1, k + 1):
         if picked is None:

@@ -145,8 +145,8 @@ def neighbour_lists(snapshots: DataFrame, interactions: DataFrame, k: int, step:
     """The ``k`` heaviest neighbours of each speaker and its total strength, in scenes where it interacts.
 
     Only every ``step``-th scene is reported.  Equal weights: the later name
-    first.  The top k is a bounded aggregate per speaker, not a sort of all
-    its neighbours.
+    first.  The rank filter lets Spark keep only k rows per speaker and task
+    before the shuffle.
     """
     e = _ends(snapshots.where(F.col("scene") % step == 0), ["series", "scene"])
     e = e.join(interacting_speakers(interactions), ["series", "scene", "speaker"], "left_semi")

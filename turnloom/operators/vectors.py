@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.vectors import block_distance, euclid
-from turnloom.plans.ordered import band
+from turnloom.plans.ordered import band, row_index
 from turnloom.plans.rounds import find_roots, mutual_best
 from turnloom.session import cut
 
@@ -234,9 +234,11 @@ def agglomerate(pairs: DataFrame, weights: DataFrame, criterion: str = "mean", t
         rnd += 1
     if done is None:
         done = hit.select("unit", "round", F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("height"), F.lit(0).cast("long").alias("size"))
-    order = ["round"] if temporal else ["height", "round", "left"]
-    step = F.row_number().over(Window.partitionBy("unit").orderBy(*order))
-    return done.withColumn("step", step).drop("round")
+    # Steps are numbered through blocks of similar height (or of rounds), not by one sort per unit.
+    if temporal:
+        return row_index(done, ["unit"], ["round"], F.floor(F.col("round") / 1024), "step").drop("round")
+    level = F.floor(F.log2(F.greatest("height", F.lit(1e-300))) * 16)
+    return row_index(done, ["unit"], ["height", "round", "left"], level, "step").drop("round")
 
 
 def _as_square(d: Column, wx: Column, wy: Column) -> Column:
@@ -313,8 +315,10 @@ def best_cut(merges: DataFrame, pairs: DataFrame, items: DataFrame, max_parts: i
     """
     hs = merges.select("unit", "height").unionByName(merges.select("unit", F.lit(0.0).alias("height"))).distinct()
     w = Window.partitionBy("unit").orderBy(F.desc("height"))
-    c = hs.withColumns({"cut_id": F.row_number().over(w), "low": F.lead("height").over(w)}).where("low is not null")
     top_cuts = 1 if bipartition else max_parts - 1
+    # The rank filter keeps the few highest merges per unit before anything is sorted as a whole.
+    top = hs.withColumn("cut_id", F.row_number().over(w)).where(F.col("cut_id") <= top_cuts + 1)
+    c = top.withColumn("low", F.lead("height").over(w)).where("low is not null")
     c = cut(c.where(F.col("cut_id") <= top_cuts).select("unit", "cut_id", ((F.col("height") + F.col("low")) / 2).alias("height")))
     parts = cut_tree(merges, items, c)
     if not bipartition:

@@ -112,7 +112,8 @@ def _xml(c: str) -> Column:
 def graphml_lines(snapshots: DataFrame) -> DataFrame:
     """Lines of one GraphML document per scene: scene_ref, part (order of sections), ord, value.
 
-    Every document lists all vertices; edges of weight 0 are left out.
+    Ids are global; a document lists the vertices of its edges, so its size
+    follows its scene.  Edges of weight 0 are left out.
     """
     ids = vertex_ids(snapshots)
     head = (
@@ -123,8 +124,8 @@ def graphml_lines(snapshots: DataFrame) -> DataFrame:
     refs = snapshots.select("scene_ref").distinct()
     fixed = lambda part, text: refs.select("scene_ref", F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("value"))
     node = F.format_string('\t\t<node id="n%d">\n\t\t\t<data key="label">%s</data>\n\t\t</node>', F.col("id"), _xml("label"))
-    # Every scene lists every vertex, as the format asks: the product is the output itself.
-    nodes = refs.join(ids, F.lit(True)).select("scene_ref", F.lit(1).alias("part"), F.col("id").alias("ord"), node.alias("value"))
+    seen = snapshots.where("weight > 0").select("scene_ref", F.explode(F.array("src", "dst")).alias("label")).distinct()
+    nodes = seen.join(ids, "label").select("scene_ref", F.lit(1).alias("part"), F.col("id").alias("ord"), node.alias("value"))
     a, b = ids.withColumnsRenamed({"label": "src", "id": "a"}), ids.withColumnsRenamed({"label": "dst", "id": "b"})
     edge = F.format_string('\t\t<edge source="n%d" target="n%d">\n\t\t\t<data key="weight">%s</data>\n\t\t</edge>', F.col("a"), F.col("b"), F.col("weight").cast("string"))
     edges = snapshots.where("weight > 0").join(a, "src").join(b, "dst").select("scene_ref", F.lit(2).alias("part"), (F.col("a") * 1_000_000_000 + F.col("b")).alias("ord"), edge.alias("value"))
