@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _ms():
     return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)").cast("long")
 
@@ -97,7 +103,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents as segments."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "source", F.posexplode(F.split("text", "\n", -1)).alias("seg_idx", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("unit"), "source", F.posexplode(F.split("text", "\n", -1)).alias("seg_idx", "text"))
     return d
 
 
