@@ -104,10 +104,10 @@ def _(s, d):
 @query("n06_neighbours", sql(SPEECH, SE, then="""
 select series, scene, speaker, other, round(weight, 6) as weight, round(strength, 6) as strength, cast(rank as int) as rank from
  (select *, row_number() over (partition by series, scene, speaker order by weight desc, other desc) as rank,
-   sum(weight) over (partition by series, scene, speaker) as strength from en where scene % 2 = 0) where rank <= 2"""))
+   sum(weight) over (partition by series, scene, speaker) as strength from en) where rank <= 2"""))
 def _(s, d):
     e = scene_edges(s, d)
-    return _r(N.neighbour_lists(e, e, 2, 2), "weight", "strength")
+    return _r(N.neighbour_lists(e, e, 2), "weight", "strength")
 
 
 @query("n07_node_strengths", sql(SPEECH, rules_cte("known", GAP), then="""
