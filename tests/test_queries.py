@@ -15,8 +15,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "a01_corpus_stats", "a10_shot_size", "c06_member_strength", "e02_split_at", "f13_format_position", "i07_evaluate_interactions",
     "j01_majority_join", "j06_asof_child", "n02_past_future_snapshots", "n11_social_state_distance", "o06_social_distance", "q04_coverage_overflow",
-    "s01_read_project_speech", "s02_write_project_faces", "t07_lexical_similarity", "v02_histogram", "v14_silhouette", "w04_detect_cuts",
-    "w05_label_recurring", "x01_stream_cuts", "x03_stream_interactions", "x04_stream_past_snapshots", "o11_summarise",
+    "s02_write_project_faces", "t07_lexical_similarity", "v02_histogram", "v14_silhouette", "w04_detect_cuts",
+    "w05_label_recurring", "x01_stream_cuts", "x03_stream_interactions", "x04_stream_past_snapshots", "o04_item_value",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("TURNLOOM_ALL") else SAMPLE
 

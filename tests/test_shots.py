@@ -136,7 +136,7 @@ def _tree(d, w, crit, temporal=False):
 
 def test_agglomeration(spark):
     rng = np.random.default_rng(12)
-    n, units = 9, 4
+    n, units = 7, 3
     x = rng.normal(size=(units, n, 3))
     w = rng.uniform(0.5, 2.0, size=(units, n))
     rows = [(u, i, x[u, i].tolist(), float(w[u, i])) for u in range(units) for i in range(n)]

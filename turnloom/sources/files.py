@@ -149,7 +149,7 @@ def scene_ref(season: str = "season", episode: str = "episode", scene: str = "sc
 def pajek_lines(edges: DataFrame) -> DataFrame:
     """Pajek text of one network: 1-based ids, weights with 4 decimals; columns part, ord, value.
 
-    The edge section counts the distinct first ends, as the original writer does.
+    The edge section is headed by the number of distinct first ends.
     """
     ids = vertex_ids(edges, 1)
     nv = ids.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.format_string("*Vertices %d", "n").alias("value"))
