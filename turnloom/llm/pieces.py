@@ -56,26 +56,24 @@ class Segmenter:
         probe = " ﬁ①Ａ  a\n "
         plain = self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.by_chunk = plain and not any(re.search(f"[^{MARK}]{MARK}", p) for p in names)
-        self.table: dict[str, np.ndarray] = {}
+        self.table: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def _add(self, new: Iterable[str]) -> None:
         ask = [c for c in new if c]
         for c, ids in zip(ask, self.sp.encode(ask, num_threads=1), strict=True):
-            self.table[c] = np.array(ids, dtype=np.int32)
-        self.table[""] = np.array([self.sp.piece_to_id(MARK)], dtype=np.int32)
+            self.table[c] = np.array(ids, dtype=np.int32).tobytes()
+        self.table[""] = np.array([self.sp.piece_to_id(MARK)], dtype=np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_chunk:
             return np.array(self.sp.encode(text), dtype=np.int32)
         chunks = cut_chunks(text)
-        if not chunks:
-            return np.zeros(0, dtype=np.int32)
         if len(self.table) > TABLE:
             self.table.clear()
         new = {c for c in chunks if c not in self.table}
         if new or "" not in self.table:
             self._add(new)
-        return np.concatenate([self.table[c] for c in chunks])
+        return np.frombuffer(b"".join([self.table[c] for c in chunks]), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist())

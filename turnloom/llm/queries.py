@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import dedup, language, mixing, pieces, quality, toxicity
+from turnloom.llm import dedup, fingerprint, language, mixing, pieces, quality, token_files, toxicity, warc
 from turnloom.llm.common import fold, table
 from turnloom.llm.registry import ORACLES, QUERIES, query
-from turnloom.llm.sql import MINHASH_SQL, MIXING_SQL
+from turnloom.llm.sql import MINHASH_SQL, MIXING_SQL, WARC_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,6 +42,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@query("op5_id_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_ids(files, with_ids=False).drop("ids")
+
+
+@query("op6_warc", WARC_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(warc.with_role(table(spark, sf_dir, "pages"), F.col("html"))))
+
+
 @query("op7_pieces")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -64,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mixed(docs, ["doc_id", "source"], mixing.token_estimate(F.col("text")))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))

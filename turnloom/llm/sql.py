@@ -58,3 +58,15 @@ select doc_id, source, n as n_tokens, weight,
   cast(passes + case when room <= 0 then 0 when room >= block_n then 1 when upto <= room then 1 else 0 end as bigint) as copies
 from q
 """
+
+WARC_SQL = r"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x, strlen(coalesce(html, '')) as n from pages),
+bits as (select *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+    4 * (strpos('0123456789abcdef', substr(x, i, 1)) - 1) + 1, 4)), '') as b from p),
+d as (select page_id, n, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    list_sum(list_transform(range(1, 6), lambda k: cast(substr(b, cast(5 * i + k as bigint), 1) as int) * (1 << (5 - k)))) as int), 1)), '') as digest from bits),
+f as (select *, min(page_id) over (partition by h) as first_id from d)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from f
+"""
