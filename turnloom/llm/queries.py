@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import dedup, fingerprint, language, mixing, pieces, quality, token_files, toxicity, warc
+from turnloom.llm import dedup, fingerprint, language, media, mixing, pieces, quality, token_files, toxicity, warc
 from turnloom.llm.common import fold, table
 from turnloom.llm.registry import ORACLES, QUERIES, query
 from turnloom.llm.sql import MINHASH_SQL, MIXING_SQL, WARC_SQL
+from turnloom.session import cut
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,6 +43,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@query("op4_webp")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = cut(docs.select("doc_id", media.stored(F.col("text")).alias("s")).select("doc_id", "s.n_bytes", "s.media"))
+    got = kept.select("doc_id", "n_bytes", "media", media.loaded(F.col("media"), pixels=False).alias("p"))
+    return got.select(
+        "doc_id", "n_bytes", F.length("p.grey").cast("long").alias("payload_bytes"), F.sha2("p.grey", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("p.grey"), -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.col("p.feature").alias("feature"))
+
+
 @query("op5_id_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
