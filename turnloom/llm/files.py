@@ -26,9 +26,9 @@ def attempt_name() -> str:
 def create(uri: str) -> BinaryIO:
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str) -> BinaryIO:
     system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(path, buffer_size=1 << 20)
+    return system.open_input_stream(path, compression=None, buffer_size=1 << 20)

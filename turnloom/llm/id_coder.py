@@ -9,8 +9,8 @@ one before (order 1), each with a confidence, the number of hits in a row.  A
 hit rate per order and confidence is learned as the block goes on.  Where the
 two orders name the same id their chances are mixed to ``1 - (1 - p2)(1 - p1)``;
 otherwise order 1 gets its share of what order 2 leaves.  What both leave goes
-to order 0: adaptive frequencies of the upper part of the id, then its lower
-bits evenly.
+to order 0: frequencies of the upper part of the id, counted all along and taken
+over every ``REFRESH`` steps, then its lower bits evenly.
 
 Coder: low and range in 64 bits, 16-bit words out, carries passed back into the
 words already written.
@@ -20,66 +20,56 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, LANES = 1024, 1024
-SLOTS = 2048
-_ONE = 12  # bits of a chance
+BLOCK, LANES = 1024, 2048
+SLOTS = 1024
+REFRESH = 64
+_ONE, _EVEN = 12, 11  # bits of a chance, and of an order-0 frequency
 _U = np.uint64
 _FULL, _FLOOR = _U(2**64 - 1), _U(1 << 48)
 
 
 class _Model:
-    """Tables of all lanes, and one step of their learning."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.seen = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        rates = np.minimum(400 + 420 * np.arange(8), 3700).astype(np.int32)
-        self.rate = [np.tile(rates, lanes) for _ in range(2)]
-        self.upper = np.ones((lanes * 16, 16), np.int32)
-        self.group = np.full((lanes, 16), 16, np.int32)
-        self.sum = np.full(lanes, 256, np.int32)
+    """Tables of all lanes.  A slot holds an id and a confidence of 0 to 6, or -1: no id, confidence 7."""
+
+    def __init__(self, lanes: int, inverse: bool):
+        self.lane = np.arange(lanes, dtype=np.int32)
+        self.slot = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
+        self.rate = [np.tile(np.array([400, 800, 1300, 1800, 2400, 3000, 3600, 64], np.int32), lanes) for _ in range(2)]
+        self.counts = np.full((lanes, 256), 2, np.int32)
+        self.inverse = inverse
+        self.refresh(lanes)
+
+    def refresh(self, n: int) -> None:
+        """Take the counts over: 257 bounds per lane, and the part that each of 2 ** 11 places belongs to."""
+        ends = np.cumsum(self.counts[:n], axis=1, dtype=np.int64)
+        ends = (ends * ((1 << _EVEN) - 256) // ends[:, -1:]).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
+        self.bound = np.concatenate((np.zeros((n, 1), np.int32), ends), axis=1).ravel()
+        if self.inverse:
+            self.part = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), np.diff(ends, axis=1, prepend=0).ravel())
 
     def predict(self, n: int, one: np.ndarray, two: np.ndarray) -> None:
-        """Chances of the first ``n`` lanes after ids ``one`` (last) and ``two`` (the one before)."""
-        lane = self.lane[:n]
-        h1 = (one * 0x9E3779B1 & 0xFFFFFFFF) >> 21
-        h2 = ((one * 0x9E3779B1 + two * 0x85EBCA6B) & 0xFFFFFFFF) >> 21
-        self.at = [lane * SLOTS + h1, lane * SLOTS + h2]
-        self.guess = [t[a] for t, a in zip(self.seen, self.at, strict=True)]
-        self.state = [lane * 8 + c[a] for c, a in zip(self.sure, self.at, strict=True)]
-        p1, p2 = (r[s] for r, s in zip(self.rate, self.state, strict=True))
-        p1 = np.where(self.guess[0] < 0, 0, p1)
-        p2 = np.where(self.guess[1] < 0, 0, p2)
+        """Chances of the first ``n`` lanes after ids ``one`` (last) and ``two`` (the one before), as 32-bit unsigned."""
+        base = self.lane[:n] * np.int32(SLOTS)
+        h1 = one * np.uint32(0x9E3779B1)
+        h2 = (h1 + two * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+        self.at = [base + (h >> np.uint32(22)).view(np.int32) for h in (h1, h2)]
+        held = [s.take(a) for s, a in zip(self.slot, self.at, strict=True)]
+        self.guess = [h >> 3 for h in held]
+        self.sure = [h & 7 for h in held]
+        base = self.lane[:n] << 3
+        self.state = [base + s for s in self.sure]
+        self.chance = [r.take(s) for r, s in zip(self.rate, self.state, strict=True)]
+        p1, p2 = self.chance
         rest = (4096 - p2) * p1 >> _ONE
         same = self.guess[0] == self.guess[1]
-        self.f2 = np.where(same, p2 + rest, p2)
-        self.f1 = np.where(same, 0, rest)
+        self.f2 = p2 + rest * same
+        self.both = p2 + rest  # the chance that either is right
 
-    def learn(self, n: int, ids: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray) -> None:
         for k in range(2):
-            hit = self.guess[k] == ids
-            at, state = self.at[k], self.state[k]
-            rate = self.rate[k][state]
-            self.rate[k][state] = np.where(self.guess[k] < 0, rate, np.clip(rate + ((hit * 4096 - rate) >> 4), 32, 4000))
-            self.sure[k][at] = np.where(hit, np.minimum(self.sure[k][at] + 1, 7), 0)
-            self.seen[k][at] = ids
-
-    def count(self, lanes: np.ndarray, upper: np.ndarray) -> None:
-        """Order 0 learns the upper parts of ids that neither order foresaw."""
-        g = upper >> 4
-        self.upper[lanes * 16 + g, upper & 15] += 24
-        self.group[lanes, g] += 24
-        self.sum[lanes] += 24
-        full = lanes[self.sum[lanes] > 4096 - 24]
-        if len(full):
-            rows = (full[:, None] * 16 + np.arange(16)).ravel()
-            self.upper[rows] = (self.upper[rows] + 1) >> 1
-            self.group[full] = self.upper[rows].sum(axis=1).reshape(-1, 16)
-            self.sum[full] = self.group[full].sum(axis=1)
-
-
-_SIXTEEN = np.arange(16)
+            hit = (self.guess[k] == ids).view(np.int8).astype(np.int32)
+            self.rate[k][self.state[k]] = self.chance[k] + ((64 + 3968 * hit - self.chance[k]) >> 4)
+            self.slot[k][self.at[k]] = (ids << 3) | np.minimum((self.sure[k] + 1) * hit, 6)
 
 
 def _active(size: np.ndarray) -> np.ndarray:
@@ -93,15 +83,17 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     """Code each block, the longest first.  Ids lie below ``256 << low_bits``; ``low_bits`` is at most 12."""
     size = np.array([len(b) for b in blocks])
     active = _active(size)
-    ids = np.zeros((len(active) + 2, len(blocks)), dtype=np.int64)
+    ids = np.zeros((len(active) + 2, len(blocks)), dtype=np.int32)
     for k, b in enumerate(blocks):
         ids[2 : 2 + len(b), k] = b
     if ids.min() < 0 or ids.max() >= 256 << low_bits:
         raise ValueError("an id is out of range")
-    model = _Model(len(blocks))
+    seen = ids.view(np.uint32)
+    model = _Model(len(blocks), False)
     words = np.zeros((len(blocks), 3 * len(active) + 4), dtype=np.int32)
     place = np.zeros(len(blocks), dtype=np.int64)
     low, span = np.zeros(len(blocks), _U), np.full(len(blocks), _FULL, _U)
+    mask = (1 << low_bits) - 1
 
     def carry(lanes: np.ndarray) -> None:
         at = place[lanes] - 1
@@ -111,29 +103,30 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
             lanes, at = lanes[more], at[more] - 1
 
     for i, n in enumerate(active.tolist()):
+        if i and i % REFRESH == 0:
+            model.refresh(n)
         now = ids[i + 2, :n]
-        model.predict(n, ids[i + 1, :n], ids[i, :n])
+        model.predict(n, seen[i + 1, :n], seen[i, :n])
         two = model.guess[1] == now
         one = (model.guess[0] == now) & ~two
-        f2, f1 = model.f2, model.f1
-        start = np.where(two, 0, np.where(one, f2, f2 + f1))
-        width = np.where(two, f2, np.where(one, f1, 4096 - f2 - f1))
+        hit = two | one
+        start = np.where(two, 0, np.where(one, model.f2, model.both))
+        width = np.where(two, model.f2, np.where(one, model.both - model.f2, 4096 - model.both))
         part = span[:n] >> _U(_ONE)
-        offset = part * start.astype(_U)
-        span[:n] = part * width.astype(_U)
-        esc = np.flatnonzero(~(two | one))
+        offset = part * start.view(np.uint32)
+        span[:n] = part * width.view(np.uint32)
+        esc = np.flatnonzero(~hit)
         if len(esc):
             v = now[esc]
             up = v >> low_bits
-            g = up >> 4
-            row = model.upper[esc * 16 + g]
-            before = (model.group[esc] * (_SIXTEEN < g[:, None])).sum(axis=1) + (row * (_SIXTEEN < (up & 15)[:, None])).sum(axis=1)
-            part = span[esc] // model.sum[esc].astype(_U)
-            fine = (part * model.upper[esc * 16 + g, up & 15].astype(_U)) >> _U(low_bits)
-            offset[esc] += part * before.astype(_U) + fine * (v & ((1 << low_bits) - 1)).astype(_U)
+            at = esc * 257 + up
+            start, end = model.bound[at], model.bound[at + 1]
+            part = span[esc] >> _U(_EVEN)
+            fine = (part * (end - start).view(np.uint32)) >> _U(low_bits)
+            offset[esc] += part * start.view(np.uint32) + fine * (v & mask).view(np.uint32)
             span[esc] = fine
-            model.count(esc, up)
-        model.learn(n, now)
+            model.counts[esc, up] += 24
+        model.learn(now)
         low[:n] += offset
         carry(np.flatnonzero(low[:n] < offset))
         small = np.flatnonzero(span[:n] < _FLOOR)
@@ -155,47 +148,46 @@ def decode_blocks(coded: list[bytes], size: list[int], low_bits: int) -> list[np
     """The ids of each block, given its number of ids."""
     sizes = np.array(size)
     active = _active(sizes)
-    words = np.zeros((len(coded), max(len(c) for c in coded) // 2 + 8), dtype=_U)
+    words = np.zeros((len(coded), max(len(c) for c in coded) // 2 + 8), dtype=np.uint16)
     for k, c in enumerate(coded):
         words[k, : len(c) // 2] = np.frombuffer(c, dtype="<u2")
-    model = _Model(len(coded))
-    ids = np.zeros((len(active) + 2, len(coded)), dtype=np.int64)
+    model = _Model(len(coded), True)
+    ids = np.zeros((len(active) + 2, len(coded)), dtype=np.int32)
+    seen = ids.view(np.uint32)
     span = np.full(len(coded), _FULL, _U)
-    code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
+    first = words[:, :4].astype(_U)
+    code = (first[:, 0] << _U(48)) | (first[:, 1] << _U(32)) | (first[:, 2] << _U(16)) | first[:, 3]
     place = np.full(len(coded), 4, dtype=np.int64)
     last = words.shape[1] - 1
     for i, n in enumerate(active.tolist()):
-        model.predict(n, ids[i + 1, :n], ids[i, :n])
-        f2, f1 = model.f2, model.f1
+        if i and i % REFRESH == 0:
+            model.refresh(n)
+        model.predict(n, seen[i + 1, :n], seen[i, :n])
         part = span[:n] >> _U(_ONE)
         c = code[:n]
-        end2 = part * f2.astype(_U)
-        end1 = part * (f2 + f1).astype(_U)
-        two, esc = c < end2, c >= end1
-        now = np.where(two, model.guess[1], model.guess[0]).astype(np.int64)
-        span[:n] = np.where(two, end2, np.where(esc, part * (4096 - f2 - f1).astype(_U), end1 - end2))
-        code[:n] = np.where(two, c, np.where(esc, c - end1, c - end2))
-        esc = np.flatnonzero(esc)
+        end2 = part * model.f2.view(np.uint32)
+        end1 = part * model.both.view(np.uint32)
+        two, miss = c < end2, c >= end1
+        now = np.where(two, model.guess[1], model.guess[0])
+        low = np.where(two, _U(0), np.where(miss, end1, end2))
+        high = np.where(two, end2, np.where(miss, part << _U(_ONE), end1))
+        span[:n] = high - low
+        code[:n] = c - low
+        esc = np.flatnonzero(miss)
         if len(esc):
-            part = span[esc] // model.sum[esc].astype(_U)
+            part = span[esc] >> _U(_EVEN)
             c = code[esc]
-            t = (c // part).astype(np.int64)
-            ends = np.cumsum(model.group[esc], axis=1)
-            g = (ends <= t[:, None]).sum(axis=1)
-            before = np.where(g > 0, ends[np.arange(len(esc)), g - 1], 0)
-            row = model.upper[esc * 16 + g]
-            ends = np.cumsum(row, axis=1) + before[:, None]
-            u = (ends <= t[:, None]).sum(axis=1)
-            before = np.where(u > 0, ends[np.arange(len(esc)), u - 1], before)
-            c = c - part * before.astype(_U)
-            fine = (part * row[np.arange(len(esc)), u].astype(_U)) >> _U(low_bits)
+            up = model.part[(esc << _EVEN) + (c // part).view(np.int64)]
+            at = esc * 257 + up
+            start, end = model.bound[at], model.bound[at + 1]
+            c = c - part * start.view(np.uint32)
+            fine = (part * (end - start).view(np.uint32)) >> _U(low_bits)
             low = c // fine
             code[esc] = c - fine * low
             span[esc] = fine
-            up = g * 16 + u
-            now[esc] = (up << low_bits) | low.astype(np.int64)
-            model.count(esc, up)
-        model.learn(n, now)
+            now[esc] = (up.astype(np.int32) << low_bits) | low.astype(np.int32)
+            model.counts[esc, up] += 24
+        model.learn(now)
         ids[i + 2, :n] = now
         small = np.flatnonzero(span[:n] < _FLOOR)
         while len(small):
@@ -203,4 +195,4 @@ def decode_blocks(coded: list[bytes], size: list[int], low_bits: int) -> list[np
             place[small] += 1
             span[small] <<= _U(16)
             small = small[span[small] < _FLOOR]
-    return [ids[2 : 2 + s, k].astype(np.int32) for k, s in enumerate(size)]
+    return [ids[2 : 2 + s, k].copy() for k, s in enumerate(size)]
