@@ -113,7 +113,7 @@ def test_storyline_cover_and_key_moments(spark):
     r = random.Random(9)
     cases = {c: [e for e in _case(r, 16, "abcde", 0.9)] for c in range(4)}
     df = spark.createDataFrame(_rows(cases), SCHEMA)
-    steps, states = O.split_storyline(df, df, 0.8, 5)
+    steps, states = O.split_storyline(df, df, 0.8)
     got = {}
     for x in steps.collect():
         got.setdefault((x["series"], x["speaker"]), {})[x["scene"]] = x["center"]
@@ -142,7 +142,7 @@ def test_storyline_cover_and_key_moments(spark):
                 left -= cover[best]
             want = {m: min((i for i in chosen if m in cover[i]), key=lambda i: (round(dist(i, m), 9) if i != m else 0.0, -i)) for m in mine}
             assert got[c, s] == want
-    members = C.communities(df, 3)
+    members = C.communities(df)
     picks = C.key_moments(df, members, 2).collect()
     per = {}
     for p in picks:
@@ -154,7 +154,7 @@ def test_storyline_cover_and_key_moments(spark):
 def test_communities_are_consistent(spark):
     e = [(0, 0, "a", "b", 5.0), (0, 0, "b", "c", 5.0), (0, 0, "c", "d", 0.1), (0, 0, "d", "e", 5.0), (0, 1, "a", "b", 2.0), (0, 1, "d", "e", 2.0)]
     df = spark.createDataFrame(e, SCHEMA)
-    m = C.communities(df, 4)
+    m = C.communities(df)
     com = {(r["scene"], r["speaker"]): r["com"] for r in m.collect()}
     assert com[0, "a"] == com[0, "b"] == com[0, "c"] != com[0, "d"] == com[0, "e"]
     chains = C.dynamic_communities(C.match_partitions(C.community_similarity(C.community_vectors(df, m))))

@@ -141,7 +141,7 @@ def test_agglomeration(spark):
     w = rng.uniform(0.5, 2.0, size=(units, n))
     rows = [(u, i, x[u, i].tolist(), float(w[u, i])) for u in range(units) for i in range(n)]
     df = spark.createDataFrame(rows, "unit int, pos int, x array<double>, w double")
-    pairs = V.pair_distance(df, n - 1).cache()
+    pairs = V.pair_distance(df).cache()
     for crit in V.CRITERIA:
         p = V.ward_init(pairs, df) if crit == "ward" else pairs
         m = V.agglomerate(p, df, crit).collect()
@@ -195,7 +195,7 @@ def test_covariance_whitening_and_centres(spark):
     cov = V.within_covariance(df)
     assert all(abs(r["cov"] - wc[r["i"], r["j"]]) < 1e-9 for r in cov.collect())
     inv = np.linalg.pinv(wc)
-    for r in V.pair_distance(df, 3, V.inverse_factor(cov)).collect():
+    for r in V.pair_distance(df, V.inverse_factor(cov)).collect():
         d = x[r["i"]] - x[r["j"]]
         assert abs(r["d"] - np.sqrt(d @ inv @ d)) < 1e-6
     out = V.k_centers(df, 4).collect()
@@ -213,7 +213,7 @@ def test_covariance_whitening_and_centres(spark):
 def test_masked_pairs_never_merge(spark):
     rows = [(0, i, [float(i)], f"LSU{i // 2}_S{i}") for i in range(4)]
     df = spark.createDataFrame(rows, "unit int, pos int, x array<double>, label string")
-    p = V.mask_pairs(V.pair_distance(df, 3), df)
+    p = V.mask_pairs(V.pair_distance(df), df)
     assert {(r["i"], r["j"]) for r in p.collect()} == {(0, 2), (0, 3), (1, 2), (1, 3)}
     m = V.agglomerate(p, df.withColumn("w", F.lit(1.0)), "min").collect()
     # {1, 2} and {0, 3} hold a forbidden pair and stay apart.

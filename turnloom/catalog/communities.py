@@ -9,7 +9,7 @@ from turnloom.operators import communities as C
 from turnloom.operators import networks as N
 from turnloom.session import cut
 
-ROUNDS = 3
+ROUNDS = 12  # labels have settled before, or alternate
 
 
 def _round_sql(k: int) -> str:
@@ -22,12 +22,12 @@ l{k} as (select series, scene, speaker, com from (select *, row_number() over (p
 
 # Networks of half a day, so that views have several communities.
 DAY = """
-se12 as (select series, scene // 6 as scene, src, dst, sum(weight) as weight from se group by 1, 2, 3, 4 having sum(weight) > 3),
+se12 as (select series, scene // 6 as scene, src, dst, sum(weight) as weight from se group by 1, 2, 3, 4),
 en12 as (select series, scene, unnest([src, dst]) as speaker, unnest([dst, src]) as other, weight from se12)"""
 COM = SE + "," + DAY + """,
 hv as (select series, scene, speaker, max(weight) as w from en12 group by 1, 2, 3),
 l0 as (select series, scene, speaker, speaker as com from hv),""" + ",".join(_round_sql(k).replace("from en join", "from en12 en join") for k in range(1, ROUNDS + 1)) + f""",
-com as (select * from l{ROUNDS})"""
+com as (select series, scene, speaker, least(a.com, b.com) as com from l{ROUNDS} a join l{ROUNDS - 1} b using (series, scene, speaker))"""
 SCORES = """
 ew as (select e.*, a.com as c1, b.com as c2 from se12 e join com a on a.series = e.series and a.scene = e.scene and a.speaker = src
    join com b on b.series = e.series and b.scene = e.scene and b.speaker = dst),
@@ -42,12 +42,12 @@ cv as (select com.series, com.scene, com, speaker as key, strength as w from com
 
 def views(s, d):
     e = scene_edges(s, d).groupBy("series", F.expr("scene div 6").alias("scene"), "src", "dst").agg(F.sum("weight").alias("weight"))
-    return cut(e.where("weight > 3"))
+    return cut(e)
 
 
 def _both(s, d):
     v = views(s, d)
-    return v, C.communities(v, ROUNDS)
+    return v, C.communities(v)
 
 
 def _r(df, *cols):

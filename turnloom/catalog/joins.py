@@ -73,26 +73,21 @@ def _(s, d):
 
 
 @query("j07_same_camera_pairs", sql(SHOTS, then="""
-select a.episode, a.shot_id as item1, b.shot_id as item2, a.cam_manual from shots a join shots b on a.episode = b.episode
- and a.cam_manual = b.cam_manual and b.shot_idx > a.shot_idx and b.shot_idx - a.shot_idx <= 30"""))
+select * from (select episode, cam_manual, shot_id as item1, lead(shot_id) over (partition by episode, cam_manual order by shot_idx) as item2 from shots) where item2 is not null"""))
 def _(s, d):
-    return J.same_camera_pairs(A.shots(s, d), 30).select("episode", "item1", "item2", "cam_manual")
+    return J.same_camera_pairs(A.shots(s, d))
 
 
 @query("j07_same_camera_pairs_scene", sql(SHOTS, then="""
-select a.episode, a.scene_idx, a.shot_id as item1, b.shot_id as item2 from shots a join shots b on a.episode = b.episode and a.scene_idx = b.scene_idx
- and a.cam_manual = b.cam_manual and b.shot_idx > a.shot_idx and b.shot_idx - a.shot_idx <= 30"""))
+select * from (select episode, scene_idx, cam_manual, shot_id as item1, lead(shot_id) over (partition by episode, scene_idx, cam_manual order by shot_idx) as item2 from shots) where item2 is not null"""))
 def _(s, d):
-    return J.same_camera_pairs(A.shots(s, d), 30, scene_bound=True).select("episode", "scene_idx", "item1", "item2")
+    return J.same_camera_pairs(A.shots(s, d), scene_bound=True)
 
 
 @query("j08_same_speaker_pairs", sql(SPEECH, then="""
-, r as (select *, row_number() over (partition by unit order by start_ms, seg_idx) as idx from known)
-select a.unit, a.speaker, a.seg_idx as item1, b.seg_idx as item2 from r a join r b on a.unit = b.unit and a.speaker = b.speaker
- and b.idx > a.idx and b.idx - a.idx <= 12"""))
+select * from (select unit, speaker, seg_idx as item1, lead(seg_idx) over (partition by unit, speaker order by start_ms, seg_idx) as item2 from known) where item2 is not null"""))
 def _(s, d):
-    k = row_index(A.known(s, d), ["unit"], ["start_ms", "seg_idx"], time_block("start_ms"))
-    return J.same_speaker_pairs(k, 12).select("unit", "speaker", "item1", "item2")
+    return J.same_speaker_pairs(A.known(s, d))
 
 
 @query("j09_unit_to_scene", sql(SPEECH, SHOTS, LSU6, then="""

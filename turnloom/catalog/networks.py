@@ -142,7 +142,7 @@ def _(s, d):
 @query("n11_social_state_distance", sql(SPEECH, SE, then="""
 , p as (select *, row_number() over (partition by series, speaker order by scene) as pos from (select distinct series, speaker, scene from en)),
 nr as (select series, speaker, scene, sqrt(sum(weight * weight)) as norm from en group by 1, 2, 3),
-x as (select a.series, a.speaker, a.scene as scene1, b.scene as scene2 from p a join p b on a.series = b.series and a.speaker = b.speaker and b.pos - a.pos between 1 and 4),
+x as (select a.series, a.speaker, a.scene as scene1, b.scene as scene2 from p a join p b on a.series = b.series and a.speaker = b.speaker and b.pos > a.pos),
 pd as (select x.series, x.speaker, scene1, scene2, sum(u.weight * v.weight) as pr from x join en u on u.series = x.series and u.speaker = x.speaker and u.scene = scene1
    join en v on v.series = x.series and v.speaker = x.speaker and v.scene = scene2 and v.other = u.other group by 1, 2, 3, 4)
 select x.series, x.speaker, x.scene1, x.scene2, round(sqrt(greatest(2 - 2 * coalesce(case when a.norm > 0 and b.norm > 0 then pr / (a.norm * b.norm) end, 0), 0)), 5) as distance
@@ -150,7 +150,7 @@ from x left join pd using (series, speaker, scene1, scene2) join nr a on a.serie
 join nr b on b.series = x.series and b.speaker = x.speaker and b.scene = x.scene2"""))
 def _(s, d):
     e = scene_edges(s, d)
-    return N.social_state_distance(e, e, 4).withColumn("distance", F.round("distance", 5))
+    return N.social_state_distance(e, e).withColumn("distance", F.round("distance", 5))
 
 
 @query("n12_neighbourhood_similarity", sql(SPEECH, SE, then="""

@@ -230,11 +230,11 @@ def _(s, d):
 @query("t07_lexical_similarity", sql(LINES, TOK, then="""
 , us as (select *, row_number() over (partition by source order by unit) as pos from (select distinct unit, source from lines)),
 nm as (select unit, sqrt(sum(w * w)) as norm from wv group by 1),
-pr as (select a.source, a.pos as i, b.pos as j, a.unit as u1, b.unit as u2 from us a join us b on a.source = b.source and b.pos - a.pos between 1 and 3),
+pr as (select a.source, a.pos as i, b.pos as j, a.unit as u1, b.unit as u2 from us a join us b on a.source = b.source and b.pos > a.pos),
 pd as (select u1, u2, sum(a.w * b.w) as p from pr join wv a on a.unit = u1 join wv b on b.unit = u2 and b.term = a.term group by 1, 2)
-select source, i, j, round(coalesce(p / (x.norm * y.norm), 0), 6) as cosine from pr left join pd using (u1, u2)
-left join nm x on x.unit = u1 left join nm y on y.unit = u2"""))
+select source, i, j, round(p / (x.norm * y.norm), 6) as cosine from pr join pd using (u1, u2)
+join nm x on x.unit = u1 join nm y on y.unit = u2 where round(p / (x.norm * y.norm), 9) >= 0.3"""))
 def _(s, d):
     ut, u = _unit_counts(s, d), _units(s, d)
-    r = T.lexical_similarity(ut.join(u, "unit"), u, T.idf(ut, u), 3)
+    r = T.lexical_similarity(ut.join(u, "unit"), T.idf(ut, u), 0.3)
     return r.select("source", "i", "j", F.round("cosine", 6).alias("cosine"))

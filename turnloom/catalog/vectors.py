@@ -10,8 +10,6 @@ from turnloom.operators import vectors as V
 from turnloom.session import cut
 from turnloom.sources import adapters as A
 
-WIDTH = 19  # a unit of the test tables has 20 vectors: the full matrix
-
 # Each vector is an 8 x 8 picture; a value of -4..4 is spread over 0..256.
 PIX = """
 pix as (select row_id, unnest(range(64)) as k, unnest(x) as v from vectors),
@@ -75,10 +73,10 @@ def _(s, d):
 
 
 @query("v05_shot_correlation", sql(FRAMES, SHOT_HIST, then="""
-, pr as (select i.video, i.shot_idx as i, j.shot_idx as j, i.first_hist as a, j.last_hist as b from sh i join sh j on i.video = j.video and i.shot_idx - j.shot_idx between 1 and 10),"""
+, pr as (select i.video, i.shot_idx as i, j.shot_idx as j, i.first_hist as a, j.last_hist as b from sh i join sh j on i.video = j.video and i.shot_idx > j.shot_idx),"""
     + block_sql("video, i, j", "pr", "bd") + " select video, i, j, round(d, 6) as d from bd"))
 def _(s, d):
-    return _r(V.shot_correlation(shot_hists(s, d), 10, 4, keys=["video"]), "d")
+    return _r(V.shot_correlation(shot_hists(s, d), 4, keys=["video"]), "d")
 
 
 EL = """
@@ -106,13 +104,13 @@ def _(s, d):
 
 @query("v09_pair_distance", sql(VECTORS, DIST, then="select unit, i, j, round(d, 6) as d from pd"))
 def _(s, d):
-    return _r(V.pair_distance(A.vectors(s, d), WIDTH), "d")
+    return _r(V.pair_distance(A.vectors(s, d)), "d")
 
 
 @query("v09_pair_distance_mahalanobis")
 def _(s, d):
     v = A.vectors(s, d)
-    return _r(V.pair_distance(v, WIDTH, V.inverse_factor(V.within_covariance(v))), "d")
+    return _r(V.pair_distance(v, V.inverse_factor(V.within_covariance(v))), "d")
 
 
 @query("v10_mask_pairs", sql(VECTORS, DIST, then="""
@@ -120,13 +118,13 @@ select pd.unit, pd.i, pd.j, round(d, 6) as d from pd join pr on pr.unit = pd.uni
 def _(s, d):
     v = A.vectors(s, d)
     lab = v.select("unit", "pos", F.concat(F.lit("LSU"), "label", F.lit("_S"), "pos").alias("label"))
-    return _r(V.mask_pairs(V.pair_distance(v, WIDTH), lab), "d")
+    return _r(V.mask_pairs(V.pair_distance(v), lab), "d")
 
 
 @query("v11_ward_init", sql(VECTORS, DIST, then="select unit, i, j, round((1 + i % 3) * (1 + j % 3) * d * d, 5) as d from pd"))
 def _(s, d):
     v = A.vectors(s, d)
-    return _r(V.ward_init(V.pair_distance(v, WIDTH), v.withColumn("w", (1 + F.col("pos") % 3).cast("double"))), "d", n=5)
+    return _r(V.ward_init(V.pair_distance(v), v.withColumn("w", (1 + F.col("pos") % 3).cast("double"))), "d", n=5)
 
 
 def _items(s, d):
@@ -135,7 +133,7 @@ def _items(s, d):
 
 def _tree(s, d, criterion="mean", temporal=False):
     v = _items(s, d)
-    pairs = V.pair_distance(v, WIDTH)
+    pairs = V.pair_distance(v)
     w = v.select("unit", "pos", F.lit(1.0).alias("w"))
     pairs = cut(V.ward_init(pairs, w) if criterion == "ward" else pairs)
     return v, pairs, cut(V.agglomerate(pairs, w, criterion, temporal))
@@ -171,14 +169,14 @@ ab as (select v.unit, v.pos, v.label as cluster, min(case when oc = v.label then
 select unit, pos, cluster, round(case when a is null then 0 else (b - a) / greatest(a, b) end, 6) as s from ab"""))
 def _(s, d):
     v = A.vectors(s, d)
-    return _r(V.silhouette(V.pair_distance(v, WIDTH), v.select("unit", "pos", F.col("label").alias("cluster"))), "s")
+    return _r(V.silhouette(V.pair_distance(v), v.select("unit", "pos", F.col("label").alias("cluster"))), "s")
 
 
 @query("v15_medoid", sql(VECTORS, DIST, then="""
 , t as (select unit, pos, round(sum(d), 9) as total from (select unit, i as pos, d from pd union all select unit, j, d from pd) group by 1, 2)
 select unit, arg_min(pos, total) as medoid, round(min(total), 6) as total from t group by 1"""))
 def _(s, d):
-    return _r(V.medoid(V.pair_distance(A.vectors(s, d), WIDTH)), "total")
+    return _r(V.medoid(V.pair_distance(A.vectors(s, d))), "total")
 
 
 @query("v16_centroid", sql(VECTORS, then="""
@@ -190,7 +188,7 @@ def _(s, d):
 def _diarized(s, d):
     v = _items(s, d)
     x = v.withColumn("x", X.normalise(F.col("x"), root=True))
-    return v, V.local_diarization(x, WIDTH)
+    return v, V.local_diarization(x)
 
 
 @query("v17_local_diarization")

@@ -19,22 +19,31 @@ from turnloom.session import cut
 VIEW = ["series", "scene"]
 
 
-def communities(snapshots: DataFrame, rounds: int = 5, drop_single: bool = False) -> DataFrame:
-    """Weighted label propagation over all views at once.
+def communities(snapshots: DataFrame, drop_single: bool = False) -> DataFrame:
+    """Weighted label propagation over all views at once, until no label changes.
 
     In each round a vertex takes the label its edges vote for with the most
     weight; its own label has the vote of its heaviest edge.  Ties go to the
-    smallest label.  Votes are partial sums, so a vertex of any degree is safe.
+    smallest label.  Where two rounds only alternate, a vertex takes the smaller
+    of its two labels.  Votes are partial sums, so a vertex of any degree is safe.
     """
     e = cut(_ends(snapshots.where("weight > 0"), VIEW))
     own = e.groupBy(*VIEW, "speaker").agg(F.max("weight").alias("weight"))
     labels = own.select(*VIEW, "speaker", F.col("speaker").alias("com"))
-    for _ in range(rounds):
+    before = None
+    while True:
         far = labels.withColumnRenamed("speaker", "other")
         votes = e.join(far, [*VIEW, "other"]).select(*VIEW, "speaker", "com", "weight")
         self_vote = own.join(labels, [*VIEW, "speaker"]).select(*VIEW, "speaker", "com", "weight")
         tally = votes.unionByName(self_vote).groupBy(*VIEW, "speaker", "com").agg(F.round(F.sum("weight"), 9).alias("v"))
-        labels = cut(tally.groupBy(*VIEW, "speaker").agg(F.min_by("com", F.struct(-F.col("v"), "com")).alias("com")))
+        voted = tally.groupBy(*VIEW, "speaker").agg(F.min_by("com", F.struct(-F.col("v"), "com")).alias("com"))
+        voted = cut(voted.join(labels.withColumnRenamed("com", "last"), [*VIEW, "speaker"]))
+        again = voted.where("com <> last") if before is None else voted.join(before, [*VIEW, "speaker"]).where("com <> before")
+        settled = again.limit(1).count() == 0
+        before = labels.withColumnRenamed("com", "before")
+        labels = voted.select(*VIEW, "speaker", F.least("com", "last").alias("com") if settled else F.col("com"))
+        if settled:
+            break
     if drop_single:
         big = labels.groupBy(*VIEW, "com").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         labels = labels.join(big.select(*VIEW, "com"), [*VIEW, "com"], "left_semi").select(*VIEW, "speaker", "com")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.plans.intervals import asof, contains, overlaps
-from turnloom.plans.ordered import running
+from turnloom.plans.ordered import neighbours, running, time_block
 
 EP = ("episode",)
 
@@ -51,29 +51,25 @@ def asof_child(points: DataFrame, segments: DataFrame, at: str, carry: Sequence[
     return asof(points, segments, keys, at, "start_ms", carry, tie)
 
 
-def same_label_pairs(items: DataFrame, keys: Sequence[str], label: str, idx: str, width: int, item: str) -> DataFrame:
-    """Pairs of equal label at most ``width`` positions apart.
+def same_label_pairs(items: DataFrame, keys: Sequence[str], label: str, order: Sequence[str], item: str, block: Column) -> DataFrame:
+    """Each item with the next one of the same label: item1, item2.
 
-    The join key holds the label and the position bucket, so a label carried by
-    a third of all rows is spread over its buckets and the output grows with
-    the rows times the width.
+    All pairs of equal label follow from these links, whose number does not
+    exceed that of the items.  A label's items are linked block by block.
     """
-    keys = list(keys)
-    b = F.floor(F.col(idx) / F.lit(width))
-    left = items.select(*keys, label, F.col(idx).alias("i"), F.col(item).alias("item1"), F.explode(F.array(b, b + 1)).alias("_b"))
-    right = items.select(*keys, label, F.col(idx).alias("j"), F.col(item).alias("item2"), b.alias("_b"))
-    return left.join(right, [*keys, label, "_b"]).where((F.col("j") > F.col("i")) & (F.col("j") - F.col("i") <= width)).drop("_b")
+    near = neighbours(items, [*keys, label], order, block, nxt={"item2": F.col(item)})
+    return near.where("item2 is not null").select(*keys, label, F.col(item).alias("item1"), "item2")
 
 
-def same_camera_pairs(shots: DataFrame, width: int, scene_bound: bool = False, camera: str = "cam_manual") -> DataFrame:
-    """Shots of the same camera, optionally inside one scene; the label -1 never pairs."""
+def same_camera_pairs(shots: DataFrame, scene_bound: bool = False, camera: str = "cam_manual") -> DataFrame:
+    """Links between shots of the same camera, optionally inside one scene; the label -1 never pairs."""
     keys = ["episode", "scene_idx"] if scene_bound else ["episode"]
-    return same_label_pairs(shots.where(F.col(camera) != -1), keys, camera, "shot_idx", width, "shot_id")
+    return same_label_pairs(shots.where(F.col(camera) != -1), keys, camera, ["shot_idx"], "shot_id", F.floor(F.col("shot_idx") / 4096))
 
 
-def same_speaker_pairs(segs: DataFrame, width: int, keys: Sequence[str] = ("unit",), idx: str = "idx") -> DataFrame:
-    """Segments of the same known speaker."""
-    return same_label_pairs(segs.where("speaker <> 'S'"), keys, "speaker", idx, width, "seg_idx")
+def same_speaker_pairs(segs: DataFrame, keys: Sequence[str] = ("unit",)) -> DataFrame:
+    """Links between segments of the same known speaker."""
+    return same_label_pairs(segs.where("speaker <> 'S'"), keys, "speaker", ["start_ms", "seg_idx"], "seg_idx", time_block("start_ms"))
 
 
 def unit_to_scene(unit_segments: DataFrame, scene_of: DataFrame, unit: str = "lsu_id") -> DataFrame:

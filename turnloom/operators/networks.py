@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.columns import pair_high, pair_low, sigmoid
 from turnloom.plans.ordered import blocked, neighbours, row_index, running
-from turnloom.plans.products import banded_cosine
+from turnloom.plans.products import cosines
 from turnloom.session import cut
 
 SCENE_BLOCK = 1024
@@ -178,13 +178,14 @@ def ego_vectors(snapshots: DataFrame) -> DataFrame:
     return _ends(snapshots, ["series", "scene"])
 
 
-def social_state_distance(snapshots: DataFrame, interactions: DataFrame, width: int) -> DataFrame:
-    """L2 between unit ego vectors of two scenes where the speaker interacts, at most ``width`` such scenes apart."""
+def social_state_distance(snapshots: DataFrame, interactions: DataFrame) -> DataFrame:
+    """L2 between unit ego vectors of any two scenes of a series where the speaker interacts."""
     seen = interacting_speakers(interactions)
     keys = ["series", "speaker"]
     pos = row_index(seen, keys, ["scene"], F.floor(F.col("scene") / SCENE_BLOCK), "pos")
-    v = ego_vectors(snapshots).join(pos, [*keys, "scene"])
-    c = banded_cosine(v, keys, "other", "pos", "weight", width, pos)
+    pos = cut(pos)
+    v = cut(ego_vectors(snapshots).join(pos, [*keys, "scene"]).select(*keys, "pos", "other", "weight"))
+    c = cosines(v, keys, "other", "pos", "weight", pos)
     d = c.withColumn("distance", F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))))
     at = lambda i, name: pos.select(*keys, F.col("pos").alias(i), F.col("scene").alias(name))
     return d.join(at("i", "scene1"), [*keys, "i"]).join(at("j", "scene2"), [*keys, "j"]).select(*keys, "scene1", "scene2", "distance")

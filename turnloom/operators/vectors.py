@@ -1,10 +1,8 @@
 """Histograms, covariance, distances and clustering of vectors.
 
 Vectors are ``array<double>``.  ``unit`` groups the vectors that are compared;
-``pos`` is their dense position in the unit.  Pair tables are banded: a pair
-is formed when its members are at most ``width`` positions apart, so a unit of
-any size gives a number of pairs linear in its rows; ``width`` >= unit size - 1
-is the full matrix.
+``pos`` is their position in the unit.  Pair tables hold all pairs inside a unit,
+never across units, formed tile by tile.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.vectors import block_distance, euclid
-from turnloom.plans.ordered import band, row_index
+from turnloom.plans.ordered import pairs_within, row_index
 from turnloom.plans.rounds import find_roots, mutual_best
 from turnloom.session import cut
 
@@ -53,9 +51,9 @@ def histogram(values: DataFrame, keys: Sequence[str], channels: Sequence[tuple[s
     return c.join(c.groupBy(*keys).agg(F.sum("n").alias("total")), keys).select(*keys, "bin", (F.col("n") / F.col("total")).alias("share"))
 
 
-def shot_correlation(shots: DataFrame, width: int, n_blocks: int, metric: str = "correl", keys: Sequence[str] = ("unit",)) -> DataFrame:
+def shot_correlation(shots: DataFrame, n_blocks: int, metric: str = "correl", keys: Sequence[str] = ("unit",)) -> DataFrame:
     """Distance between the first frame of a shot and the last frame of each earlier shot of its unit."""
-    p = band(shots, keys, "shot_idx", width, ["first_hist", "last_hist"])
+    p = pairs_within(shots, keys, "shot_idx", ["first_hist", "last_hist"])
     return p.select(*keys, F.col("shot_idx2").alias("i"), F.col("shot_idx1").alias("j"), block_distance(F.col("first_hist2"), F.col("last_hist1"), n_blocks, metric).alias("d"))
 
 
@@ -146,10 +144,10 @@ def whiten(rows: DataFrame, factor: np.ndarray) -> DataFrame:
 # ---- pairs -----------------------------------------------------------------
 
 
-def pair_distance(rows: DataFrame, width: int, factor: np.ndarray | None = None, keys: Sequence[str] = ("unit",)) -> DataFrame:
+def pair_distance(rows: DataFrame, factor: np.ndarray | None = None, keys: Sequence[str] = ("unit",)) -> DataFrame:
     """Euclidean (or, with the factor of an inverse covariance, Mahalanobis) distance inside a unit."""
     r = rows if factor is None else whiten(rows.select(*keys, "pos", "x"), factor)
-    p = band(r, keys, "pos", width, ["x"])
+    p = pairs_within(r, keys, "pos", ["x"])
     return p.select(*keys, F.col("pos1").alias("i"), F.col("pos2").alias("j"), euclid(F.col("x1"), F.col("x2")).alias("d"))
 
 
@@ -305,21 +303,18 @@ def silhouette(pairs: DataFrame, clusters: DataFrame, keys: Sequence[str] = ("un
     return ab.select(*keys, "pos", "cluster", F.when(F.col("a").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s"))
 
 
-def best_cut(merges: DataFrame, pairs: DataFrame, items: DataFrame, max_parts: int = 20, bipartition: bool = False) -> DataFrame:
+def best_cut(merges: DataFrame, pairs: DataFrame, items: DataFrame, bipartition: bool = False) -> DataFrame:
     """Height at which each unit's tree is cut, and the clusters it gives.
 
-    Candidates lie halfway between successive heights and give 2 up to
-    ``max_parts`` parts; the best mean silhouette wins, ties going to the lower
+    Candidates lie halfway between all successive heights, so they give any
+    number of parts from 2 on; the best mean silhouette wins, ties going to the lower
     cut.  ``bipartition`` takes the first candidate.  Returns unit, pos,
     cluster, height.
     """
     hs = merges.select("unit", "height").unionByName(merges.select("unit", F.lit(0.0).alias("height"))).distinct()
     w = Window.partitionBy("unit").orderBy(F.desc("height"))
-    top_cuts = 1 if bipartition else max_parts - 1
-    # The rank filter keeps the few highest merges per unit before anything is sorted as a whole.
-    top = hs.withColumn("cut_id", F.row_number().over(w)).where(F.col("cut_id") <= top_cuts + 1)
-    c = top.withColumn("low", F.lead("height").over(w)).where("low is not null")
-    c = cut(c.where(F.col("cut_id") <= top_cuts).select("unit", "cut_id", ((F.col("height") + F.col("low")) / 2).alias("height")))
+    c = hs.withColumns({"cut_id": F.row_number().over(w), "low": F.lead("height").over(w)}).where("low is not null")
+    c = cut((c.where("cut_id = 1") if bipartition else c).select("unit", "cut_id", ((F.col("height") + F.col("low")) / 2).alias("height")))
     parts = cut_tree(merges, items, c)
     if not bipartition:
         q = silhouette(pairs, parts, ["unit", "cut_id"]).groupBy("unit", "cut_id").agg(F.round(F.avg("s"), 9).alias("q"))
@@ -344,8 +339,7 @@ def centroid(rows: DataFrame, keys: Sequence[str] = ("unit",)) -> DataFrame:
 
 
 def local_diarization(
-    rows: DataFrame, width: int, criterion: str = "ward", factor: np.ndarray | None = None, weights: bool = True,
-    max_parts: int = 20, bipartition: bool = False,
+    rows: DataFrame, criterion: str = "ward", factor: np.ndarray | None = None, weights: bool = True, bipartition: bool = False,
 ) -> DataFrame:
     """Cluster the utterances of each unit with at least two of them.
 
@@ -354,10 +348,10 @@ def local_diarization(
     w = F.col("dur").cast("double") if weights else F.lit(1.0)
     tot = rows.groupBy("unit").agg(F.sum(w).alias("_t"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     r = cut(rows.join(tot, "unit").withColumn("w", w / F.col("_t")).drop("_t", "_n"))
-    pairs = pair_distance(r, width, factor)
+    pairs = pair_distance(r, factor)
     pairs = cut(ward_init(pairs, r) if criterion == "ward" else pairs)
     merges = cut(agglomerate(pairs, r, criterion))
-    return best_cut(merges, pairs, r, max_parts, bipartition)
+    return best_cut(merges, pairs, r, bipartition)
 
 
 def relabel(clusters: DataFrame, prefix: str = "LSU") -> DataFrame:

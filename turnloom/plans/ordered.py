@@ -167,3 +167,33 @@ def band(df: DataFrame, keys: Sequence[str], idx: str, width: int, cols: Sequenc
     )
     right = df.select(*keys, F.col(idx).alias(f"{idx}2"), *[F.col(c).alias(f"{c}2") for c in cols])
     return left.join(right, [*keys, f"{idx}2"])
+
+
+TILE = 256
+
+
+def tiled(df: DataFrame, keys: Sequence[str], idx: str, ends: DataFrame, left: bool) -> DataFrame:
+    """Rows repeated once per pair of tiles (``_ti``, ``_tj``) in which they are a left (right) partner."""
+    own = F.floor(F.col(idx) / F.lit(TILE))
+    t = df.join(ends, list(keys)).withColumn("_own", own)
+    span = F.sequence(F.col("_own"), F.col("_last")) if left else F.sequence(F.col("_first"), F.col("_own"))
+    t = t.withColumn("_tj" if left else "_ti", F.explode(span)).withColumnRenamed("_own", "_ti" if left else "_tj")
+    return t.drop("_first", "_last")
+
+
+def tile_ends(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
+    tile = F.floor(F.col(idx) / F.lit(TILE))
+    return df.groupBy(*keys).agg(F.min(tile).alias("_first"), F.max(tile).alias("_last"))
+
+
+def pairs_within(df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str]) -> DataFrame:
+    """All pairs (i, j), i < j, of a group, spread over pairs of tiles of ``TILE`` positions.
+
+    A task sees at most ``TILE`` squared pairs per key, whatever the size of a
+    group.  Columns get suffix 1 and 2.
+    """
+    keys, cols = list(keys), list(cols)
+    ends = tile_ends(df, keys, idx)
+    side = lambda n: df.select(*keys, F.col(idx).alias(f"{idx}{n}"), *[F.col(c).alias(f"{c}{n}") for c in cols])
+    a, b = tiled(side(1), keys, f"{idx}1", ends, True), tiled(side(2), keys, f"{idx}2", ends, False)
+    return a.join(b, [*keys, "_ti", "_tj"]).where(F.col(f"{idx}1") < F.col(f"{idx}2")).drop("_ti", "_tj")
