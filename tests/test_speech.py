@@ -121,3 +121,47 @@ def test_speech_rate_against_characters(spark):
         grid = range(0, (at[-1] + 750) // 500 * 500 + 501, 500)
         assert sorted(t for v, t in got if v == u) == list(grid)
         assert all(abs(got[u, t] - sum(max(t - 750, 0) <= c <= t + 750 for c in at) / 1.5) < 1e-9 for t in grid)
+
+
+def test_streams_wait_for_rows_out_of_order(spark):
+    """Rows within the watermark in any order and batch, ties, and a pause of hours give the batch result."""
+    from pyspark.sql import functions as F
+
+    from turnloom.streaming import operators as X
+    from turnloom.streaming.run import drain, replay
+
+    at = [0, 1000, 2500, 2500, 4000, 7_300_000, 7_301_000, 7_302_500, 7_310_000]
+    spk = ["a", "b", "a", "c", "b", "a", "b", "c", "b"]
+    rows = [(1, i, s, t, t + 900) for i, (s, t) in enumerate(zip(spk, at))]
+    far = [(9, 0, "z", 40 * 86_400_000, 40 * 86_400_000 + 5)]
+    cols = "unit long, seg_idx long, speaker string, start_ms long, end_ms long"
+
+    def run(batches):
+        frames = [r + (n,) for n, b in enumerate(batches) for r in b]
+        df = spark.createDataFrame(frames, cols + ", n int")
+        s = replay(df, files=1, order="n", parts=len(batches)).withColumn("ts", F.timestamp_millis(F.col("start_ms") + X.EPOCH_MS))
+        return sorted(map(tuple, drain(X.stream_interactions(s, 5_000_000), "append").collect()))
+
+    whole = run([rows, far])
+    assert whole
+    assert run([[rows[1], rows[0]], [rows[3]], [rows[2], rows[4]], [rows[6], rows[5]], [rows[8], rows[7]], far]) == whole
+
+
+def test_x04_waits_for_scenes_out_of_order(spark):
+    from pyspark.sql import functions as F
+
+    from turnloom.streaming import operators as X
+    from turnloom.streaming.run import drain, replay
+
+    rows = [(1, 0, "a", "b", 4.0), (1, 1, "a", "c", 1.0), (1, 1, "b", "c", 2.0), (1, 500, "a", "b", 1.0), (1, 501, "c", "d", 3.0)]
+    far = [(2, 90_000, "x", "y", 0.0)]
+
+    def run(batches):
+        df = spark.createDataFrame([r + (n,) for n, b in enumerate(batches) for r in b], "series int, scene long, src string, dst string, weight double, n int")
+        s = replay(df, files=1, order="n", parts=len(batches)).withColumn("ts", F.timestamp_millis(F.col("scene") * 3_600_000 + X.EPOCH_MS))
+        got = drain(X.stream_past_snapshots(s, delay="2 hours").where("series = 1"), "append")
+        return sorted(map(tuple, got.collect()))
+
+    whole = run([rows, far])
+    assert len(whole) >= 5
+    assert run([[rows[2]], [rows[0], rows[1]], [rows[4]], [rows[3]], far]) == whole

@@ -54,7 +54,8 @@ def stream_speech_rate(segs: DataFrame, key: str = "unit", delay: str = "10 minu
 # ---- interactions ----------------------------------------------------------
 
 _INTER_OUT = "unit long, speaker string, other string, ms long"
-_INTER_STATE = "spk array<string>, start array<long>, stop array<long>, dropped long, done long, seen long"
+_INTER_STATE = "spk array<string>, start array<long>, stop array<long>, idx array<long>, dropped long, done long, settled int"
+DAY = 86_400_000
 
 
 def _decide(turns: list, j: int, offset: int, gap: int) -> Iterator[tuple[str, str, int]]:
@@ -95,43 +96,48 @@ def _decide(turns: list, j: int, offset: int, gap: int) -> Iterator[tuple[str, s
             yield spk, to, b - a
 
 
-def stream_interactions(segs: DataFrame, gap_ms: int, delay: str = "10 minutes") -> DataFrame:
+def stream_interactions(segs: DataFrame, gap_ms: int, delay: str = "10 minutes", idle_ms: int = 7 * DAY) -> DataFrame:
     """Interactions (unit, speaker, other, ms) as turns become final, that is two turns later or when the unit has ended.
 
-    ``segs``: unit, speaker, start_ms, end_ms and the event time ``ts`` of the
-    start.  State per unit is its last few turns.  Rows older than the last one
-    of their unit are late and dropped; append mode.
+    ``segs``: unit, seg_idx, speaker, start_ms, end_ms and the event time ``ts``
+    of the start.  Rows may come in any order within ``delay``: a row waits in
+    the state until the watermark has passed it, then rows are taken by start
+    and seg_idx, as in the batch form.  A unit has ended when the watermark lies
+    ``idle_ms`` behind its last row; give at least the longest pause inside a
+    unit.  Rows older than the watermark are late and dropped; append mode.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        unit = int(key[0])
-        spk, start, stop, dropped, done, seen = state.get if state.exists else ([], [], [], 0, 0, -1)
-        rows = list(zip(spk, start, stop))
-        new = []
+        unit, now = int(key[0]), state.getCurrentWatermarkMs() - EPOCH_MS
+        spk, start, stop, idx, dropped, done, settled = state.get if state.exists else ([], [], [], [], 0, 0, 0)
+        rows = [(int(a), int(i), s, int(e)) for s, a, e, i in zip(spk, start, stop, idx)]
+        old, waiting = rows[: int(settled)], rows[int(settled) :]
         for b in batches:
-            new += [(s, int(a), int(e)) for s, a, e in zip(b["speaker"], b["start_ms"], b["end_ms"]) if a > seen]
-        new.sort(key=lambda r: r[1])
-        rows += new
-        if new:
-            seen = new[-1][1]
+            waiting += [(int(a), int(i), s, int(e)) for s, a, e, i in zip(b["speaker"], b["start_ms"], b["end_ms"], b["seg_idx"])]
+        waiting.sort()
+        passed = sum(r[0] <= now for r in waiting)
+        old, waiting = old + waiting[:passed], waiting[passed:]
+        closing = not waiting and (not old or old[-1][0] + idle_ms <= now)
         turns: list = []
-        for s, a, e in rows:
+        for a, i, s, e in old:
             if not turns or turns[-1][0] != s:
                 turns.append((s, []))
-            turns[-1][1].append((a, e))
-        closing = state.hasTimedOut
+            turns[-1][1].append((a, e, i))
+        plain = [(s, [(a, e) for a, e, _ in seg]) for s, seg in turns]
         upto = len(turns) if closing else len(turns) - 2
         out = []
         for j in range(int(done) - int(dropped), upto):
-            out += [(unit, *r) for r in _decide(turns, j, int(dropped), gap_ms)]
+            out += [(unit, *r) for r in _decide(plain, j, int(dropped), gap_ms)]
         if closing:
             state.remove()
         else:
             done = max(int(done), int(dropped) + upto)
             cut = max(0, done - 2 - int(dropped))
-            keep = [(s, a, e) for s, seg in turns[cut:] for a, e in seg]
-            state.update(([r[0] for r in keep], [r[1] for r in keep], [r[2] for r in keep], int(dropped) + cut, done, int(seen)))
-            state.setTimeoutTimestamp(max(int(seen) + EPOCH_MS + 3_600_000, state.getCurrentWatermarkMs() + 1))
+            keep = [(a, i, s, e) for s, seg in turns[cut:] for a, e, i in seg]
+            both = keep + waiting
+            state.update(([r[2] for r in both], [r[0] for r in both], [r[3] for r in both], [r[1] for r in both], int(dropped) + cut, done, len(keep)))
+            wake = waiting[0][0] if waiting else old[-1][0] + idle_ms
+            state.setTimeoutTimestamp(max(wake, now) + EPOCH_MS + 1)
         if out:
             yield pd.DataFrame(out, columns=["unit", "speaker", "other", "ms"])
 
@@ -142,16 +148,18 @@ def stream_interactions(segs: DataFrame, gap_ms: int, delay: str = "10 minutes")
 # ---- past snapshots --------------------------------------------------------
 
 _PAST_OUT = "series int, scene long, src string, dst string, weight double"
-_PAST_STATE = "src array<string>, dst array<string>, weight array<double>, scene long, p_src array<string>, p_dst array<string>, p_w array<double>, last long"
+_PAST_STATE = "src array<string>, dst array<string>, weight array<double>, at array<long>, scene array<long>, p_src array<string>, p_dst array<string>, p_w array<double>"
 
 
-def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int = 365 * DAY) -> DataFrame:
     """Stored weight of every relation an end of which is active, scene by scene, looking back only.
 
     ``edges``: series, scene, src, dst, weight and the event time ``ts`` of the
-    scene.  A scene is final when a later one arrives or the series has ended;
-    rows of scenes already final are late and dropped.  State per series is
-    one weight per relation; append mode.
+    scene, the same for all its rows and growing with the scenes.  Rows may come
+    in any order within ``delay``: they wait in the state until the watermark
+    has passed their scene.  Older rows are late and dropped.  State per series
+    is one weight per relation; it is given up when the watermark lies
+    ``idle_ms`` behind the last scene.  Append mode.
     """
 
     def settle(book: dict, scene: int, now: dict) -> list:
@@ -174,39 +182,36 @@ def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour") -> DataFrame:
         return out
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        series = int(key[0])
-        book, scene, now, last = {}, -1, {}, -1
+        series, wm = int(key[0]), state.getCurrentWatermarkMs()
+        book, waiting, last = {}, [], 0
         if state.exists:
-            s, d, w, scene, ps, pd_, pw, last = state.get
-            book, now = dict(zip(zip(s, d), w)), dict(zip(zip(ps, pd_), pw))
-        rows: list = []
+            s, d, w, at, sc, ps, pd_, pw = state.get
+            book, waiting = dict(zip(zip(s, d), w)), list(zip(at[1:], sc, ps, pd_, pw))
+            last = int(at[0])
         for b in batches:
-            rows += list(zip(b["scene"], b["src"], b["dst"], b["weight"]))
-        rows.sort(key=lambda r: (r[0], r[1], r[2]))
-        out = []
-        for sc, a, b, w in rows:
-            sc = int(sc)
-            if sc <= last or sc < scene:
-                continue
-            if sc > scene:
-                if now:
-                    out += settle(book, int(scene), now)
-                    last = int(scene)
-                scene, now = sc, {}
-            now[(a, b)] = now.get((a, b), 0.0) + float(w)
-        if state.hasTimedOut:
-            if now:
-                out += settle(book, int(scene), now)
+            waiting += list(zip(b["at"], b["scene"], b["src"], b["dst"], b["weight"]))
+        waiting.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
+        passed = sum(r[0] <= wm for r in waiting)
+        out, i = [], 0
+        while i < passed:
+            at, scene, now = int(waiting[i][0]), int(waiting[i][1]), {}
+            while i < passed and int(waiting[i][1]) == scene:
+                now[waiting[i][2:4]] = now.get(waiting[i][2:4], 0.0) + float(waiting[i][4])
+                i += 1
+            out += settle(book, scene, now)
+            last = at
+        waiting = waiting[passed:]
+        if not waiting and last + idle_ms <= wm:
             state.remove()
         else:
-            ks, ps = list(book), list(now)
+            ks = list(book)
             state.update((
-                [k[0] for k in ks], [k[1] for k in ks], [book[k] for k in ks], int(scene),
-                [k[0] for k in ps], [k[1] for k in ps], [now[k] for k in ps], int(last),
+                [k[0] for k in ks], [k[1] for k in ks], [book[k] for k in ks], [last, *[int(r[0]) for r in waiting]],
+                [int(r[1]) for r in waiting], [r[2] for r in waiting], [r[3] for r in waiting], [float(r[4]) for r in waiting],
             ))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 14 * 86_400_000)
+            state.setTimeoutTimestamp(max(int(waiting[0][0]) if waiting else last + idle_ms, wm) + 1)
         if out:
             yield pd.DataFrame([(series, *r) for r in out], columns=["series", "scene", "src", "dst", "weight"])
 
-    g = edges.withWatermark("ts", delay).groupBy("series")
+    g = edges.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay).groupBy("series")
     return g.applyInPandasWithState(step, _PAST_OUT, _PAST_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -8,19 +8,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.session import shared_dir
+from turnloom.session import cut, shared_dir
 
 
-def replay(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back as a stream."""
+def replay(df: DataFrame, files: int | None = None, order: str | None = None, parts: int = 8) -> DataFrame:
+    """Write a table to the shared folder and read it back as a stream.
+
+    With ``order`` it is written as ``parts`` files that follow each other in
+    that column, rows shuffled inside; ``files`` of them make a micro-batch.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stream-in-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if order is None:
+        df.write.parquet(path)
+    else:
+        dealt = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+        dealt = cut(dealt)
+        for i in range(parts):  # a file source takes the oldest files first
+            dealt.where(F.col("_part") == i).drop("_part").orderBy(F.xxhash64(*df.columns)).coalesce(1).write.mode("append").parquet(path)
     r = spark.readStream.schema(df.schema)
     return (r.option("maxFilesPerTrigger", files) if files else r).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str, keys: Sequence[str] | None = None, timeout_s: int = 600) -> DataFrame:
+def drain(stream: DataFrame, mode: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Run until all input is used and return the written results.
 
     In update mode a result may be written again by a later batch; with
@@ -38,9 +48,7 @@ def drain(stream: DataFrame, mode: str, keys: Sequence[str] | None = None, timeo
         stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
-    if not q.awaitTermination(timeout_s):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     got = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
     if keys is None:
         return got.drop("batch")
