@@ -8,7 +8,8 @@ the second part falls below zero, its gradient is reversed, so that the
 classifier does not fit the negative estimate.  ``l`` is the logistic loss.
 
 The fit is bounded by documented parameters: at most ``POSITIVES`` toxic and
-``UNLABELLED`` unlabelled texts, of which the driver receives word hashes.
+``UNLABELLED`` unlabelled texts, of which the driver receives those words that
+are features.
 Scoring covers all words of every text.
 
 Cases: null and empty texts have no words and score the bias alone.  Without
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import joined, run_hashes, runs, slices
 from turnloom.llm.labelled import hashed_sample, with_texts
+from turnloom.session import cut
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 LEAST_TEXTS, LEAST_LIFT = 8, 5.0  # a word becomes a feature if so many toxic texts have it, and so many times the usual share
@@ -85,22 +87,16 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"toxic": pdf["toxic"], "words": got})
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Non-negative risk, full batches, Adam; starts at zero, so the result is repeatable."""
-    seen, texts = np.unique(np.concatenate([np.zeros(0, np.uint64), *positive]), return_counts=True)
-    usual, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *unlabelled]), return_counts=True)
-    at = np.minimum(np.searchsorted(usual, seen), max(0, len(usual) - 1))
-    share = np.where(usual[at] == seen, of[at], 0) / max(1, len(unlabelled)) if len(usual) else np.zeros(len(seen))
-    words = seen[(texts >= LEAST_TEXTS) & (texts >= LEAST_LIFT * share * len(positive))]
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: np.ndarray, prior: float) -> Model:
+    """Non-negative risk, full batches, Adam; starts at zero, so the result is repeatable.
+
+    Texts are lists of indices into ``words``, the sorted hashes of the features.
+    """
     if not (positive and unlabelled and len(words) and 0 < prior < 1):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0 if not positive else 0.0)
 
     def rows(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate(group)
-        doc = np.repeat(np.arange(len(group)), [len(g) for g in group])
-        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-        ok = words[at] == flat
-        return doc[ok], at[ok]
+        return np.repeat(np.arange(len(group)), [len(g) for g in group]), np.concatenate(group)
 
     (pd_, pw), (ud, uw) = rows(positive), rows(unlabelled)
     w = np.zeros(len(words) + 1)
@@ -131,9 +127,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     ids = hashed_sample(lab.where("toxic = 1"), POSITIVES).withColumn("toxic", F.lit(1)).unionByName(
         hashed_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")), UNLABELLED).withColumn("toxic", F.lit(0))
     )
-    got = with_texts(docs, ids).mapInPandas(_features, "toxic int, words array<long>").collect()
-    group = lambda y: [np.array(r["words"], dtype=np.int64).view(np.uint64) for r in got if r["toxic"] == y]
-    return fit(group(1), group(0), float(prior))
+    texts = cut(with_texts(docs, ids).mapInPandas(_features, "toxic int, words array<long>"))
+    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    seen = texts.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("any"))
+    lift = F.col("bad") * size.get(0, 0) >= F.col("any") * (LEAST_LIFT * size.get(1, 0))
+    words = np.array([r["word"] for r in seen.where((F.col("bad") >= LEAST_TEXTS) & lift).select("word").collect()], dtype=np.int64)
+    words = np.sort(words.view(np.uint64))
+    got = texts.select("toxic", _known(words)(F.col("words")).alias("at")).collect()
+    group = lambda y: [np.array(r["at"], dtype=np.int64) for r in got if r["toxic"] == y]
+    return fit(group(1), group(0), words, float(prior))
+
+
+def _known(words: np.ndarray):
+    """Indices of the features among the word hashes of each text."""
+
+    @F.pandas_udf("array<int>")
+    def apply(column: pd.Series) -> pd.Series:
+        out = []
+        for w in column:
+            h = np.asarray(w, dtype=np.int64).view(np.uint64)
+            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+            out.append(at[words[at] == h].astype(np.int32) if len(words) else at[:0].astype(np.int32))
+        return pd.Series(out)
+
+    return apply
 
 
 def score(model: Model, text: Column) -> Column:
