@@ -42,7 +42,7 @@ def test_query(spark, con, name):
     got = sorted(tuple(_norm(v) for v in r) for r in df.select(*cols).collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert cols
+        assert got  # rows at least
         return
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
