@@ -8,12 +8,15 @@ small the set.  Two sets agree in a coordinate with the probability of their
 Jaccard similarity, with concentration as for independent hash functions.
 
 Plan: documents with equal shingle sets form one class.  Classes that share a
-band go to a bucket.  First each member of a bucket is held against the first
-member only; buckets whose members are then in one component are done.  In the
-others all pairs from different components follow.  Every pair of classes that
-shares a band is thus either connected already or verified on its full sets, so
-the components are those of all links.  At the least similarity 0.8 a linked
-pair shares none of 32 bands of 4 coordinates with probability 5e-8.
+band go to a bucket.  First each member of a bucket is held against one member,
+the same for all bands; buckets whose members are then in one component are
+done.  In the others this is repeated ``TURNS`` times with another member per
+bucket.  Of what is left, pairs from different components that share one of
+their rarest shingles follow, a lossless filter.  So every pair of classes that
+shares a band is connected already, verified on its full sets, or below the
+similarity, and the components are those of all links; the work grows with the
+sizes of the buckets, not with their squares.  At the least similarity 0.8 a
+linked pair shares none of 32 bands of 4 coordinates with probability 5e-8.
 
 Cases: a null or empty text, or one without words, has an empty set and is
 linked with nothing.  Fewer words than a shingle make one shingle.  Null ids
@@ -36,6 +39,7 @@ from turnloom.session import cut
 
 BINS, ROWS = 128, 4
 PERCENT = 80
+TURNS = 1
 
 
 def shingle_sets(parts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -122,6 +126,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _near(x: str, y: str, percent: int):
+    """Sizes that a linked pair can have."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _torn(spots: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that hold more than one component."""
+    placed = spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    torn = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return cut(placed.join(torn.select("band", "key"), ["band", "key"], "left_semi"))
+
+
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` from different components that share one of their rarest shingles.
+
+    A linked pair has at least ``percent`` of either set in common.  So in any
+    one order of all shingles it shares one of the first ``n - need + 1`` of
+    both sets; rare ones come first, so that passages in many texts make no
+    pairs.  Nor can it have more in common than either has with other
+    components at all, or from the first shingle in common on.
+    """
+    items = cut(nodes.join(sets, "node").select("node", "n", "root", F.explode("items").alias("item")))
+    often = items.groupBy("item").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ranked = items.join(often, "item").select("node", "n", "root", "lo", "hi", F.struct("often", "item").alias("o"))
+    lists = ranked.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("o", "lo", "hi"))).alias("l"))  # one set
+    need = F.floor((F.col("n") * percent + 99) / 100)
+    lists = lists.withColumn("m", F.size(F.filter("l", lambda e: e["lo"] < e["hi"]))).where(F.col("m") >= need)
+    head = lists.select("node", "n", "m", "root", F.posexplode(F.slice("l", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("i", "e"))
+    head = head.where("e.lo < e.hi").select("node", F.least(F.col("m"), F.col("n") - F.col("i")).alias("most"), "n", "root", F.col("e.o.item").alias("item"))
+    left = head.select("item", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("root").alias("ra"))
+    right = head.select("item", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("root").alias("rb"))
+    enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return left.join(right, "item").where("a < b and ra != rb").where(enough & _near("na", "nb", percent)).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, h1, h2 (the identity of the shingle set)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -129,13 +168,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("detail").alias("bands"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     spots = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a bound no linked pair exceeds
-
     centre = spots.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    stars = spots.join(centre, ["band", "key"]).where("node != a").select("a", F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(near(F.col("na"), F.col("nb")))
-    # which buckets hold more than one class decides whose texts are read again
-    busy = cut(spots.join(centre, ["band", "key"]).select("node").distinct())
+    spots = cut(spots.join(centre, ["band", "key"]))  # members of buckets with more than one class
+    stars = spots.where("node != a").select("a", F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(_near("na", "nb", percent))
+    spots = spots.drop("a")
+    busy = spots.select("node").distinct()  # only their texts are read again
     wanted = nodes.join(busy, "node", "left_semi").select("node", "h1", "h2", "first_id")
     texts = src.join(wanted.select(F.col("first_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     again = texts.mapInPandas(_signatures(k, False), _SCHEMA).select("doc_id", "h1", "h2", F.col("detail").alias("items"))
@@ -144,15 +182,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     sets = cut(again.select("node", "items").dropDuplicates(["node"]))
 
     links = cut(_verified(stars.select("a", "b"), sets, percent))
-    roots = connected(links, "a", "b")
-    # buckets that the stars left in several components
-    placed = spots.join(busy, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    torn = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    placed = cut(placed.join(torn, ["band", "key"], "left_semi"))
-    left = placed.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = placed.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("na"), F.col("nb")))
-    more = cut(_verified(rest.select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), sets, percent))
+    roots = cut(connected(links, "a", "b"))
+    for turn in range(TURNS):
+        torn = _torn(spots, roots)
+        first = torn.groupBy("band", "key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "band", F.lit(turn))).alias("c"))
+        pairs = torn.join(first, ["band", "key"]).where((F.col("root") != F.col("c.root")) & _near("n", "c.n", percent))
+        pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        links = cut(links.unionByName(_verified(pairs, sets, percent)))
+        roots = cut(connected(links, "a", "b"))
+    rest = _rare_pairs(_torn(spots, roots).select("node", "n", "root").distinct(), sets, percent)
+    more = cut(_verified(rest, sets, percent))
     if more.limit(1).count():
         roots = connected(links.unionByName(more), "a", "b")
 
