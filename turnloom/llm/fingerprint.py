@@ -1,19 +1,22 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
 Terms are the words between white space, weighted by how often they occur.  For
-each of ``SAMPLES`` samples and each term with weight S, draws that depend on
-term and sample alone, r and c from Gamma(2, 1) and b from [0, 1), give
-``t = floor(ln S / r + b)`` and ``ln a = ln c - r * (t - b + 1)``; the sample is
-the (term, t) with the smallest a.  Two texts agree in a sample with the
-probability of their generalised Jaccard similarity, sum of smaller over sum of
-larger weights.
-
-The draws come from one 64-bit hash per term and sample: 9 bits choose r from
-the quantiles of the distribution, up to three times 9 bits choose c from
-quantiles that are ever finer towards 0, where the smallest a is found, 20 bits
-are b.  Rank and identity of a sample are packed into one long, so that a
-fingerprint is a plain minimum per document in a hash aggregate.  Four
-hexadecimal digits per sample make the fingerprint.
+each of ``SAMPLES`` samples a term of weight S has draws that depend on term and
+sample alone: r and c from Gamma(2, 1) and b from [0, 1).  They give
+``t = floor(ln S / r + b)`` and ``a = c * exp(-r * (t - b + 1))``; the sample is the
+(term, t) with the smallest a.  Two texts agree in a sample with the probability
+of their generalised Jaccard similarity, sum of smaller over sum of larger
+weights.
+
+The draws are made through what sums of exponential numbers share: r (1 - b) and
+r b are two such numbers, -ln v and -ln w of even v and w; and c v is one too, e,
+while c (1 - v) is another, f.  So with e and f drawn, ``v = e / (e + f)``, and with
+``q = v w``, a is ``e * q ** t``, where t is the first number with ``S v q ** t < 1``.
+The rank of a is ``1 - exp(-a)``, which is even again: a term that occurs once has
+t = 0 and the bits of its hash as rank, without any arithmetic.  Rank and
+identity of a sample are packed into one long, so that a fingerprint is a plain
+minimum per text in a hash aggregate.  Four hexadecimal digits per sample make
+the fingerprint.
 
 ``fingerprints`` also edits each text: its last floor(n/2) code points give way
 to the first as many (or all) of the next document in descending doc_id order;
@@ -21,75 +24,63 @@ the first document follows the last.  Rows are laid out in blocks of
 consecutive ids, whose borders are ids of the table; the first row of a block
 is copied into the block before it, so a window never spans more than a block.
 
-Cases: null counts as the empty text, whose one term is the empty word; null
+Cases: null counts as the empty text, whose one term is the empty word, which
+also stands between two blanks; null
 ids come last in the order; rows of one id are ordered by text.  A table of one
 row is followed by itself.  Other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.session import cut
 
-SAMPLES = 64
+SAMPLES = 32
 DIGITS = 4
-_BITS = 9
-_STEPS = 1 << _BITS
-_FINE = 32  # below this step the next finer table takes over
 _NO_ID = -(2**63)
 
 
-def _gamma_quantiles(u: np.ndarray) -> np.ndarray:
-    """Inverse of 1 - (1 + x) exp(-x), by bisection."""
-    lo, hi = np.zeros_like(u), np.full_like(u, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = -np.expm1(-mid) - mid * np.exp(-mid) < u
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return hi
-
-
-_MID = (np.arange(_STEPS) + 0.5) / _STEPS
-_SCALE = (1.0, _FINE / _STEPS, (_FINE / _STEPS) ** 2)
-_TABLES = [_gamma_quantiles(_MID), *[np.log(_gamma_quantiles(_MID * s)) for s in _SCALE]]
-
-
-def _sample(h: Column, ln_s: Column, k: int, tables: list[Column]) -> Column:
-    """Rank and identity of sample ``k`` of a term as one long; the smallest wins."""
-    bits = F.xxhash64(h, F.lit(k))
-    part = lambda i: F.shiftrightunsigned(bits, _BITS * i).bitwiseAND(F.lit(_STEPS - 1)).cast("int")
-    r = tables[0].__getitem__(part(0))
-    ln_c = (
-        F.when(part(1) >= _FINE, tables[1].__getitem__(part(1)))
-        .when(part(2) >= _FINE, tables[2].__getitem__(part(2)))
-        .otherwise(tables[3].__getitem__(part(3)))
-    )
-    b = F.shiftrightunsigned(bits, 44) / F.lit(float(1 << 20))
-    t = F.floor(ln_s / r + b)
-    rank = ((ln_c - r * (t - b + 1) + 64) * F.lit(float(1 << 24))).cast("long")
-    name = F.shiftleft(h.bitwiseAND(F.lit((1 << 26) - 1)), 6).bitwiseOR(t.bitwiseAND(F.lit(63)))
-    return F.shiftleft(rank, 32).bitwiseOR(name)
-
-
-def weighted_samples(terms: DataFrame, block: str, text: str, term: Column, samples: int = SAMPLES) -> DataFrame:
-    """block, text, fingerprint from one row per occurrence of a term in a text.
-
-    Texts of a block share the draws: each distinct (term, weight) of a block is
-    sampled once and then dealt to the texts that have it.
-    """
-    weighted = terms.select(block, text, F.xxhash64(term).alias("_h")).groupBy(block, text, "_h").agg(F.count("*").alias("_s"))
-    tables = [F.lit(np.round(t, 6)) for t in _TABLES]
-    ln_s = F.ln(F.col("_s"))
-    drawn = weighted.groupBy("_h", "_s", block).agg(
-        F.collect_list(text).alias("_in"), *[_sample(F.col("_h"), ln_s, k, tables).alias(f"_{k}") for k in range(samples)])
-    dealt = drawn.select(block, F.explode("_in").alias(text), *[f"_{k}" for k in range(samples)])
-    least = dealt.groupBy(block, text).agg(*[F.min(f"_{k}").alias(f"_{k}") for k in range(samples)])
+def _even(bits: Column, n: int) -> Column:
+    """A number between 0 and 1 from the lowest ``n`` bits of a hash."""
+    return (bits.bitwiseAND(F.lit((1 << n) - 1)) + 0.5) * F.lit(2.0**-n)
+
+
+def _sample(h: Column, s: Column, ln_s: Column, name: Column, k: int) -> Column:
+    """Rank (31 bits) and identity of sample ``k`` of a term as one long; the smallest wins."""
+    bits, more = F.xxhash64(h, F.lit(k)), F.xxhash64(h, F.lit(k + 1000))
+    first = F.shiftrightunsigned(bits, 33)
+    pack = lambda rank, t: F.shiftleft(rank, 32).bitwiseOR(name).bitwiseOR(t)
+    once = pack(first, F.lit(0))
+    e = -F.ln(1 - _even(first, 31))
+    f = -F.ln(_even(bits, 31))
+    v, w = e / (e + f), _even(more, 31)
+    q, x = v * w, s * v
+    even = lambda a: (-F.expm1(-a) * F.lit(float((1 << 31) - 1))).cast("long")
+    t = F.floor((F.ln(w) - ln_s) / F.ln(q))
+    often = F.when((s - 1) * e < f, once).when(x * q < 1, pack(even(e * q), F.lit(1))).otherwise(
+        pack(even(e * F.exp(F.ln(q) * t)), t.bitwiseAND(F.lit(63))))
+    return F.when(s == 1, once).otherwise(often)
+
+
+def weighted_samples(terms: DataFrame, keys: list[str], term: Column, samples: int = SAMPLES) -> DataFrame:
+    """keys, fingerprint from one row per occurrence of a term."""
+    weighted = terms.select(*keys, F.xxhash64(term).alias("_h")).groupBy(*keys, "_h").agg(F.count("*").alias("_s"))
+    name = F.shiftleft(F.col("_h").bitwiseAND(F.lit((1 << 26) - 1)), 6)
+    weighted = weighted.select(*keys, "_h", F.col("_s").cast("double").alias("_s"), F.ln(F.col("_s")).alias("_l"), name.alias("_n"))
+    least = weighted.groupBy(*keys).agg(
+        *[F.min(_sample(F.col("_h"), F.col("_s"), F.col("_l"), F.col("_n"), k)).alias(f"_{k}") for k in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.hash(F.col(f"_{k}").bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0")
               for k in range(samples)]
-    return least.select(block, text, F.concat(*digits).alias("fingerprint"))
+    return least.select(*keys, F.concat(*digits).alias("fingerprint"))
+
+
+def _blanks(text: Column) -> Column:
+    """The text with a blank for each other white space character."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -138,8 +129,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # texts of a block are numbered: a document's own text 2 * place, its edited text one more
     both = F.array(F.struct((F.col("place") * 2).alias("no"), F.col("text").alias("t")), F.struct((F.col("place") * 2 + 1).alias("no"), edited.alias("t")))
     texts = rows.select("block", F.explode(both).alias("v"))
-    words = texts.select("block", F.col("v.no").alias("no"), F.explode(F.split(F.col("v.t"), r"\s+")).alias("w"))
-    prints = weighted_samples(words, "block", "no", F.col("w"), samples)
+    words = texts.select("block", F.col("v.no").alias("no"), F.explode(F.split(_blanks(F.col("v.t")), " ")).alias("w"))
+    prints = weighted_samples(words, ["block", "no"], F.col("w"), samples)
     prints = prints.groupBy("block", F.expr("no div 2").cast("int").alias("place")).agg(
         F.max(F.when(F.col("no") % 2 == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("no") % 2 == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
