@@ -131,8 +131,9 @@ def _(s, d):
 
 
 @query("s07_attach_vectors", sql(SPEECH, VECTORS, then="""
-, k as (select *, row_number() over (order by season, episode, start_ms, seg_idx) - 1 as row_id from known)
-select seg_idx, row_id, speaker, label from k join vectors using (row_id)"""))
+, k as (select *, row_number() over (order by season, episode, start_ms, seg_idx) - 1 as row_id from known),
+w as (select season, episode from k left join vectors v on v.row_id = k.row_id group by 1, 2 having count(*) = count(v.row_id))
+select seg_idx, row_id, speaker, label from k join vectors using (row_id) join w using (season, episode)"""))
 def _(s, d):
     return S.attach_vectors(A.speech(s, d), A.vectors(s, d).select("row_id", "label")).select("seg_idx", "row_id", "speaker", "label")
 

@@ -184,10 +184,14 @@ def _(s, d):
 
 
 @query("e04_expand_frames", sql(SHOTS, then="""
-, r as (select episode, shot_idx, start_ms, unnest(range(1, cast(floor((end_ms - start_ms) / 50000.0) as bigint) + 1)) as frame_id from shots)
-select episode, shot_idx, cast(frame_id as int) as frame_id, start_ms + (frame_id - 1) * 50000 as pos_ms from r"""))
+, r as (select episode, shot_idx, start_ms, (end_ms - start_ms) // 40 as n from shots)
+select episode, shot_idx, n as frames, cast(n as int) as last_frame, start_ms as first_pos, start_ms + (n - 1) * 40 as last_pos, n * start_ms + 40 * (n * (n - 1) // 2) as sum_pos
+from r where n > 0"""))
 def _(s, d):
-    return E.expand_frames(_sh(s, d), 0.02).select("episode", "shot_idx", "frame_id", "pos_ms")
+    """All frames at 25 per second, compared by number, bounds and sum per shot."""
+    return E.expand_frames(_sh(s, d)).groupBy("episode", "shot_idx").agg(
+        F.count(F.lit(1)).alias("frames"), F.max("frame_id").alias("last_frame"), F.min("pos_ms").alias("first_pos"),
+        F.max("pos_ms").alias("last_pos"), F.sum("pos_ms").alias("sum_pos"))
 
 
 @query("e05_split_speech", sql(SPEECH, then="""

@@ -192,11 +192,10 @@ def _(s, d):
 
 
 @query("t02_tokens", sql(LINES, then=f"""
-select unit, seg_idx, len(string_split(txt, ' ')) as n_tokens, string_split(txt, ' ')[1] as first_token, string_split(txt, ' ')[-1] as last_token
-from (select unit, seg_idx, {PRE} as txt from lines) where txt <> ''"""))
+select unit, seg_idx, unnest(range(len(t))) as pos, unnest(t) as token
+from (select unit, seg_idx, string_split({PRE}, ' ') as t from lines where {PRE} <> '')"""))
 def _(s, d):
-    t = A.lines(s, d).select("unit", "seg_idx", tokens(preprocess("text")).alias("t")).where(F.size("t") > 0)
-    return t.select("unit", "seg_idx", F.size("t").alias("n_tokens"), F.element_at("t", 1).alias("first_token"), F.element_at("t", -1).alias("last_token"))
+    return A.lines(s, d).select("unit", "seg_idx", F.posexplode(tokens(preprocess("text"))).alias("pos", "token"))
 
 
 @query("t03_term_counts", sql(LINES, TOK, then="select unit, seg_idx, term, n from tc"))

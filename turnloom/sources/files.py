@@ -71,8 +71,15 @@ def clean_rank(speech: DataFrame, order: Sequence[str] = ("season", "episode", "
 
 
 def attach_vectors(speech: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Feature row i belongs to the i-th clean segment of the corpus."""
-    return clean_rank(speech).join(vectors, "row_id")
+    """Feature row i belongs to the i-th clean segment of the corpus.
+
+    An episode gets all of its rows or none: where rows are missing for some of
+    its segments, the episode is left out (``vector_counts`` tells whether any is).
+    """
+    ep = ["season", "episode"]
+    ranked = clean_rank(speech).join(vectors.withColumn("_found", F.lit(1)), "row_id", "left")
+    whole = ranked.groupBy(*ep).agg(F.count(F.lit(1)).alias("_n"), F.count("_found").alias("_m")).where("_n = _m")
+    return ranked.join(whole.select(*ep), ep, "left_semi").drop("_found")
 
 
 def vector_counts(speech: DataFrame, vectors: DataFrame) -> DataFrame:
