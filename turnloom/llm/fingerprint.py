@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows, n = _blocks(src, blocks)
     order = Window.partitionBy("block").orderBy("halo", F.desc("key"), "text")
-    rows = rows.repartition(2 * blocks, "block")
+    rows = rows.repartition(blocks, "block")
     rows = rows.select(
         "block", "halo", "key", "text", F.row_number().over(order).alias("place"),
         F.lead("text").over(order).alias("next"), F.lead("halo").over(order).alias("last")).where("halo = 0")
