@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from turnloom.llm import language, quality, toxicity
@@ -90,6 +91,24 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark):
     assert len(wrong) <= 0.02 * len(got)
 
 
+@pytest.mark.parametrize("n,toxic", [(120, 6), (600, 180), (600, 300)])
+def test_toxicity_learns_from_few_and_from_many(spark, n, toxic):
+    rng = random.Random(n + toxic)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = [(i, " ".join([word() for _ in range(30)] + ["zork"] * (i < toxic)), int(i < toxic)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    got = df.select("toxic", (toxicity.score(model, F.col("text")) >= 0.5).cast("int").alias("p")).collect()
+    assert all(r["toxic"] == r["p"] for r in got)
+
+
+def test_toxicity_without_a_telling_word_keeps_all(spark):
+    df = spark.createDataFrame([(i, f"word{i}", i % 3 // 2) for i in range(60)], "doc_id long, text string, toxic int")
+    for labels in (df, df.withColumn("toxic", F.lit(1)), df.where("toxic = 0")):
+        model = toxicity.learn(df, labels.select("doc_id", "toxic"))
+        assert all(r["q"] < 0.5 for r in df.select(toxicity.score(model, F.col("text")).alias("q")).collect())
+
+
 def test_toxicity_edge_cases(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (7, 0)], "doc_id long, toxic int")
     for d, lab in ((edge, labels), (none, labels), (edge, labels.limit(0)), (none, labels.limit(0))):

@@ -12,8 +12,16 @@ The fit is bounded by documented parameters: at most ``POSITIVES`` toxic and
 are features.
 Scoring covers all words of every text.
 
+A word is a feature if its share among the toxic texts speaks against its share
+among the others.  The unlabelled sample holds toxic texts too, so the latter is
+estimated as ``(share in unlabelled - p * share in toxic) / (1 - p)``; the evidence
+is the log-likelihood ratio of the two shares, which grows with the number of
+toxic texts, so that neither few of them nor many toxic texts among the
+unlabelled keep the words out.
+
 Cases: null and empty texts have no words and score the bias alone.  Without
-toxic or unlabelled training rows every score is 0.  Rows without a doc_id are
+toxic or unlabelled training rows or a word that tells them apart every score is
+0, so that a filter keeps all.  Rows without a doc_id are
 never learned from.  A label counts as toxic if any row of the id says so.
 """
 
@@ -32,7 +40,7 @@ from turnloom.llm.labelled import hashed_sample, with_texts
 from turnloom.session import cut
 
 POSITIVES, UNLABELLED = 4_000, 8_000
-LEAST_TEXTS, LEAST_LIFT = 8, 5.0  # a word becomes a feature if so many toxic texts have it, and so many times the usual share
+LEAST_EVIDENCE, LEAST_LIFT = 10.0, 2.0  # of a feature: log-likelihood ratio, and share among toxic texts by that among others
 EPOCHS, RATE, DECAY = 300, 0.05, 2e-4
 
 BEGINNINGS = (4, 5, 6)  # bytes
@@ -93,7 +101,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: np.ndar
     Texts are lists of indices into ``words``, the sorted hashes of the features.
     """
     if not (positive and unlabelled and len(words) and 0 < prior < 1):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0 if not positive else 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
 
     def rows(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(group)), [len(g) for g in group]), np.concatenate(group)
@@ -120,6 +128,18 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: np.ndar
     return Model(words, w[:-1], float(w[-1]))
 
 
+def _telling(bad: Column, any_: Column, toxic: int, unlabelled: int, prior: float) -> Column:
+    """Whether a word in ``bad`` of the toxic and ``any_`` of the unlabelled texts tells toxic texts from others."""
+    if not (toxic and unlabelled and 0 < prior < 1):
+        return F.lit(False)
+    others = (1 - prior) * unlabelled  # expected number of texts that are not toxic
+    share = bad / F.lit(float(toxic))
+    usual = (F.greatest(any_ - prior * unlabelled * share, F.lit(0.0)) + 0.5) / (others + 1)
+    absent = F.when(bad < toxic, (1 - share) * F.ln((1 - share) / (1 - usual))).otherwise(0.0)
+    present = F.when(bad > 0, share * F.ln(share / usual)).otherwise(0.0)
+    return (share >= LEAST_LIFT * usual) & (toxic * (present + absent) >= LEAST_EVIDENCE)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels`` (doc_id, toxic) and on any rows of ``docs``; pass only rows that may be learned from."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
@@ -131,8 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     seen = texts.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("any"))
-    lift = F.col("bad") * size.get(0, 0) >= F.col("any") * (LEAST_LIFT * size.get(1, 0))
-    words = np.array([r["word"] for r in seen.where((F.col("bad") >= LEAST_TEXTS) & lift).select("word").collect()], dtype=np.int64)
+    telling = _telling(F.col("bad"), F.col("any"), size.get(1, 0), size.get(0, 0), float(prior))
+    words = np.array([r["word"] for r in seen.where(telling).select("word").collect()], dtype=np.int64)
     words = np.sort(words.view(np.uint64))
     got = texts.select("toxic", _known(words)(F.col("words")).alias("at")).collect()
     group = lambda y: [np.array(r["at"], dtype=np.int64) for r in got if r["toxic"] == y]
