@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from turnloom.session import cut
 
-SAMPLES = 32
+SAMPLES = 64
 DIGITS = 4
 _NO_ID = -(2**63)
 
