@@ -79,6 +79,14 @@ def test_edge_cases(spark, edge, none):
     assert dedup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_group_whatever_its_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("b")), (5, text("c")), (5, text("d")), (5, text("d")), (6, text("d") + " end"),
+            (None, text("e")), (7, text("e") + " end"), (8, text("f")), (8, text("f") + " end")]
+    kept = [(r["doc_id"], r["text"].split()[0][0]) for r in dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (5, "c"), (5, "d"), (7, "e"), (8, "f")], key=str)
+
+
 def test_sketch_agrees_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     for n in (1, 3, 40, 1500):

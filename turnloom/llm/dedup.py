@@ -162,7 +162,10 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, h1, h2 (the identity of the shingle set)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, h1, h2 (the identity of the shingle set).
+
+    Also root, a number of the component that holds whatever its ids; null for texts without words.
+    """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(src.mapInPandas(_signatures(k, True), _SCHEMA))
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("detail").alias("bands"))
@@ -197,12 +200,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 
     member = nodes.select("node", "h1", "h2", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(lowest, "root").select("h1", "h2", "component_id")
+    named = member.join(lowest, "root").select("h1", "h2", "component_id", "root")
     full = rows.where("n > 0").select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"])
-    alone = rows.where("n = 0").select("doc_id", "n", "h1", "h2", F.col("doc_id").alias("component_id"))
+    alone = rows.where("n = 0").select("doc_id", "n", "h1", "h2", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.select(*alone.columns).unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2", "root",
     )
 
 
@@ -212,8 +215,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     That is the row with the smallest doc_id; rows without words all stay.
     """
     found = near_duplicates(docs, k, percent)
-    first = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("h1", "h2")).alias("f"))
-    first = first.select(F.col("component_id").alias("w_id"), F.col("f.h1").alias("w1"), F.col("f.h2").alias("w2"))
+    # by root: groups without any id share a null component_id, and unrelated texts may share an id
+    first = found.where("kept and n_shingles > 0").groupBy("root").agg(F.min(F.struct("h1", "h2")).alias("f"), F.first("doc_id").alias("w_id"))
+    first = first.select("w_id", F.col("f.h1").alias("w1"), F.col("f.h2").alias("w2"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
     @F.pandas_udf("n long, h1 long, h2 long")
