@@ -28,6 +28,16 @@ def test_language_stage(spark, docs, edge):
     assert cp.language_id(spark, docs, SF).count() == docs.count()
 
 
+def test_language_stage_rejects_what_is_far_from_all_languages(spark, docs):
+    rows = docs.where("length(text) > 300").select("doc_id", "text", "lang")
+    far = [(-1, "жщ ъыь эюя " * 40, None), (-2, "zqxj wvkq xzjq qqzx " * 40, None), (-3, rows.where("lang = 'en'").first()["text"], None)]
+    mixed = rows.unionByName(spark.createDataFrame(far, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in cp.language_id(spark, mixed, SF).collect()}
+    assert kept == {r["doc_id"] for r in mixed.collect()} - {-1, -2}
+    nameless = mixed.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language_id(spark, nameless, SF).count() == nameless.count()
+
+
 def test_toxicity_stage(spark, tmp_path):
     rows = [(i, f"w{i % 17} v{i % 13} u{i} end" + (" zork zork" if i % 10 == 0 else ""), "en", "a", 9) for i in range(600)]
     docs, sf_dir = write(spark, tmp_path, rows, [(i, 1, int(i % 10 == 0)) for i in range(0, 400)])
