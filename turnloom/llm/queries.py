@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole test tables."""
+"""The operators as queries over the whole test tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import dedup, fingerprint, language, media, mixing, pieces, quality, token_files, toxicity, warc
+from turnloom.llm import conversations, dedup, exact, fingerprint, language, media, mixing, pieces, quality, token_files, toxicity, warc
 from turnloom.llm.common import fold, table
 from turnloom.llm.registry import ORACLES, QUERIES, query
-from turnloom.llm.sql import MINHASH_SQL, MIXING_SQL, WARC_SQL
+from turnloom.llm.sql import EXACT_SQL, MINHASH_SQL, MIXING_SQL, REPAIR_SQL, WARC_SQL
 from turnloom.session import cut
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +92,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact", EXACT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversations", REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
