@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import conversations, dedup, exact, fingerprint, language, media, mixing, pieces, quality, token_files, toxicity, warc
+from turnloom.llm import alignment, conversations, dedup, exact, fingerprint, language, media, mixing, pieces, quality, token_files, toxicity, warc
 from turnloom.llm.common import fold, table
 from turnloom.llm.registry import ORACLES, QUERIES, query
 from turnloom.llm.sql import EXACT_SQL, MINHASH_SQL, MIXING_SQL, REPAIR_SQL, WARC_SQL
@@ -94,6 +94,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op12_exact", EXACT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
