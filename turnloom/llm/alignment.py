@@ -40,13 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import release
 from turnloom.session import cut
 
-TABLE = 250_000
+TABLE = 100_000
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19  # of text that is cut up at once
 SLICE = 1 << 16  # chunks whose (document, pair) rows are made distinct at once
 MARK = "▁"
 _TWO = re.compile(r"\s\s")
+_ODD = re.compile(rf"[\s{MARK}]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -99,6 +102,13 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.size_b = len(names)
         self.bytes_b = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
+        self.len_a = np.zeros(max(self.bytes_a, default=0) + 1, np.int64)
+        for i, x in self.bytes_a.items():
+            self.len_a[i] = len(x)
+        self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.feed_a, self.feed_b = self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("x\n")[-1:]
+        # what an id adds to the text of its group: not its last of that kind, or its last
+        self.shown = [b"%d%c" % (i, c) for i in range(len(self.len_a)) for c in b",|"] + [b"%d%c" % (i, c) for i in range(self.size_b) for c in b",;"]
         with open(path_a, encoding="utf-8") as f:
             pre = json.load(f).get("pre_tokenizer") or {}
         probe = " ﬁ①Ａ  a\n "
@@ -109,7 +119,7 @@ class Aligner:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.text: list[str | None] = []  # groups of each chunk; None where bytes differ
+        self.text: list[bytes | None] = []  # groups of each chunk, each ended by a semicolon; None where bytes differ
         self.n_a, self.n_b, self.n_groups, self.n_links, self.first = (array("q") for _ in range(5))
         self.links = array("q")  # a * size_b + b
 
@@ -121,72 +131,94 @@ class Aligner:
             return _CUT.split(text)
         return text.split(" ")
 
-    def learn(self, new: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        know_a, know_b = self.bytes_a, self.bytes_b
-        good, len_a, len_b = [], [], []
-        for c, a, b in zip(new, ids_a, ids_b, strict=True):
-            parts_a, parts_b = [know_a.get(i, b"") for i in a], [know_b[i] for i in b]
-            want = (" " + c).encode("utf-8", "surrogatepass")
-            ok = b"".join(parts_a) == want == b"".join(parts_b) and all(parts_a) and all(parts_b)
-            good.append(ok)
-            if ok:
-                len_a += map(len, parts_a)
-                len_b += map(len, parts_b)
-        kept_a = [a for a, ok in zip(ids_a, good, strict=True) if ok]
-        kept_b = [b for b, ok in zip(ids_b, good, strict=True) if ok]
-        a, b = (np.array([i for x in k for i in x], dtype=np.int64) for k in (kept_a, kept_b))
-        end_a, end_b = np.cumsum(np.array(len_a, np.int64)), np.cumsum(np.array(len_b, np.int64))
-        start = np.concatenate((end_a - np.array(len_a, np.int64), end_b - np.array(len_b, np.int64)))
-        group = coalesce(start, np.concatenate((end_a, end_b)))
+    def _ids(self, chunks: list[str], plain: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of each chunk, and how many, by both vocabularies.
+
+        Plain chunks are asked for all at once, each ended by a line feed, which
+        neither vocabulary joins with anything here.
+        """
+        if plain and chunks:
+            text = "\n ".join(chunks) + "\n"
+            flat = [np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text), np.int64)]
+            ends = [np.flatnonzero(f == feed[0]) for f, feed in zip(flat, (self.feed_a, self.feed_b), strict=True)]
+            if len(self.feed_a) == 1 and len(ends[0]) == len(ends[1]) == len(chunks):
+                return [np.delete(f, e) for f, e in zip(flat, ends, strict=True)], [np.diff(e, prepend=-1) - 1 for e in ends]
+        both = ([e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1))
+        return [np.array([i for x in k for i in x], np.int64) for k in both], [np.array([len(x) for x in k], np.int64) for k in both]
+
+    def _good(self, chunks: list[str], ids: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """Whether the tokens of each chunk give its bytes back, in both vocabularies."""
+        want = [(" " + c).encode("utf-8", "surrogatepass") for c in chunks]
+        whole, ok = b"".join(want), np.ones(len(chunks), bool)
+        for f, n, know, size in zip(ids, counts, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True):
+            upto = np.concatenate(([0], np.cumsum(n)))
+            length = np.diff(np.concatenate(([0], np.cumsum(size[f])))[upto])
+            if (size[f] > 0).all() and (length == [len(w) for w in want]).all() and b"".join([know[i] for i in f.tolist()]) == whole:
+                continue
+            for k, w in enumerate(want):
+                own = f[upto[k] : upto[k + 1]].tolist()
+                ok[k] &= all(size[own] > 0) and b"".join([know[i] for i in own]) == w if own else False
+        return ok
+
+    def learn(self, new: list[str], plain: bool = False) -> None:
+        ids, counts = self._ids(new, plain)
+        good = self._good(new, ids, counts)
+        if not good.all():
+            ids = [f[np.repeat(good, n)] for f, n in zip(ids, counts, strict=True)]
+            counts = [n * good for n in counts]
+        (a, b), (of_a, of_b) = ids, counts
+        size_a, size_b = self.len_a[a], self.len_b[b]
+        end = np.concatenate((np.cumsum(size_a), np.cumsum(size_b)))
+        group = coalesce(end - np.concatenate((size_a, size_b)), end)
         group_a, group_b = group[: len(a)], group[len(a) :]
         link_a, link_b = all_pairs(group_a, group_b)
-        keys = a[link_a] * self.size_b + b[link_b]
-        # a chunk begins a group, so the groups of a chunk follow from its tokens
-        ends = np.cumsum([len(x) for x in kept_a])
-        last = group_a[ends - 1] if len(ends) else ends
-        links_upto = np.searchsorted(group_a[link_a], last, "right")
-        edge_a, edge_b = np.searchsorted(group_a, np.arange(len(group)), "left"), np.searchsorted(group_b, np.arange(len(group)), "left")
-        cut_a, cut_b = edge_a.tolist(), edge_b.tolist()
-        str_a, str_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        n_groups = int(group_a[-1]) + 1 if len(a) else 0
-        texts = [
-            ",".join(str_a[cut_a[g] : cut_a[g + 1] if g + 1 < n_groups else None]) + "|" + ",".join(str_b[cut_b[g] : cut_b[g + 1] if g + 1 < n_groups else None])
-            for g in range(n_groups)
-        ]
-        base, g0, l0, k = len(self.links), 0, 0, 0
-        self.links.frombytes(keys.astype(np.int64).tobytes())
-        for c, ok in zip(new, good, strict=True):
-            self.at[c] = len(self.text)
-            self.first.append(base + l0)
-            if not ok:
-                self.text.append(None)
-                for n in (self.n_a, self.n_b, self.n_groups, self.n_links):
-                    n.append(0)
-                continue
-            g1, l1 = int(last[k]) + 1, int(links_upto[k])
-            self.text.append(";".join(texts[g0:g1]))
-            self.n_a.append(len(kept_a[k]))
-            self.n_b.append(len(kept_b[k]))
-            self.n_groups.append(g1 - g0)
-            self.n_links.append(l1 - l0)
-            g0, l0, k = g1, l1, k + 1
+        # a chunk begins a group, so its groups and links follow from its tokens
+        chunk_a = np.repeat(np.arange(len(new)), of_a)
+        groups = np.bincount(chunk_a[np.diff(group_a, prepend=-1) > 0], minlength=len(new)) if len(a) else np.zeros(len(new), np.int64)
+        links = np.bincount(chunk_a[link_a], minlength=len(new)) if len(a) else np.zeros(len(new), np.int64)
+        kind = np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((np.arange(len(group)), kind, group))
+        run = (group * 2 + kind)[order]
+        last = np.diff(run, append=-1) != 0
+        code = np.concatenate((a, b + len(self.len_a)))[order] * 2 + last
+        shown = self.shown
+        texts = [shown[c] for c in code.tolist()]
+        upto = np.concatenate(([0], np.cumsum(of_a + of_b))).tolist()
+        base, at = len(self.links), len(self.text)
+        self.at.update(zip(new, range(at, at + len(new)), strict=True))
+        self.text += [b"".join(texts[x:y]) if y > x else None for x, y in zip(upto[:-1], upto[1:], strict=True)]
+        self.first.frombytes((base + np.cumsum(links) - links).astype(np.int64).tobytes())
+        self.links.frombytes((a[link_a] * self.size_b + b[link_b]).astype(np.int64).tobytes())
+        for column, n in ((self.n_a, of_a), (self.n_b, of_b), (self.n_groups, groups), (self.n_links, links)):
+            column.frombytes(n.astype(np.int64).tobytes())
+
+    def _learn_all(self, chunks: list[str]) -> None:
+        new = [c for c in dict.fromkeys(chunks) if c not in self.at]
+        plain = [c for c in new if c and not _ODD.search(c)]
+        some = set(plain)
+        other = [c for c in new if c not in some]
+        for part, is_plain in ((plain, True), (other, False)):
+            for i in range(0, len(part), 2048):
+                self.learn(part[i : i + 2048], is_plain)
 
     def block(self, texts: list[str]) -> dict:
         """What a block's row holds besides the ids of its documents."""
-        at, docs, shas = self.at, [], []
-        for text in texts:
-            chunks = self.chunks(text) if text else []
-            new = [c for c in dict.fromkeys(chunks) if c not in at]
-            for i in range(0, len(new), 4096):
-                self.learn(new[i : i + 4096])
-            own = [at[c] for c in chunks]
-            parts = [self.text[i] for i in own]
-            if not own or None in parts:
-                own = []
-            docs.append(np.array(own, np.int64))
-            shas.append(hashlib.sha256(";".join(parts).encode()).hexdigest() if own else "")
+        at, docs, shas, a = self.at, [], [], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and size < SLICE_BYTES:
+                size += len(texts[b])
+                b += 1
+            cut_up = [self.chunks(t) if t else [] for t in texts[a:b]]
+            self._learn_all([c for chunks in cut_up for c in chunks])
+            for chunks in cut_up:
+                own = [at[c] for c in chunks]
+                parts = [self.text[i] for i in own]
+                if not own or None in parts:
+                    own = []
+                docs.append(np.array(own, np.int64))
+                shas.append(hashlib.sha256(b"".join(parts)[:-1]).hexdigest() if own else "")
+            a = b
         ends = np.cumsum([len(d) for d in docs])
         flat = np.concatenate([np.zeros(0, np.int64), *docs])
         used, flat = np.unique(flat, return_inverse=True)
@@ -243,6 +275,8 @@ def block_table(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield made()
+        tool.clear()
+        release()
 
     src = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"),
@@ -289,6 +323,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 ids = pd.array([int(i) if k else None for i, k in zip(r.doc_id, r.known, strict=True)], dtype="Int64")
                 yield pd.DataFrame({"doc_id": ids, "n_a": r.n_a, "n_b": r.n_b, "n_groups": r.n_groups, "n_links": r.n_links,
                                     "n_best": out["n_best"], "count_sum": out["count_sum"], "groups_sha256": r.sha})
+        release()
 
     full = blocks.drop("pairs", "held").join(looked, "block", "left").drop("block")
     return full.mapInPandas(run, _DOCS)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,17 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _LOWER[data]
     start, end = runs(~_SPACE[low])
     return run_hashes(low, start, end), start
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task or batch.
+
+    Arrow's pool and the allocator keep it otherwise for as long as the worker
+    lives, and the workers of earlier stages live on beside those of later ones.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

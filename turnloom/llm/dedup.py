@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import joined, mix64, slices, words
+from turnloom.llm.common import joined, mix64, release, slices, words
 from turnloom.llm.components import connected
 from turnloom.session import cut
 
@@ -106,6 +106,8 @@ def _signatures(k: int, bands: bool | None):
                     out["h2"].append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     out["detail"].append((band_keys(sketch(s)) if bands and len(s) else s if bands is not None else s[:0]).view(np.int64))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **out})
+            del pdf, out
+            release()
 
     return run
 

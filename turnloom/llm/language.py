@@ -21,7 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import release
+from turnloom.llm.labelled import hashed_sample, with_texts
+
 TOP = 300
+SAMPLE, REJECT = 8_000, 0.002  # of ``loosest_scores``
 UNKNOWN = "und"
 _BITS = 21
 _letters = np.zeros(0x110000, dtype=np.int8)  # 0 not looked up yet, 1 letter, 2 other
@@ -75,6 +79,7 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if size:
                 v, n = _count(np.concatenate(held))
                 yield pd.DataFrame({"lang": lang, "code": v, "n": n})
+        release()
 
 
 def learn_profiles(docs: DataFrame, top: int = TOP) -> list[tuple[str, list[int]]]:
@@ -92,6 +97,18 @@ def learn_profiles(docs: DataFrame, top: int = TOP) -> list[tuple[str, list[int]
     return sorted(got.items())
 
 
+def loosest_scores(profiles: list[tuple[str, list[int]]], docs: DataFrame) -> dict[str, float]:
+    """Per predicted language the score that all but a share ``REJECT`` of the texts that name a language reach.
+
+    Taken from a sample of at most ``SAMPLE`` documents with a language, the first ones by hash.
+    """
+    named = docs.where("lang is not null")
+    ids = hashed_sample(named.select(F.col("doc_id").cast("long").alias("doc_id")), SAMPLE)
+    got = with_texts(named, ids).select(predict(profiles, F.col("text")).alias("p")).where(F.col("p.lang_pred") != UNKNOWN)
+    low = got.groupBy("p.lang_pred").agg(F.percentile_approx("p.score", REJECT, 10_000).alias("low"))
+    return {r["lang_pred"]: r["low"] for r in low.collect()}  # one row per language
+
+
 def predict(profiles: list[tuple[str, list[int]]], text: Column, top: int = TOP) -> Column:
     """Struct (lang_pred, score): score is 1 less the distance as a share of the largest possible one."""
     names = [p[0] for p in profiles]
@@ -114,6 +131,8 @@ def predict(profiles: list[tuple[str, list[int]]], text: Column, top: int = TOP)
 
     @F.pandas_udf("lang_pred string, score double")
     def apply(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        release()
+        return out
 
     return apply(text)

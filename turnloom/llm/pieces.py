@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TABLE = 400_000
+from turnloom.llm.common import release
+
+TABLE = 200_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -94,6 +96,9 @@ def encode_decode(text: Column, path: str) -> Column:
         ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array([seg.decode(i) for i in ids], type=pa.string())], names=["ids", "decoded"])
+        out = pa.StructArray.from_arrays([lists, pa.array([seg.decode(i) for i in ids], type=pa.string())], names=["ids", "decoded"])
+        del ids, flat, lists
+        release()
+        return out
 
     return apply(text)

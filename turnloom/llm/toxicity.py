@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import joined, run_hashes, runs, slices
+from turnloom.llm.common import joined, release, run_hashes, runs, slices
 from turnloom.llm.labelled import hashed_sample, with_texts
 from turnloom.session import cut
 
@@ -182,6 +182,7 @@ def score(model: Model, text: Column) -> Column:
         out = np.zeros(len(texts))
         for at, parts in slices(texts, lower=True):
             out[at : at + len(parts)] = 1 / (1 + np.exp(-np.clip(model.logits(parts), -40, 40)))
+        release()
         return pd.Series(out)
 
     return apply(text)
