@@ -52,19 +52,18 @@ def with_role(pages: DataFrame, payload: Column, least: int = 0) -> DataFrame:
     small rows with partial minima; payloads are moved once, by page and digest,
     so that no group of copies meets in one task.
     """
+    keys = ["known", "page", "sha", "size"]  # without nulls, so that the join and the numbering of equal rows share one exchange
     src = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"),
+        F.col("page_id").isNotNull().alias("known"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("page"),
+        F.col("url").cast("string").alias("url"), F.coalesce(payload.cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumns({"sha": F.sha1("payload"), "size": F.length("payload").cast("long")})
-    ids = src.groupBy("page_id", "sha", "size").agg(F.lit(1).alias("one")).drop("one")
-    rank = F.struct(F.col("page_id").isNull().alias("x"), F.col("page_id").alias("id"))
-    first = ids.groupBy("sha", "size").agg(F.min(rank).alias("first"))
+    ids = src.select(*keys).distinct()
+    first = ids.groupBy("sha", "size").agg(F.min(F.struct((~F.col("known")).alias("x"), "page")).alias("first"))
     role = cut(ids.join(first, ["sha", "size"]).select(
-        F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("size").alias("z"), F.col("first.id").alias("first_id"),
-        F.col("page_id").eqNullSafe(F.col("first.id")).alias("is_first")))
-    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z"))
-    nth = F.row_number().over(Window.partitionBy("p", "s", "z").orderBy("url"))
-    got = src.join(role, same).withColumn("nth", nth)
+        *keys, F.when(~F.col("first.x"), F.col("first.page")).alias("first_id"),
+        ((F.col("known") != F.col("first.x")) & (F.col("page") == F.col("first.page"))).alias("is_first")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("url"))
+    got = src.join(role, keys).withColumn("nth", nth).withColumn("page_id", F.when(F.col("known"), F.col("page")))
     response = (F.col("size") < least) | (F.col("is_first") & (F.col("nth") == 1))
     return got.select(
         "page_id", "url", "payload", "size", "sha", "nth", F.when(response, "response").otherwise("revisit").alias("record_type"),
