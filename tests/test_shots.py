@@ -67,6 +67,31 @@ def test_story_units(spark):
     assert pairs(S.extract_bounded_lsus(df, low, high, nested=True)) == nested
 
 
+def test_story_units_of_dense_shots(spark):
+    """Six thousand shots, hundreds to a window: the same units as by looking at every window alone."""
+    r = random.Random(4)
+    cams = [r.choice([-1, *range(60)]) if r.random() < 0.5 else r.randrange(60) for _ in range(6000)]
+    df = spark.createDataFrame([(1, i + 1, 10 * i, 10 * i + 10, c) for i, c in enumerate(cams)], "episode int, shot_idx long, start_ms long, end_ms long, cam_manual int")
+    width = 300
+    want = set()
+    for f in range(len(cams) - 1):
+        want |= {u for u in _runs(cams, f, min(f + width, len(cams)) - 1) if u[1] - u[0] + 1 >= 5}
+    got = S.extract_bounded_lsus(df, 50, 10 * width)
+    assert {(x["first_shot"] - 1, x["last_shot"] - 1) for x in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    deep = S.extract_bounded_lsus(df.where("shot_idx <= 700"), 50, 600, nested=True)
+    spanned = set()
+    for f in range(700):
+        link = {}
+        for k in range(f, min(f + 60, 700)):
+            c = cams[k]
+            if c != -1:
+                link.setdefault(c, [k, k])[1] = k
+            if k >= f + 4 and all(any(a < m < b for a, b in link.values()) for m in range(f + 1, k)):
+                spanned.add((f, k))
+    assert {(x["first_shot"] - 1, x["last_shot"] - 1) for x in deep.collect()} == spanned
+
+
 def test_greedy_selection(spark):
     r = random.Random(11)
     items = [(f"g{g}", i, r.random(), float(r.randrange(1, 9))) for g in range(6) for i in range(12)]

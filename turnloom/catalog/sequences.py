@@ -9,6 +9,7 @@ from turnloom.functions.text import preprocess, tokens
 from turnloom.operators import sequences as S
 from turnloom.operators import text as T
 from turnloom.plans.ordered import row_index
+from turnloom.plans.products import class_pairs
 from turnloom.session import cut
 from turnloom.sources import adapters as A
 
@@ -226,14 +227,40 @@ def _(s, d):
     return T.tfidf_cosine(pairs, v).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("t07_lexical_similarity", sql(LINES, TOK, then="""
-, us as (select *, row_number() over (partition by source order by unit) as pos from (select distinct unit, source from lines)),
+US = """
+us as (select *, row_number() over (partition by source order by unit) as pos from (select distinct unit, source from lines)),
 nm as (select unit, sqrt(sum(w * w)) as norm from wv group by 1),
-pr as (select a.source, a.pos as i, b.pos as j, a.unit as u1, b.unit as u2 from us a join us b on a.source = b.source and b.pos > a.pos),
-pd as (select u1, u2, sum(a.w * b.w) as p from pr join wv a on a.unit = u1 join wv b on b.unit = u2 and b.term = a.term group by 1, 2)
-select source, i, j, round(p / (x.norm * y.norm), 6) as cosine from pr join pd using (u1, u2)
-join nm x on x.unit = u1 join nm y on y.unit = u2 where round(p / (x.norm * y.norm), 9) >= 0.3"""))
-def _(s, d):
+id as (select unit, string_agg(term || ':' || n::varchar, ' ' order by term) as words from ut join idf using (term) where idf > 0 group by 1),
+cl as (select us.unit, us.source, pos, min(pos) over (partition by us.source, words) as rep, count(*) over (partition by us.source, words) as size
+  from us join id using (unit)),
+pr as (select a.source, a.pos as i, b.pos as j, a.unit as u1, b.unit as u2, a.size as n_i, b.size as n_j from cl a join cl b
+  on a.source = b.source and b.pos > a.pos where a.pos = a.rep and b.pos = b.rep),
+pd as (select u1, u2, sum(a.w * b.w) as p from pr join wv a on a.unit = u1 join wv b on b.unit = u2 and b.term = a.term group by 1, 2),
+sm as (select source, i, j, n_i, n_j, p / (x.norm * y.norm) as cosine from pr join pd using (u1, u2)
+  join nm x on x.unit = u1 join nm y on y.unit = u2 where round(p / (x.norm * y.norm), 9) >= 0.3)"""
+
+
+def _lexical(s, d):
     ut, u = _unit_counts(s, d), _units(s, d)
-    r = T.lexical_similarity(ut.join(u, "unit"), T.idf(ut, u), 0.3)
-    return r.select("source", "i", "j", F.round("cosine", 6).alias("cosine"))
+    return ut.join(u, "unit"), T.idf(ut, u), u
+
+
+@query("t07_lexical_similarity", sql(LINES, TOK, US, then="""
+select source, i, j, n_i, n_j, round(cosine, 6) as cosine from sm
+union all select source, rep as i, rep as j, size as n_i, size as n_j, 1.0 as cosine from cl where size > 1 and pos = rep"""))
+def _(s, d):
+    """Near pairs of classes of equal documents, and each class of several as a pair with itself."""
+    terms, weights, _ = _lexical(s, d)
+    pairs, members = T.lexical_similarity(terms, weights, 0.3)
+    return class_pairs(pairs, members, ["source"], "pos").withColumn("cosine", F.round("cosine", 6))
+
+
+@query("t07_lexical_links", sql(LINES, TOK, US, then="""
+, ends as (select source, i as rep, n_j as n from sm union all select source, j, n_i from sm),
+ns as (select source, rep, sum(n) as n from ends group by 1, 2)
+select us.source, us.pos, coalesce(cl.rep, us.pos) as class, cast(coalesce(cl.size - 1 + coalesce(n, 0), 0) as bigint) as near,
+  cast(count(*) over (partition by us.source) - 1 - coalesce(cl.size - 1 + coalesce(n, 0), 0) as bigint) as far
+from us left join cl using (unit) left join ns on ns.source = cl.source and ns.rep = cl.rep"""))
+def _(s, d):
+    terms, weights, units = _lexical(s, d)
+    return T.lexical_links(terms, weights, units, 0.3)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import preprocess
@@ -132,51 +134,73 @@ def _with_times(lsu: DataFrame, shots: DataFrame) -> DataFrame:
     return lsu.join(a, ["episode", "first_shot"]).join(b, ["episode", "last_shot"])
 
 
+def _longest_units(nxt: np.ndarray, first: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the runs of spanned shots among the positions ``first`` to ``top``; ``nxt`` is the next shot of the same camera."""
+    lim = nxt[first : top + 1]
+    lim = np.where(lim <= top, lim, -1)
+    here = np.arange(first + 1, top + 1)
+    reach = np.maximum.accumulate(lim)[:-1]
+    # a shot is open (not spanned) unless an earlier one recurs after it, or as it and again later
+    free = np.concatenate(([first], here[(reach < here) | ((reach == here) & (lim[1:] == -1))]))
+    long = np.diff(free) >= 2
+    return free[:-1][long], free[1:][long]
+
+
+def _sweep(min_ms: int, max_ms: int, nested: bool):
+    """Story units of one block of an episode and the shots that its windows reach into.
+
+    First shots are taken from the last to the first.  ``need[k]`` is the first shot
+    that has to be reached for shot k to be spanned from inside; a new first
+    shot only adds its own link to the next recurrence, so ``need`` is kept and
+    lowered along that link, and memory stays linear in the shots.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shot_idx")
+        start, end = pdf["start_ms"].to_numpy(np.int64), pdf["end_ms"].to_numpy(np.int64)
+        base, own, never = int(pdf["shot_idx"].iloc[0]), pdf["_own"].to_numpy(), np.int64(1 << 62)
+        nxt = pdf["nxt"].to_numpy(np.int64)
+        nxt = np.where(nxt < 0, never, nxt - base)
+        top = np.searchsorted(end, start + max_ms, "right") - 1
+        need = np.full(len(pdf), never)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for f in range(len(pdf) - 1, -1, -1):
+            last = int(top[f])
+            if nested:
+                if (p := int(nxt[f])) < len(pdf):
+                    np.minimum(need[f + 1 : p], p, out=need[f + 1 : p])
+                    need[p] = min(need[p], nxt[p])
+                if own[f] and last >= f + 2:
+                    ends = np.arange(f + 2, last + 1)
+                    ends = ends[np.maximum.accumulate(need[f + 1 : last]) <= ends]
+                    found.append((np.full(len(ends), f), ends))
+            elif own[f] and last >= f + 1:
+                found.append(_longest_units(nxt, f, last))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]) for k in (0, 1))
+        out = pd.DataFrame({"first_shot": a + base, "last_shot": b + base, "start_ms": start[a], "end_ms": end[b]}).drop_duplicates()
+        out.insert(0, "episode", pdf["episode"].iloc[0])
+        return out[out["end_ms"] - out["start_ms"] >= min_ms]
+
+    return run
+
+
 def extract_bounded_lsus(shots: DataFrame, min_ms: int, max_ms: int, nested: bool = False, camera: str = "cam_manual") -> DataFrame:
     """Story units no longer than ``max_ms`` and no shorter than ``min_ms``.
 
     For every first shot, the longest window that fits is searched.  With
     ``nested`` every unit inside a unit is returned as well, which is the set
     of shot ranges whose inner shots are all spanned by links inside the range;
-    it needs no recursion.  A window holds the shots of ``max_ms`` only and is
-    built from time blocks with a copied edge.
+    it needs no recursion.  Shots are numbered densely and follow each other.  A
+    task sweeps the shots of a time block of ``max_ms`` and of the one after it.
     """
-    nxt = F.coalesce("nxt", F.lit(-1)).alias("nxt")
-    linked = _next_same_camera(shots, camera).select("episode", "shot_idx", "start_ms", "end_ms", nxt)
+    nxt = F.coalesce("nxt", F.lit(-1)).cast("long").alias("nxt")
+    linked = _next_same_camera(shots, camera).select("episode", F.col("shot_idx").cast("long").alias("shot_idx"), "start_ms", "end_ms", nxt)
     blk = F.floor(F.col("start_ms") / F.lit(max_ms))
     h = linked.withColumn("_hb", F.explode(F.array(blk - 1, blk))).withColumn("_own", F.col("_hb") == blk)
-    w = Window.partitionBy("episode", "_hb").orderBy("start_ms").rangeBetween(0, max_ms)
-    h = h.withColumn("win", F.collect_list(F.struct("shot_idx", "start_ms", "end_ms", "nxt")).over(w)).where("_own")
-    fits = F.filter("win", lambda m: m["end_ms"] - F.col("start_ms") <= max_ms)
-    h = h.select("episode", "shot_idx", F.array_sort(fits).alias("win")).where(F.size("win") >= 2)
-    # Positions k in a window count from 0; shot_idx + k is the shot.
-    n, here = F.size("win"), lambda k: F.col("shot_idx") + k
-    ks = lambda first: F.sequence(F.lit(first), F.greatest(n - 1, F.lit(first)))
-    if nested:
-        # need[k]: the first shot that must be reached for shot k to be spanned from inside; none = never.
-        # A shot whose camera was seen before is spanned as soon as it recurs.
-        far = 1 << 62
-        after = lambda k: F.array_min(F.filter(F.slice("nx", F.lit(1), k), lambda x: x > here(k)))
-        h = h.withColumn("nx", F.transform("win", lambda m: m["nxt"]))
-        again = lambda k: F.when(F.array_contains(F.slice("nx", F.lit(1), k), here(k)) & (F.get("nx", k) > 0), F.get("nx", k))
-        h = h.withColumn("need", F.transform(ks(1), lambda k: F.coalesce(F.least(after(k), again(k)), F.lit(far))))
-        ends = F.filter(ks(2), lambda k: (k < n) & (F.array_max(F.slice("need", F.lit(1), k - 1)) <= here(k)))
-        found = h.select("episode", F.col("win")[0].alias("a"), F.explode(F.transform(ends, lambda k: F.get("win", k))).alias("b"))
-    else:
-        top = F.element_at("win", -1)["shot_idx"]
-        h = h.withColumn("lim", F.transform("win", lambda m: F.when(m["nxt"] <= top, m["nxt"]).otherwise(-1)))
-        # A shot is open (not spanned) unless an earlier shot of the window recurs after it, or as it and again later.
-        reach = lambda k: F.array_max(F.slice("lim", F.lit(1), k))
-        o = F.concat(F.array(F.lit(0)), F.filter(ks(1), lambda k: (reach(k) < here(k)) | ((reach(k) == here(k)) & (F.get("lim", k) == -1))))
-        h = h.select("episode", "win", o.alias("o"))
-        pairs = F.arrays_zip(F.expr("slice(o, 1, size(o) - 1)").alias("a"), F.expr("slice(o, 2, size(o) - 1)").alias("b"))
-        found = h.select("episode", "win", F.explode(F.filter(pairs, lambda p: p["b"] - p["a"] >= 2)).alias("p"))
-        found = found.select("episode", F.get("win", F.col("p.a")).alias("a"), F.get("win", F.col("p.b")).alias("b"))
-    out = found.select(
-        "episode", F.col("a.shot_idx").alias("first_shot"), F.col("b.shot_idx").alias("last_shot"),
-        F.col("a.start_ms").alias("start_ms"), F.col("b.end_ms").alias("end_ms"),
-    )
-    return out.where(F.col("end_ms") - F.col("start_ms") >= min_ms).distinct()
+    kind = {f.name: f.dataType.simpleString() for f in shots.schema}
+    schema = f"episode {kind['episode']}, first_shot long, last_shot long, start_ms long, end_ms long"
+    out = h.groupBy("episode", "_hb").applyInPandas(_sweep(min_ms, max_ms, nested), schema).distinct()
+    return out.select("episode", *[F.col(c).cast(kind["shot_idx"]).alias(c) for c in ("first_shot", "last_shot")], "start_ms", "end_ms")
 
 
 def merge_summary(segs: DataFrame, keys: Sequence[str] = ("episode",)) -> DataFrame:
