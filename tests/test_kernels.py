@@ -100,3 +100,32 @@ def test_roots_and_matching(spark):
                 la.add(a)
                 lb.add(b)
         assert {(x["a"], x["b"]) for x in out if x["g"] == g} == want
+
+
+def test_whole_table_as_one_sequence(spark, monkeypatch):
+    """Without keys: ranges and a tree of totals give the same as one pass, and no exchange has a single partition."""
+    monkeypatch.setattr(O, "FAN", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        r = random.Random(9)
+        rows = [(r.randrange(50), i, r.choice([None, r.randrange(9)])) for i in range(300)]
+        df = spark.createDataFrame(rows, "t int, i int, v int")
+        aggs = {"n": ("sum", F.lit(1)), "top": ("max", F.col("v")), "low": ("min", F.col("v")), "seen": ("last", F.col("v"))}
+        for reverse in (False, True):
+            for inclusive in (False, True):
+                got = O.running(df, [], ["t", "i"], None, aggs, inclusive, reverse)
+                assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+                by = {x["i"]: x for x in got.collect()}
+                seq = sorted(rows, key=lambda x: x[:2], reverse=reverse)
+                assert len(by) == len(rows)
+                for k, (_, i, _) in enumerate(seq):
+                    vs = [x[2] for x in seq[: k + inclusive] if x[2] is not None]
+                    want = (k + inclusive or None, max(vs, default=None), min(vs, default=None), vs[-1] if vs else None)
+                    assert tuple(by[i][c] for c in ("n", "top", "low", "seen")) == want
+        assert O.running(df.limit(0), [], ["t", "i"], None, aggs).count() == 0
+        keyed = O.row_index(df.withColumn("g", F.col("t") % 3), ["g"], ["t", "i"], None)
+        for g in range(3):
+            own = sorted(x[:2] for x in rows if x[0] % 3 == g)
+            assert {(x["t"], x["i"]): x["idx"] for x in keyed.where(F.col("g") == g).collect()} == {x: k + 1 for k, x in enumerate(own)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

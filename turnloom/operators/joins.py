@@ -101,7 +101,7 @@ def scene_segments(shots: DataFrame, segs: DataFrame) -> DataFrame:
     last = scenes.groupBy("episode").agg(F.max("scene_idx").alias("scene_idx"))
     hit = majority_join(shots.select("episode", "scene_idx", "start_ms", "end_ms"), segs.where("speaker not in ('', 'S')"))
     spoken = hit.select("episode", "scene_idx").unionByName(last).distinct()
-    kept = running(spoken, [], ["episode", "scene_idx"], F.col("episode"), {"scene_ord": ("sum", F.lit(1).cast("long"))})
+    kept = running(spoken, [], ["episode", "scene_idx"], None, {"scene_ord": ("sum", F.lit(1).cast("long"))})
     return kept.join(hit, ["episode", "scene_idx"], "left")
 
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import pair_high, pair_low, sigmoid
-from turnloom.plans.ordered import blocked, neighbours, row_index, running
+from turnloom.plans.ordered import neighbours, row_index, running
 from turnloom.plans.products import cosines
 from turnloom.session import cut
 
 SCENE_BLOCK = 1024
+SALT = 16  # parts of the pairs of one speaker
 
 
 def _ends(edges: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -32,19 +33,24 @@ def _pair_timeline(edges: DataFrame) -> DataFrame:
     sum; ``b`` the running sum of both; ``own`` the pair's own weight;
     ``p_*`` the last own scene so far, ``q_*`` the next one after this scene.
     The work is spread by pair and block of scenes, so one long series is many tasks.
+    Speakers meet their pairs as one packed row per block in which they are
+    active, and pairs of one speaker are dealt to ``SALT`` parts; scenes are
+    unpacked only where pair and block already lie together.
     """
     edges = cut(edges.where("src <> dst").groupBy("series", "src", "dst", "scene").agg(F.sum("weight").alias("weight")))
     act = _ends(edges, ["series", "scene"]).groupBy("series", "scene", "speaker").agg(F.sum("weight").alias("w"))
-    own = edges.withColumnRenamed("weight", "own")
-    pairs = own.select("series", "src", "dst").distinct()
-    side = lambda end, c: pairs.join(act.withColumnRenamed("speaker", end), ["series", end]).select(
-        "series", "src", "dst", "scene", *[(F.col("w") if x == c else F.lit(None).cast("double")).alias(x) for x in ("oa", "ob")]
-    )
-    ev = side("src", "oa").unionByName(side("dst", "ob")).groupBy("series", "src", "dst", "scene").agg(F.sum("oa").alias("oa"), F.sum("ob").alias("ob"))
-    ev = ev.join(own, ["series", "src", "dst", "scene"], "left")
+    pairs = edges.select("series", "src", "dst").distinct()
+    block = F.floor(F.col("scene") / SCENE_BLOCK).alias("_b")
+    packed = act.groupBy("series", "speaker", block).agg(F.collect_list(F.struct("scene", "w")).alias("at"))  # one block
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    side = lambda end, other, kind: pairs.withColumn("_salt", F.pmod(F.hash(other), F.lit(SALT))).join(
+        packed.withColumnRenamed("speaker", end), ["series", end, "_salt"]).select("series", "src", "dst", "_b", F.lit(kind).alias("kind"), "at")
+    itself = edges.select("series", "src", "dst", block, F.lit("own").alias("kind"), F.array(F.struct("scene", F.col("weight").alias("w"))).alias("at"))
+    ev = side("src", "dst", "oa").unionByName(side("dst", "src", "ob")).unionByName(itself).repartition("series", "src", "dst", "_b")
+    ev = ev.select("series", "src", "dst", "_b", "kind", F.inline("at")).groupBy("series", "src", "dst", "_b", "scene").agg(
+        *[F.sum(F.when(F.col("kind") == x, F.col("w"))).alias(x) for x in ("oa", "ob", "own")])
     ev = ev.select("*", F.coalesce("oa", "ob").alias("o"), (F.coalesce("oa", F.lit(0.0)) + F.coalesce("ob", F.lit(0.0))).alias("both")).drop("oa", "ob")
     k = ["series", "src", "dst"]
-    ev = blocked(ev, k, F.floor(F.col("scene") / SCENE_BLOCK))
     ev = running(ev, k, ["scene"], "_b", {"s": ("sum", F.col("o")), "b": ("sum", F.col("both"))})
     at = F.when(F.col("own").isNotNull(), F.struct("scene", "own", "s", (F.col("s") - F.col("o")).alias("s0"), "b", (F.col("b") - F.col("both")).alias("b0")))
     ev = running(ev, k, ["scene"], "_b", {"p": ("last", at)})
@@ -232,7 +238,7 @@ def storyline_order(snapshots: DataFrame, scenes: DataFrame, speakers: DataFrame
     move at once from the positions of the previous sweep; ``speakers`` lists
     (series, speaker), ``scenes`` (series, scene) without gaps.
     """
-    rank0 = row_index(speakers.select("series", "speaker").distinct(), ["series"], ["speaker"], F.substring("speaker", 1, 4), "pos")
+    rank0 = row_index(speakers.select("series", "speaker").distinct(), ["series"], ["speaker"], None, "pos")
     pos = cut(scenes.select("series", "scene").join(rank0, "series"))
     e = _ends(snapshots, ["series", "scene"])
     for sweep in sweeps:

@@ -212,12 +212,11 @@ def merge_summary(segs: DataFrame, keys: Sequence[str] = ("episode",)) -> DataFr
     return i.groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
-def fill_scene_refs(scenes: DataFrame, refs: Sequence[str] = ("season", "episode"), block: int = 4096) -> DataFrame:
+def fill_scene_refs(scenes: DataFrame, refs: Sequence[str] = ("season", "episode")) -> DataFrame:
     """A scene without speech takes the references of the scene before it (NULL = none)."""
-    blk = F.floor(F.col("scene") / F.lit(block))
     packed = F.when(F.col(refs[0]).isNotNull(), F.struct(*refs))
     keep = [c for c in scenes.columns if c not in refs]
-    r = running(scenes, [], ["scene"], blk, {"_ref": ("last", packed)})
+    r = running(scenes, [], ["scene"], None, {"_ref": ("last", packed)})
     return r.select(*keep, *[F.col("_ref")[c].alias(c) for c in refs])
 
 

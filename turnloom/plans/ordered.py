@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.session import cut
+
 BLOCK_MS = 600_000
 
 
@@ -53,18 +55,71 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(here, before)
 
 
+PART = "_part"
+FAN = 64  # blocks under one node of the tree of totals
+
+
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` as a written table, dealt to tasks by ranges of ``order``, with the number of the range (``PART``).
+
+    The ranges are sampled, so they hold about equally many rows whatever the
+    values look like; equal rows of ``order`` share a range.
+    """
+    return cut(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id().cast("long")))
+
+
+def _tree(per_block: DataFrame, aggs: dict, reverse: bool) -> DataFrame:
+    """What comes before each block of one sequence: block (a number) and ``_c_`` columns from its ``_t_`` columns.
+
+    Totals are summed up a tree with ``FAN`` blocks to a node and carried down
+    again, so no task sees more than ``FAN`` rows of a level.
+    """
+    flip = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
+
+    def whole(kind: str, col: Column) -> Column:
+        if kind == "last":
+            return (F.min_by if reverse else F.max_by)(col, F.when(col.isNotNull(), F.col("_n0")))
+        return _local(kind, col)
+
+    names = list(aggs)
+    levels = [per_block.withColumnRenamed(PART, "_n0")]
+    for _ in range(3):  # FAN ** 4 blocks under the root
+        below = levels[-1]
+        up = below.groupBy(F.floor(F.col("_n0") / FAN).alias("_up")).agg(*[whole(aggs[n][0], F.col(f"_t_{n}")).alias(f"_t_{n}") for n in names])
+        levels.append(up.withColumnRenamed("_up", "_n0"))
+    carried = None
+    for level in reversed(levels):
+        up = F.floor(F.col("_n0") / FAN)
+        w = Window.partitionBy(up).orderBy(flip("_n0")).rowsBetween(Window.unboundedPreceding, -1)
+        here = level.select("_n0", up.alias("_up"), *[_local(aggs[n][0], F.col(f"_t_{n}")).over(w).alias(f"_w_{n}") for n in names])
+        if carried is None:
+            carried = here.select("_n0", *[F.col(f"_w_{n}").alias(f"_c_{n}") for n in names])
+        else:
+            above = carried.withColumnRenamed("_n0", "_up")
+            carried = here.join(above, "_up", "left").select(
+                "_n0", *[_merge(aggs[n][0], F.col(f"_c_{n}"), F.col(f"_w_{n}")).alias(f"_c_{n}") for n in names])
+    return carried.withColumnRenamed("_n0", PART)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column | str,
+    block: Column | str | None,
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     reverse: bool = False,
 ) -> DataFrame:
-    """Running ``sum``/``max``/``min``/``last`` (last non-null) per group in order."""
+    """Running ``sum``/``max``/``min``/``last`` (last non-null) per group in order.
+
+    Without keys the whole table is one sequence: ``block`` is not used then,
+    the blocks are ranges of ``order`` and what they carry goes up and down a tree.
+    """
     keys, order = list(keys), list(order)
-    src, blk = _laid_out(df, keys, block)
+    if keys:
+        src, blk = _laid_out(df, keys, block)
+    else:
+        src, blk = ranged(df, order), PART
     flip = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     rows = (
         Window.partitionBy(*keys, blk)
@@ -80,10 +135,13 @@ def running(
         return _local(kind, col)
 
     per_block = src.groupBy(*keys, blk).agg(*[total(k, c).alias(f"_t_{n}") for n, (k, c) in aggs.items()])
-    blocks = Window.partitionBy(*keys).orderBy(flip(blk)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(
-        *keys, blk, *[_local(k, F.col(f"_t_{n}")).over(blocks).alias(f"_c_{n}") for n, (k, _) in aggs.items()]
-    )
+    if keys:
+        blocks = Window.partitionBy(*keys).orderBy(flip(blk)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = per_block.select(
+            *keys, blk, *[_local(k, F.col(f"_t_{n}")).over(blocks).alias(f"_c_{n}") for n, (k, _) in aggs.items()]
+        )
+    else:
+        carry = _tree(per_block, aggs, reverse)
     out = here.join(carry, [*keys, blk], "left")
     return out.select(
         *df.columns, *[_merge(k, F.col(f"_c_{n}"), F.col(f"_h_{n}")).alias(n) for n, (k, _) in aggs.items()]
@@ -121,8 +179,11 @@ def neighbours(
     return out.select(*df.columns, *picked)
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "idx") -> DataFrame:
-    """Dense 1-based position of each row in its group."""
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | str | None, name: str = "idx") -> DataFrame:
+    """Dense 1-based position of each row in its group; without ``block``, blocks are ranges of (keys, order)."""
+    if keys and block is None:
+        out = running(ranged(df, [*keys, *order]), keys, order, PART, {name: ("sum", F.lit(1).cast("long"))})
+        return out.drop(PART)
     return running(df, keys, order, block, {name: ("sum", F.lit(1).cast("long"))})
 
 

@@ -64,10 +64,9 @@ def import_music(values: DataFrame, shots: DataFrame, rate: float, window: int,
 
 
 def clean_rank(speech: DataFrame, order: Sequence[str] = ("season", "episode", "start_ms", "seg_idx")) -> DataFrame:
-    """0-based rank of each clean segment in the corpus, through blocks of time."""
+    """0-based rank of each clean segment in the corpus."""
     clean = speech.where("speaker not in ('', 'S')")
-    block = F.struct("season", "episode", F.floor(F.col("start_ms") / 600_000).alias("b"))
-    return row_index(clean, [], list(order), block, "_n").withColumn("row_id", F.col("_n") - 1).drop("_n")
+    return row_index(clean, [], list(order), None, "_n").withColumn("row_id", F.col("_n") - 1).drop("_n")
 
 
 def attach_vectors(speech: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def sample_shot_positions(shots: DataFrame, n: int = 4, fps: float = 25.0) -> Da
 def vertex_ids(edges: DataFrame, first: int = 0) -> DataFrame:
     """Dense ids of all vertex labels in alphabetical order."""
     v = edges.select(F.explode(F.array("src", "dst")).alias("label")).distinct()
-    n = row_index(v, [], ["label"], F.substring("label", 1, 4), "_n")
+    n = row_index(v, [], ["label"], None, "_n")
     return n.select("label", (F.col("_n") - 1 + first).alias("id"))
 
 
