@@ -139,7 +139,7 @@ def test_streams_wait_for_rows_out_of_order(spark):
     def run(batches):
         frames = [r + (n,) for n, b in enumerate(batches) for r in b]
         df = spark.createDataFrame(frames, cols + ", n int")
-        s = replay(df, files=1, order="n", parts=len(batches)).withColumn("ts", F.timestamp_millis(F.col("start_ms") + X.EPOCH_MS))
+        s = replay(df, order="n", batches=len(batches)).withColumn("ts", F.timestamp_millis(F.col("start_ms") + X.EPOCH_MS))
         return sorted(map(tuple, drain(X.stream_interactions(s, 5_000_000), "append").collect()))
 
     whole = run([rows, far])
@@ -158,7 +158,7 @@ def test_x04_waits_for_scenes_out_of_order(spark):
 
     def run(batches):
         df = spark.createDataFrame([r + (n,) for n, b in enumerate(batches) for r in b], "series int, scene long, src string, dst string, weight double, n int")
-        s = replay(df, files=1, order="n", parts=len(batches)).withColumn("ts", F.timestamp_millis(F.col("scene") * 3_600_000 + X.EPOCH_MS))
+        s = replay(df, order="n", batches=len(batches)).withColumn("ts", F.timestamp_millis(F.col("scene") * 3_600_000 + X.EPOCH_MS))
         got = drain(X.stream_past_snapshots(s, delay="2 hours").where("series = 1"), "append")
         return sorted(map(tuple, got.collect()))
 

@@ -165,13 +165,12 @@ def _(s, d):
 
 
 @query("i10_interaction_errors", sql(SPEECH, REF, rules_cte("known", GAP), then="""
-, net as (select speaker, ref from kr where ref is not null group by 1, 2 having sum(end_ms - start_ms) / 1000.0 >= 2700)
+, net as (select speaker, ref from kr where ref is not null group by 1, 2 having sum(end_ms - start_ms) > 0)
 select t.seg_idx, t.speaker, t.inter as dst, net.ref is null as misleading from tn_inter t join kr using (seg_idx)
 left join net on net.speaker = t.speaker and net.ref = t.inter where t.inter is not null and t.inter is distinct from kr.ref"""))
 def _(s, d):
     k = with_ref(A.known(s, d))
-    net = I.utterance_network(k, "inter_ref").where("weight >= 2700")  # only firm relations
-    return I.interaction_errors(I.sequential(k, 0, GAP), net).select("seg_idx", "speaker", "dst", "misleading")
+    return I.interaction_errors(I.sequential(k, 0, GAP), I.utterance_network(k, "inter_ref")).select("seg_idx", "speaker", "dst", "misleading")
 
 
 @query("i11_networks_by", sql(SPEECH, rules_cte("known", GAP), then="""

@@ -53,14 +53,14 @@ def _(s, d):
 
 
 @query("j05_locate_exact", sql(SPEECH, SHOTS, then="""
-, f as (select episode, start_ms + unnest(range(cast(floor((end_ms - start_ms) / 50000.0) as bigint))) * 50000 as raw from shots),
-g as (select distinct episode, cast(round(raw / 50000.0) * 50000 as bigint) as pos_ms from f),
-p as (select episode, seg_idx, cast(round(start_ms / 50000.0) * 50000 as bigint) as pos_ms from speech)
-select episode, seg_idx, pos_ms from p join g using (episode, pos_ms)"""))
+, p as (select episode, seg_idx, start_ms as at, cast(round(start_ms / 40.0) * 40 as bigint) as pos_ms from speech),
+n as (select p.*, shot_idx, s.start_ms, cast(floor((end_ms - s.start_ms) / 40.0) as bigint) as n,
+  unnest(range(-2, 3)) + cast(floor((pos_ms - s.start_ms) / 40.0) as bigint) as k
+  from p join shots s on p.episode = s.episode and pos_ms >= s.start_ms - 40 and pos_ms <= end_ms + 40)
+select distinct episode, seg_idx, shot_idx, pos_ms from n where k >= 0 and k < n and cast(round((start_ms + 40 * k) / 40.0) * 40 as bigint) = pos_ms"""))
 def _(s, d):
-    fr = E.expand_frames(_sh(s, d), 0.02).select("episode", (F.round(F.col("pos_ms") / 50000.0) * 50000).cast("long").alias("pos_ms")).distinct()
     p = A.speech(s, d).select("episode", "seg_idx", F.col("start_ms").alias("at"))
-    return J.locate_exact(p, fr, "at", 0.02).select("episode", "seg_idx", "pos_ms")
+    return J.locate_exact(p, _sh(s, d), "at").select("episode", "seg_idx", "shot_idx", "pos_ms")
 
 
 @query("j06_asof_child", sql(SPEECH, SHOTS, then="""

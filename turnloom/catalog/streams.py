@@ -30,7 +30,7 @@ ch as (select unit, st + (unnest(range(n)) * dur) // n as ts from p where n > 0)
 near as (select unit, ts, unnest(range(greatest((ts - 750 + 499) // 500, 0), (ts + 750) // 500 + 1)) * 500 as t from ch)
 select unit, t, round(count(*) * 1000.0 / 1500, 6) as rate from near where ts >= t - 750 and ts <= t + 750 group by 1, 2"""))
 def _(s, d):
-    ln = replay(timed_lines(s, d).select("unit", "start_ms", "end_ms", "text"), files=1, order="start_ms")
+    ln = replay(timed_lines(s, d).select("unit", "start_ms", "end_ms", "text"), order="start_ms")
     got = drain(X.stream_speech_rate(ln, delay="1 hour"), "update", ["unit", "t_ts"])
     return got.select("unit", (F.unix_millis("t_ts") - X.EPOCH_MS).alias("t"), F.round("rate", 6).alias("rate")).where("rate > 0")
 
@@ -41,7 +41,7 @@ from tn_inter where inter is not null group by 1, 2, 3"""))
 def _(s, d):
     k = A.known(s, d).select(F.col("unit").cast("long").alias("unit"), F.col("seg_idx").cast("long").alias("seg_idx"), "speaker", "start_ms", "end_ms")
     end = s.range(1).select(F.lit(-1).cast("long").alias("unit"), F.lit(0).cast("long").alias("seg_idx"), F.lit("end").alias("speaker"), F.lit(FAR_MS).cast("long").alias("start_ms"), F.lit(FAR_MS).cast("long").alias("end_ms"))
-    src = replay(k.unionByName(end), files=1, order="start_ms").withColumn("ts", F.timestamp_millis(F.col("start_ms") + X.EPOCH_MS))
+    src = replay(k.unionByName(end), order="start_ms").withColumn("ts", F.timestamp_millis(F.col("start_ms") + X.EPOCH_MS))
     got = drain(X.stream_interactions(src, GAP), "append")
     return got.groupBy("unit", F.least("speaker", "other").alias("src"), F.greatest("speaker", "other").alias("dst")).agg(F.round(F.sum("ms") / 1000.0, 6).alias("weight"))
 
@@ -52,5 +52,5 @@ def _(s, d):
     e = scene_edges(s, d).select(F.col("series").cast("int").alias("series"), "scene", "src", "dst", "weight")
     end = s.range(1).select(F.lit(-1).alias("series"), F.lit(FAR_MS // 3_600_000).cast("long").alias("scene"), F.lit("a").alias("src"), F.lit("b").alias("dst"), F.lit(0.0).alias("weight"))
     hour = F.col("scene") + F.greatest(F.col("series"), F.lit(0)) * 168
-    src = replay(e.unionByName(end).withColumn("o", F.col("scene") + F.greatest(F.col("series"), F.lit(0)) * 168), files=1, order="o").drop("o").withColumn("ts", F.timestamp_millis(hour * 3_600_000 + X.EPOCH_MS))
+    src = replay(e.unionByName(end).withColumn("o", F.col("scene") + F.greatest(F.col("series"), F.lit(0)) * 168), order="o").drop("o").withColumn("ts", F.timestamp_millis(hour * 3_600_000 + X.EPOCH_MS))
     return drain(X.stream_past_snapshots(src), "append").where("series >= 0").withColumn("weight", F.round("weight", 5))

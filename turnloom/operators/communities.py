@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators.networks import _ends, node_strengths
 from turnloom.plans.ordered import row_index
-from turnloom.plans.rounds import find_roots, mutual_best
+from turnloom.plans.rounds import best_matching, find_roots
 from turnloom.session import cut
 
 VIEW = ["series", "scene"]
@@ -98,9 +98,9 @@ def community_similarity(vectors: DataFrame, step: int = 1) -> DataFrame:
 
 
 def match_partitions(similarity: DataFrame) -> DataFrame:
-    """One-to-one matching of the communities of consecutive scenes by repeated mutual best."""
+    """One-to-one matching of the communities of consecutive scenes with the largest sum of cosines."""
     s = similarity.withColumn("cosine", F.round("cosine", 9))
-    return mutual_best(s, VIEW, "com1", "com2", "cosine")
+    return best_matching(s, VIEW, "com1", "com2", "cosine")
 
 
 def dynamic_communities(matching: DataFrame) -> DataFrame:

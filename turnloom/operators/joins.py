@@ -39,11 +39,19 @@ def locate(points: DataFrame, spans: DataFrame, at: str, keys: Sequence[str] = E
     return contains(points, spans, keys, F.col(at), "start_ms", "end_ms", closed=closed)
 
 
-def locate_exact(points: DataFrame, frames: DataFrame, at: str, fps: float = 25.0, keys: Sequence[str] = EP) -> DataFrame:
-    """Round a point to the frame grid and match the frame exactly (``frames.pos_ms``)."""
+def locate_exact(points: DataFrame, shots: DataFrame, at: str, fps: float = 25.0, keys: Sequence[str] = EP) -> DataFrame:
+    """Round a point to the frame grid (``pos_ms``) and find the shot one of whose frames lies on that grid position.
+
+    The frames of a shot follow its start at the frame rate, as many as fit.
+    Rounded to the grid they are consecutive, so a shot is an interval of grid
+    positions and no frame is formed.
+    """
     step = 1000.0 / fps
-    snapped = points.withColumn("pos_ms", (F.round(F.col(at) / step) * step).cast("long"))
-    return snapped.join(frames, [*keys, "pos_ms"])
+    grid = lambda c: F.round(F.col(c) / step)
+    count = F.floor((F.col("end_ms") - F.col("start_ms")) / step)
+    held = shots.where(count > 0).withColumns({"_a": (grid("start_ms") * step).cast("long"), "_z": ((grid("start_ms") + count) * step).cast("long")})
+    snapped = points.withColumn("pos_ms", (grid(at) * step).cast("long"))
+    return contains(snapped, held.drop("start_ms", "end_ms"), keys, F.col("pos_ms"), "_a", "_z").drop("_a", "_z")
 
 
 def asof_child(points: DataFrame, segments: DataFrame, at: str, carry: Sequence[str], tie: Sequence[str] = (), keys: Sequence[str] = EP) -> DataFrame:

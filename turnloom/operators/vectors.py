@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.vectors import block_distance, euclid
 from turnloom.plans.ordered import pairs_within, row_index
-from turnloom.plans.rounds import find_roots, mutual_best
+from turnloom.plans.rounds import best_matching, find_roots
 from turnloom.session import cut
 
 CRITERIA = ("min", "max", "mean", "ward")
@@ -303,6 +303,86 @@ def silhouette(pairs: DataFrame, clusters: DataFrame, keys: Sequence[str] = ("un
     return ab.select(*keys, "pos", "cluster", F.when(F.col("a").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s"))
 
 
+ITEM_BLOCK = 64
+
+
+def _cut_scores(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+    """Sum and number of the silhouettes of some items of a unit at every cut of its tree, from one pass up the tree.
+
+    Each item keeps the sum of its distances to every cluster.  A merge adds two
+    columns; the mean of the merged cluster lies between those of its parts, so
+    the nearest other cluster changes only for items that had one of the two.
+    """
+    ids = np.unique(np.concatenate([rows["pos"], rows["other"].dropna(), tree["left"].dropna(), tree["right"].dropna()]).astype(np.int64))
+    items = np.unique(rows["pos"].to_numpy(np.int64))
+    has = rows[rows["other"].notna()]
+    at = (np.searchsorted(items, has["pos"]), np.searchsorted(ids, has["other"].astype(np.int64)))
+    total, count = np.zeros((len(items), len(ids))), np.zeros((len(items), len(ids)))
+    np.add.at(total, at, has["d"].to_numpy())
+    np.add.at(count, at, 1.0)
+    mean = np.full(total.shape, np.inf)
+    np.divide(total, count, out=mean, where=count > 0)
+    of, me = np.arange(len(ids)), np.searchsorted(ids, items)
+    line = np.arange(len(items))
+
+    def nearest(which: np.ndarray) -> None:
+        m = mean[which]
+        m[np.arange(len(which)), of[me[which]]] = np.inf
+        arg[which] = m.argmin(axis=1)
+        low[which] = m[np.arange(len(which)), arg[which]]
+
+    arg, low = np.zeros(len(items), np.int64), np.full(len(items), np.inf)
+    nearest(line)
+    out = []
+    tree = tree.sort_values(["height", "cut_id"], na_position="first")  # merges before cuts of the same height
+    for cut_id, left, right in zip(tree["cut_id"], tree["left"], tree["right"], strict=True):
+        if not np.isnan(cut_id):
+            own = of[me]
+            n, a = count[line, own], mean[line, own]
+            top = np.maximum(a, np.where(np.isinf(low), -np.inf, low))
+            known = (n > 0) & (top != 0)
+            s = np.zeros(len(items))
+            s[known] = np.where(np.isinf(low[known]), np.nan, (low[known] - a[known]) / top[known])
+            out.append((int(cut_id), float(np.nansum(s)), int((~np.isnan(s)).sum())))
+            continue
+        l, r = np.searchsorted(ids, (int(left), int(right)))
+        total[:, l] += total[:, r]
+        count[:, l] += count[:, r]
+        mean[:, l] = np.inf
+        np.divide(total[:, l], count[:, l], out=mean[:, l], where=count[:, l] > 0)
+        mean[:, r] = np.inf
+        of[of == r] = l
+        nearest(np.flatnonzero((arg == l) | (arg == r)))
+    return pd.DataFrame(out, columns=["cut_id", "s", "n"])
+
+
+def cut_scores(merges: DataFrame, pairs: DataFrame, items: DataFrame, cuts: DataFrame) -> DataFrame:
+    """unit, cut_id, q: mean silhouette of the items of a unit at every cut (unit, cut_id, height) of its tree.
+
+    Work is dealt by unit and blocks of ``ITEM_BLOCK`` items, which share nothing
+    but the tree; all cuts of a unit cost about its pairs.
+    """
+    block = F.floor(F.col("pos") / ITEM_BLOCK).alias("_blk")
+    own = items.join(cuts.select("unit").distinct(), "unit", "left_semi").select("unit", "pos")
+    both = pairs.select("unit", F.explode(F.array(F.struct(F.col("i").alias("pos"), F.col("j").alias("other")), F.struct(F.col("j").alias("pos"), F.col("i").alias("other")))).alias("e"), "d")
+    rows = both.select("unit", "e.pos", "e.other", "d").join(own, ["unit", "pos"], "right").select("unit", block, "pos", F.col("other").cast("long").alias("other"), "d")
+    none = F.lit(None).cast("long")
+    tree = merges.select("unit", "height", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), none.alias("cut_id"))
+    tree = tree.unionByName(cuts.select("unit", "height", none.alias("left"), none.alias("right"), F.col("cut_id").cast("long").alias("cut_id")))
+    tree = tree.join(own.select("unit", block).distinct(), "unit")
+    kind = dict(items.dtypes)["unit"]
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"unit": [], "cut_id": [], "s": [], "n": []})
+        got = _cut_scores(a, b)
+        got.insert(0, "unit", key[0])
+        return got
+
+    got = rows.groupBy("unit", "_blk").cogroup(tree.groupBy("unit", "_blk")).applyInPandas(run, f"unit {kind}, cut_id long, s double, n long")
+    return got.groupBy("unit", "cut_id").agg(F.round(F.sum("s") / F.when(F.sum("n") > 0, F.sum("n")), 9).alias("q"))
+
+
 def best_cut(merges: DataFrame, pairs: DataFrame, items: DataFrame, bipartition: bool = False) -> DataFrame:
     """Height at which each unit's tree is cut, and the clusters it gives.
 
@@ -315,11 +395,11 @@ def best_cut(merges: DataFrame, pairs: DataFrame, items: DataFrame, bipartition:
     w = Window.partitionBy("unit").orderBy(F.desc("height"))
     c = hs.withColumns({"cut_id": F.row_number().over(w), "low": F.lead("height").over(w)}).where("low is not null")
     c = cut((c.where("cut_id = 1") if bipartition else c).select("unit", "cut_id", ((F.col("height") + F.col("low")) / 2).alias("height")))
-    parts = cut_tree(merges, items, c)
     if not bipartition:
-        q = silhouette(pairs, parts, ["unit", "cut_id"]).groupBy("unit", "cut_id").agg(F.round(F.avg("s"), 9).alias("q"))
+        q = cut_scores(merges, pairs, items, c)
         pick = q.groupBy("unit").agg(F.max_by("cut_id", F.struct("q", "cut_id")).alias("cut_id"))
-        parts = parts.join(pick, ["unit", "cut_id"], "left_semi")
+        c = cut(c.join(pick, ["unit", "cut_id"], "left_semi"))
+    parts = cut_tree(merges, items, c)
     return parts.join(c, ["unit", "cut_id"]).select("unit", "pos", "cluster", "height")
 
 
@@ -366,10 +446,10 @@ def speaker_error(labelled: DataFrame) -> DataFrame:
     """Share of time (in %) whose mapped label differs, per unit.
 
     ``labelled``: unit, ref, hyp, dur.  Labels are matched one to one on shared
-    duration by repeated mutual best.
+    duration, such that the matched time is longest.
     """
     shared = labelled.groupBy("unit", "ref", "hyp").agg(F.sum("dur").cast("double").alias("shared"))
-    good = mutual_best(shared, ["unit"], "ref", "hyp", "shared").groupBy("unit").agg(F.sum("shared").alias("good"))
+    good = best_matching(shared, ["unit"], "ref", "hyp", "shared").groupBy("unit").agg(F.sum("shared").alias("good"))
     tot = labelled.groupBy("unit").agg(F.sum("dur").cast("double").alias("duration"))
     e = (F.col("duration") - F.coalesce("good", F.lit(0.0))) / F.col("duration") * 100
     return tot.join(good, "unit", "left").select("unit", e.alias("error"), "duration")

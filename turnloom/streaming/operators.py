@@ -148,21 +148,26 @@ def stream_interactions(segs: DataFrame, gap_ms: int, delay: str = "10 minutes",
 # ---- past snapshots --------------------------------------------------------
 
 _PAST_OUT = "series int, scene long, src string, dst string, weight double"
-_PAST_STATE = "src array<string>, dst array<string>, weight array<double>, at array<long>, scene array<long>, p_src array<string>, p_dst array<string>, p_w array<double>"
+_PAST_STATE = "src array<string>, dst array<string>, weight array<double>, at array<long>, scene array<long>, p_src array<string>, p_dst array<string>, p_w array<double>, p_own array<boolean>"
 
 
-def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int = 365 * DAY) -> DataFrame:
+PARTS = 8  # of the relations of a series
+
+
+def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int = 365 * DAY, parts: int = PARTS) -> DataFrame:
     """Stored weight of every relation an end of which is active, scene by scene, looking back only.
 
     ``edges``: series, scene, src, dst, weight and the event time ``ts`` of the
     scene, the same for all its rows and growing with the scenes.  Rows may come
     in any order within ``delay``: they wait in the state until the watermark
-    has passed their scene.  Older rows are late and dropped.  State per series
-    is one weight per relation; it is given up when the watermark lies
-    ``idle_ms`` behind the last scene.  Append mode.
+    has passed their scene.  Older rows are late and dropped.  The relations of
+    a series are dealt to ``parts`` states by hash, so one long series is kept by
+    as many tasks: each sees all edges of a scene, since they tell who is active,
+    and keeps and returns the weights of its own relations.  State is given up
+    when the watermark lies ``idle_ms`` behind the last scene.  Append mode.
     """
 
-    def settle(book: dict, scene: int, now: dict) -> list:
+    def settle(book: dict, scene: int, now: dict, mine: set) -> list:
         touched = set()
         for a, b in now:
             touched.update((a, b))
@@ -171,7 +176,7 @@ def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int
             act[a] = act.get(a, 0.0) + w
             act[b] = act.get(b, 0.0) + w
         out = []
-        for k in set(book) | set(now):
+        for k in set(book) | mine:
             if k in now:
                 book[k] = now[k]
             elif k[0] in touched or k[1] in touched:
@@ -185,20 +190,23 @@ def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int
         series, wm = int(key[0]), state.getCurrentWatermarkMs()
         book, waiting, last = {}, [], 0
         if state.exists:
-            s, d, w, at, sc, ps, pd_, pw = state.get
-            book, waiting = dict(zip(zip(s, d), w)), list(zip(at[1:], sc, ps, pd_, pw))
+            s, d, w, at, sc, ps, pd_, pw, po = state.get
+            book, waiting = dict(zip(zip(s, d), w)), list(zip(at[1:], sc, ps, pd_, pw, po))
             last = int(at[0])
         for b in batches:
-            waiting += list(zip(b["at"], b["scene"], b["src"], b["dst"], b["weight"]))
+            waiting += list(zip(b["at"], b["scene"], b["src"], b["dst"], b["weight"], b["own"]))
         waiting.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
         passed = sum(r[0] <= wm for r in waiting)
         out, i = [], 0
         while i < passed:
-            at, scene, now = int(waiting[i][0]), int(waiting[i][1]), {}
+            at, scene, now, mine = int(waiting[i][0]), int(waiting[i][1]), {}, set()
             while i < passed and int(waiting[i][1]) == scene:
-                now[waiting[i][2:4]] = now.get(waiting[i][2:4], 0.0) + float(waiting[i][4])
+                pair = waiting[i][2:4]
+                now[pair] = now.get(pair, 0.0) + float(waiting[i][4])
+                if waiting[i][5]:
+                    mine.add(pair)
                 i += 1
-            out += settle(book, scene, now)
+            out += settle(book, scene, now, mine)
             last = at
         waiting = waiting[passed:]
         if not waiting and last + idle_ms <= wm:
@@ -208,10 +216,13 @@ def stream_past_snapshots(edges: DataFrame, delay: str = "1 hour", idle_ms: int
             state.update((
                 [k[0] for k in ks], [k[1] for k in ks], [book[k] for k in ks], [last, *[int(r[0]) for r in waiting]],
                 [int(r[1]) for r in waiting], [r[2] for r in waiting], [r[3] for r in waiting], [float(r[4]) for r in waiting],
+                [bool(r[5]) for r in waiting],
             ))
             state.setTimeoutTimestamp(max(int(waiting[0][0]) if waiting else last + idle_ms, wm) + 1)
         if out:
             yield pd.DataFrame([(series, *r) for r in out], columns=["series", "scene", "src", "dst", "weight"])
 
-    g = edges.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay).groupBy("series")
+    each = edges.withColumn("at", F.unix_millis("ts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    own = F.pmod(F.hash("src", "dst"), F.lit(parts)) == F.col("part")
+    g = each.withColumn("own", own).withWatermark("ts", delay).groupBy("series", "part")
     return g.applyInPandasWithState(step, _PAST_OUT, _PAST_STATE, "append", GroupStateTimeout.EventTimeTimeout)

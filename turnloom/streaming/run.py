@@ -11,21 +11,32 @@ from pyspark.sql import functions as F
 from turnloom.session import cut, shared_dir
 
 
-def replay(df: DataFrame, files: int | None = None, order: str | None = None, parts: int = 8) -> DataFrame:
+BATCH_ROWS = 1 << 20
+LEAST_BATCHES = 4
+
+
+def replay(df: DataFrame, order: str | None = None, batch_rows: int = BATCH_ROWS, batches: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back as a stream.
 
-    With ``order`` it is written as ``parts`` files that follow each other in
-    that column, rows shuffled inside; ``files`` of them make a micro-batch.
+    With ``order`` it arrives in micro-batches that follow each other in that
+    column, of about ``batch_rows`` rows and at least ``LEAST_BATCHES`` in all, or as many as asked for.
+    Every batch is written by all tasks, to the same number of files, each with
+    some of its rows, and a trigger takes just these.
     """
-    spark = df.sparkSession
+    spark, files = df.sparkSession, 0
     path = f"{shared_dir(spark)}/stream-in-{uuid.uuid4().hex}"
     if order is None:
         df.write.parquet(path)
     else:
-        dealt = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-        dealt = cut(dealt)
-        for i in range(parts):  # a file source takes the oldest files first
-            dealt.where(F.col("_part") == i).drop("_part").orderBy(F.xxhash64(*df.columns)).coalesce(1).write.mode("append").parquet(path)
+        src = cut(df)
+        batches = batches or max(LEAST_BATCHES, -(-src.count() // batch_rows))
+        dealt = cut(src.repartitionByRange(batches, order).withColumn("_part", F.spark_partition_id()))
+        sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # one row per batch
+        files = min([spark.sparkContext.defaultParallelism, *sizes.values()])  # round robin: no file stays empty
+        for i in sorted(sizes):  # a file source takes the oldest files first
+            dealt.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+        if not sizes:
+            src.write.parquet(path)
     r = spark.readStream.schema(df.schema)
     return (r.option("maxFilesPerTrigger", files) if files else r).parquet(path)
 
