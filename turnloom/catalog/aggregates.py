@@ -43,12 +43,10 @@ h as (select episode, k, sum(n) as n from per group by 1, 2),
 g as (select k, sum(n) / (select sum(n) from h) as goal from h group by 1),
 sz as (select episode, sum(n) as t from h group by 1),
 grid as (select sz.episode, t, g.k, goal, coalesce(h.n, 0) as n from sz cross join g left join h on h.episode = sz.episode and h.k = g.k),
-d1 as (select episode, round(sum(abs(n / t - goal)), 9) as d from grid group by 1),
-p1 as (select episode, d from d1 order by d, episode desc limit 1),
-b as (select k, n as bn, t as bt from grid where episode = (select episode from p1)),
-d2 as (select episode, round(sum(abs((n + bn) / (t + bt) - goal)), 9) as d from grid join b using (k) where episode <> (select episode from p1) group by 1),
-p2 as (select episode, d from d2 order by d, episode desc limit 1)
-select 1 as step, episode, round(d, 6) as distance from p1 union all select 2, episode, round(d, 6) from p2"""))
+pr as (select x.episode as e1, y.episode as e2, round(sum(abs((x.n + y.n) / (x.t + y.t) - x.goal)), 9) as d
+  from grid x join grid y on x.k = y.k and x.episode < y.episode group by 1, 2),
+best as (select * from pr order by d, e1 desc, e2 desc limit 1)
+select 1 as step, e1 as episode, round(d, 6) as distance from best union all select 2, e2, round(d, 6) from best"""))
 def _(s, d):
     return a.representative_episodes(A.known(s, d), 2).withColumn("distance", F.round("distance", 6))
 

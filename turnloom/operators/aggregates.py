@@ -6,9 +6,10 @@ any size costs a partial aggregate and not a sorted group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.plans.ordered import row_index
 from turnloom.session import cut
 
 FRAME_MS = 40  # fixed value: one frame at 25 images per second
@@ -59,21 +60,8 @@ def speakers_per_unit_hist(segments: DataFrame) -> DataFrame:
     return h.crossJoin(h.agg(F.sum("n").alias("total"))).select(F.col("speakers").alias("k"), (F.col("n") / F.col("total")).alias("share"))
 
 
-def representative_episodes(segments: DataFrame, k: int = 2) -> DataFrame:
-    """Episodes whose pooled histogram is nearest (L1) to that of the corpus, added one at a time.
-
-    The first pick is exact; each next pick is the best addition to the set so
-    far, so a step costs one pass over the episode histograms instead of all
-    subsets.  Equal distances: the later episode.
-    """
-    per = _hist(segments, ["episode"]).select("episode", "speakers", "n")
-    total = per.groupBy("speakers").agg(F.sum("n").alias("all_n"))
-    total = total.crossJoin(total.agg(F.sum("all_n").alias("t"))).select("speakers", (F.col("all_n") / F.col("t")).alias("goal"))
-    size = per.groupBy("episode").agg(F.sum("n").alias("ep_n"))
-    # The corpus histogram is one row: a list with one entry per number of speakers.
-    goal = total.agg(F.collect_list(F.struct("speakers", "goal")).alias("g"))
-    bins = size.crossJoin(goal).select("episode", "ep_n", F.explode("g").alias("g")).select("episode", "ep_n", "g.speakers", "g.goal")
-    grid = cut(bins.join(per, ["episode", "speakers"], "left").na.fill(0, ["n"]))
+def _one_by_one(per: DataFrame, grid: DataFrame, size: DataFrame, k: int) -> float:
+    """Distance of a set found by adding the best episode each time: an upper bound."""
     picked = None
     for step in range(1, k + 1):
         if picked is None:
@@ -90,7 +78,69 @@ def representative_episodes(segments: DataFrame, k: int = 2) -> DataFrame:
             F.lit(step).alias("step"), F.col("b.episode").alias("episode"), F.col("b.d").alias("distance")
         )
         picked = best if picked is None else picked.unionByName(best)
-    return picked
+    return picked.agg(F.max_by("distance", "step")).first()[0]
+
+
+EPISODE_TILE = 64
+
+
+def representative_episodes(segments: DataFrame, k: int = 2) -> DataFrame:
+    """The ``k`` episodes whose pooled histogram is nearest (L1) to that of the corpus.
+
+    Branch and bound over sets: the distance of a set built greedily is the bound;
+    a partial set is dropped where even the best episodes to come could not
+    reach it.  They can move the pooled share of a bin only between the smallest
+    and largest share any episode has there, and not outweigh their number times
+    the largest episode.  Sets grow by joins on tiles of episodes.  Equal
+    distances: the later episodes.  Fewer episodes than ``k``: all of them.
+
+    Rows: step (place in the set), episode, distance (of the set).
+    """
+    per = _hist(segments, ["episode"]).select("episode", "speakers", "n")
+    total = per.groupBy("speakers").agg(F.sum("n").alias("all_n"))
+    total = total.crossJoin(total.agg(F.sum("all_n").alias("t"))).select("speakers", (F.col("all_n") / F.col("t")).alias("goal"))
+    size = per.groupBy("episode").agg(F.sum("n").alias("ep_n"))
+    # The corpus histogram is one row: a list with one entry per number of speakers.
+    goal = total.agg(F.collect_list(F.struct("speakers", "goal")).alias("g"))
+    bins = size.crossJoin(goal).select("episode", "ep_n", F.explode("g").alias("g")).select("episode", "ep_n", "g.speakers", "g.goal")
+    grid = cut(bins.join(per, ["episode", "speakers"], "left").na.fill(0, ["n"]))
+    count = size.count()
+    k = min(k, count)
+    if k == 0:
+        return grid.select(F.lit(0).alias("step"), "episode", F.lit(0.0).alias("distance")).limit(0)
+    bound = _one_by_one(per, grid, size, k)
+    rows = F.sort_array(F.collect_list(F.struct("speakers", "n")))
+    eps = grid.groupBy("episode", "ep_n").agg(rows.alias("c")).select("episode", F.col("ep_n").alias("t"), F.col("c.n").alias("c"))
+    eps = cut(row_index(eps, [], ["episode"], None, "idx").withColumn("_tile", F.floor(F.col("idx") / EPISODE_TILE)))
+    ends = grid.groupBy("speakers").agg(F.min(F.col("n") / F.col("ep_n")).alias("lo"), F.max(F.col("n") / F.col("ep_n")).alias("hi"), F.max("goal").alias("goal"))
+    ends = F.broadcast(ends.agg(F.sort_array(F.collect_list(F.struct("speakers", "lo", "hi", "goal"))).alias("b")).crossJoin(
+        size.agg(F.min("ep_n").alias("t_min"), F.max("ep_n").alias("t_max"))))  # one row
+    last_tile = count // EPISODE_TILE
+
+    def distance(left: int) -> Column:
+        """Least distance of a set that still gets ``left`` episodes; exact for 0."""
+        share = lambda c, w, end: w * c / F.col("t") + (1 - w) * end
+        light, heavy = F.col("t") / (F.col("t") + left * F.col("t_max")), F.col("t") / (F.col("t") + left * F.col("t_min"))
+        if left == 0:
+            gap = lambda c, b: F.abs(c / F.col("t") - b["goal"])
+        else:
+            gap = lambda c, b: F.greatest(
+                F.lit(0.0), F.least(share(c, light, b["lo"]), share(c, heavy, b["lo"])) - b["goal"],
+                b["goal"] - F.greatest(share(c, light, b["hi"]), share(c, heavy, b["hi"])))
+        return F.round(F.aggregate(F.zip_with("c", "b", gap), F.lit(0.0), lambda x, y: x + y), 9)
+
+    sets = eps.select(F.array("episode").alias("members"), F.col("idx").alias("last"), "t", "c")
+    for step in range(1, k + 1):
+        if step > 1:
+            more = eps.select("_tile", "idx", "episode", F.col("t").alias("t2"), F.col("c").alias("c2"))
+            first = F.floor(F.col("last") / EPISODE_TILE)
+            grown = sets.withColumn("_tile", F.explode(F.sequence(first, F.lit(last_tile).cast("long")))).join(more, "_tile").where("idx > last")
+            sets = grown.select(F.concat("members", F.array("episode")).alias("members"), F.col("idx").alias("last"), (F.col("t") + F.col("t2")).alias("t"),
+                                F.zip_with("c", "c2", lambda x, y: x + y).alias("c"))
+        kept = sets.crossJoin(ends).withColumn("d", distance(k - step))
+        sets = cut(kept.where(F.col("d") <= bound + 1e-9).select("members", "last", "t", "c", "d"))
+    best = sets.agg(F.max_by(F.struct("members", "d"), F.struct(-F.col("d"), "members")).alias("b"))
+    return best.select(F.posexplode("b.members").alias("step", "episode"), F.col("b.d").alias("distance")).withColumn("step", F.col("step") + 1)
 
 
 def total_duration(segments: DataFrame, speaker: str | None = None) -> DataFrame:
