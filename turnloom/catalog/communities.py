@@ -59,6 +59,20 @@ def _(s, d):
     return _both(s, d)[1]
 
 
+@query("c01_multilevel")
+def _(s, d):
+    return C.modular_communities(views(s, d))
+
+
+@query("c01_modularity", sql(SPEECH, COM, then="""
+, x as (select en12.series, en12.scene, a.com, sum(weight) as w, sum(case when a.com = b.com then weight else 0 end) as i from en12
+  join com a on a.series = en12.series and a.scene = en12.scene and a.speaker = en12.speaker
+  join com b on b.series = en12.series and b.scene = en12.scene and b.speaker = other group by 1, 2, 3)
+select series, scene, round(sum(i) / sum(w) - sum(w * w) / (sum(w) * sum(w)), 6) as modularity from x group by 1, 2"""))
+def _(s, d):
+    return _r(C.modularity(*_both(s, d)), "modularity")
+
+
 @query("c02_static_community", sql(SPEECH, COM, then="""
 , f as (select series, scene, min(com) as com from com where series = 1 and scene = (select min(scene) from com where series = 1) group by 1, 2)
 select series, scene, speaker, com from com join f using (series, scene, com)"""))
