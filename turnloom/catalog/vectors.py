@@ -149,6 +149,11 @@ def _(s, d):
     return _r(_tree(s, d, "ward")[2], "height")
 
 
+@query("v12_agglomerate_temporal")
+def _(s, d):
+    return _r(_tree(s, d, "mean", temporal=True)[2], "height")
+
+
 @query("v13_cut")
 def _(s, d):
     v, _, m = _tree(s, d, "max")
