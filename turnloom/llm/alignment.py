@@ -86,6 +86,12 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted different values."""
+    s = np.sort(x)
+    return s[np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))]
+
+
 class Aligner:
     """Two vocabularies with a table of distinct chunks."""
 
@@ -221,7 +227,9 @@ class Aligner:
             a = b
         ends = np.cumsum([len(d) for d in docs])
         flat = np.concatenate([np.zeros(0, np.int64), *docs])
-        used, flat = np.unique(flat, return_inverse=True)
+        seen = np.zeros(len(self.text), bool)
+        seen[flat] = True
+        used, flat = np.flatnonzero(seen), (np.cumsum(seen) - 1)[flat]
         col = lambda x: np.frombuffer(x, np.int64)[used] if len(used) else np.zeros(0, np.int64)
         sizes = col(self.n_links)
         links = np.frombuffer(self.links, np.int64)[ragged(col(self.first), sizes)] if len(used) else np.zeros(0, np.int64)
@@ -231,10 +239,10 @@ class Aligner:
         doc, a = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), 0
         while a < len(flat):  # whole documents, so that a pair is counted once in each
             b = int(ends[np.searchsorted(ends, min(a + SLICE, len(flat)), "left")])
-            once = np.unique(doc[a:b] * len(used) + flat[a:b])
+            once = distinct(doc[a:b] * len(used) + flat[a:b])
             chunk, owner = once % len(used), once // len(used)
             pair = place[ragged(heads[chunk], sizes[chunk])]
-            held += np.bincount(np.unique(np.repeat(owner, sizes[chunk]) * len(pairs) + pair) % len(pairs), minlength=len(pairs))
+            held += np.bincount(distinct(np.repeat(owner, sizes[chunk]) * len(pairs) + pair) % len(pairs), minlength=len(pairs))
             a = b
         total = lambda x: np.diff(np.concatenate(([0], np.cumsum(col(x)[flat])))[np.concatenate(([0], ends)).astype(int)])
         out = {"n_a": total(self.n_a), "n_b": total(self.n_b), "n_groups": total(self.n_groups), "n_links": total(self.n_links), "sha": shas,
