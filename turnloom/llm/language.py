@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import release
-from turnloom.llm.labelled import hashed_sample, with_texts
 
 TOP = 300
 SAMPLE, REJECT = 8_000, 0.002  # of ``loosest_scores``
@@ -100,11 +99,14 @@ def learn_profiles(docs: DataFrame, top: int = TOP) -> list[tuple[str, list[int]
 def loosest_scores(profiles: list[tuple[str, list[int]]], docs: DataFrame) -> dict[str, float]:
     """Per predicted language the score that all but a share ``REJECT`` of the texts that name a language reach.
 
-    Taken from a sample of at most ``SAMPLE`` documents with a language, the first ones by hash.
+    Taken from a sample of at most ``SAMPLE`` different texts that name a language, the first ones by hash.
     """
-    named = docs.where("lang is not null")
-    ids = hashed_sample(named.select(F.col("doc_id").cast("long").alias("doc_id")), SAMPLE)
-    got = with_texts(named, ids).select(predict(profiles, F.col("text")).alias("p")).where(F.col("p.lang_pred") != UNKNOWN)
+    named = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    last = named.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return {}
+    some = named.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
+    got = some.select(predict(profiles, F.col("text")).alias("p")).where(F.col("p.lang_pred") != UNKNOWN)
     low = got.groupBy("p.lang_pred").agg(F.percentile_approx("p.score", REJECT, 10_000).alias("low"))
     return {r["lang_pred"]: r["low"] for r in low.collect()}  # one row per language
 
