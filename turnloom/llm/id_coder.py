@@ -1,198 +1,313 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks of at most ``BLOCK``; every block starts with a fresh
-model, so blocks are independent, and ``LANES`` of them are coded in lockstep
-with numpy: step i codes the i-th id of every block.
-
-Model of a block: the id that last followed the two ids before (order 2) and the
-one before (order 1), each with a confidence, the number of hits in a row.  A
-hit rate per order and confidence is learned as the block goes on.  Where the
-two orders name the same id their chances are mixed to ``1 - (1 - p2)(1 - p1)``;
-otherwise order 1 gets its share of what order 2 leaves.  What both leave goes
-to order 0: frequencies of the upper part of the id, counted all along and taken
-over every ``REFRESH`` steps, then its lower bits evenly.
-
-Coder: low and range in 64 bits, 16-bit words out, carries passed back into the
-words already written.
+A block of up to ``BLOCK`` ids starts with a fresh model and can be decoded
+alone.  Its ids are dealt to lanes of consecutive ids, as many as give at least
+``RUN`` ids each and ``LANES`` at most; step i codes the i-th id of every lane
+with numpy, and what all lanes met in a step is learned before the next one, by
+one model for the whole block.
+
+Model: order 2 (hashed) keeps the likeliest follower of two ids, order 1 the two
+likeliest of one id, each with a counted confidence.  First the follower of
+order 2 is tried, then the best one of order 1 that differs from it.  The chance
+of each try is mixed in the logistic domain from what the orders say: hit rates
+counted per order and confidence, and the frequency of the id in order 0.  The
+weights of the mix depend on confidence and on whether the orders agree; they
+follow the errors of the block, as the hit rates do: in its first ``EAGER`` steps
+after every one, then after every ``REST``-th.  What both tries leave goes to order 0: counts
+of whole ids, taken over after steps that lie ever farther apart.  An id that is
+new to the block by then is an escape, its number is kept plainly.
+
+All chances come from integers, tables of integers and sums of products that
+doubles hold exactly, so a decoder anywhere takes the same steps.  Of several
+lanes that write one slot in a step the last one counts.
+
+Coder: low and range in 64 bits, 32-bit words out, carries passed back into the
+words already written; every lane has its own words.
 """
 
 from __future__ import annotations
 
+import math
+import struct
+
 import numpy as np
 
-BLOCK, LANES = 1024, 2048
-SLOTS = 1024
-REFRESH = 64
-_ONE, _EVEN = 12, 11  # bits of a chance, and of an order-0 frequency
+BLOCK, LANES, RUN = 1 << 20, 4096, 128
+EAGER, REST = 32, 4
 _U = np.uint64
-_FULL, _FLOOR = _U(2**64 - 1), _U(1 << 48)
+_FULL, _FLOOR, _WORD = _U(2**64 - 1), _U(1 << 32), _U(32)
+_ONE = 12  # bits of a chance; with those of order 0 no more than a word
+_SLOTS1, _SLOTS2 = 16, 18  # bits of the tables of orders 1 and 2
+_TOP = 7  # highest confidence
 
+#: ln(p / (1 - p)) in 1/256 for p in 1/4096, and its inverse in 1/4096, for -2047 to 2047
+_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], dtype=np.int64).clip(-2047, 2047)
+_SQUASH = np.array([round(4096 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], dtype=np.int64).clip(2, 4064)
 
-class _Model:
-    """Tables of all lanes.  A slot holds an id and a confidence of 0 to 6, or -1: no id, confidence 7."""
 
-    def __init__(self, lanes: int, inverse: bool):
-        self.lane = np.arange(lanes, dtype=np.int32)
-        self.slot = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.rate = [np.tile(np.array([400, 800, 1300, 1800, 2400, 3000, 3600, 64], np.int32), lanes) for _ in range(2)]
-        self.counts = np.full((lanes, 256), 2, np.int32)
+class _Try:
+    """Chance that a guess is right: weights per state over the inputs, learned from the errors."""
+
+    def __init__(self, states: int, inputs: int):
+        self.weight = np.full((inputs, states), 0.9 / inputs)
+        self.weight[0] = 0.6
+        self.states = states
+
+    def chance(self, state: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+        self.state, self.inputs = state, inputs
+        dot = self.weight[0].take(state) * inputs[0]
+        for w, x in zip(self.weight[1:], inputs[1:], strict=True):
+            dot += w.take(state) * x
+        self.p = _SQUASH.take(dot.astype(np.int64) + 2047, mode="clip")
+        return self.p
+
+    def learn(self, hit: np.ndarray) -> None:
+        """``hit``: 1 right, 0 wrong.  Weights move by the mean of error times input, rounded to 2 ** -20."""
+        error = ((hit << _ONE) - self.p) << 4
+        met = np.bincount(self.state, minlength=self.states) + 16.0
+        for w, x in zip(self.weight, self.inputs, strict=True):
+            step = np.bincount(self.state, error * x, self.states) / met * 2.0**-27
+            w += np.rint(step * 2.0**20) * 2.0**-20
+        np.clip(self.weight, -2.0, 4.0, out=self.weight)
+
+
+class _Rate:
+    """Counted hit rate per confidence, as an input of a mix."""
+
+    def __init__(self, states: int):
+        self.seen = np.full(states, 4.0)
+        self.hits = np.arange(states) % 8 * 0.4 + 0.2
+        self.states = states
+        self.take_over()
+
+    def take_over(self) -> None:
+        self.value = _STRETCH.take((self.hits * 4095 // self.seen).astype(np.int64))
+
+    def learn(self, state: np.ndarray, hit: np.ndarray) -> None:
+        got = np.bincount((state << 1) | hit, minlength=2 * self.states)
+        self.hits += got[1::2]
+        self.seen += got[::2] + got[1::2]
+        old = self.seen > 60_000
+        self.seen[old] = np.floor(self.seen[old] / 2)
+        self.hits[old] = np.floor(self.hits[old] / 2)
+        self.take_over()
+
+
+class _Model:
+    def __init__(self, vocabulary: int, inverse: bool):
+        self.none = vocabulary  # the guess of an empty slot
+        self.total = 17 if vocabulary <= 1 << 16 else 20
+        self.one = np.full(1 << _SLOTS1, self.none << 3, np.int64)
+        self.other = self.one.copy()
+        self.two = np.full(1 << _SLOTS2, self.none << 3, np.int64)
+        self.rates = [_Rate(8), _Rate(8), _Rate(16)]
+        self.tries = [_Try(16, 3), _Try(16, 2)]
+        self.counts = np.zeros(vocabulary, np.int64)
         self.inverse = inverse
-        self.refresh(lanes)
+        self.start = np.zeros(vocabulary + 1, np.int64)
+        self.width = np.zeros(vocabulary + 1, np.int64)  # 0: new to the block
+        self.prior = np.full(vocabulary + 1, -2047, np.int64)
+        self.next = 1
+        self.fresh = self.all = 1
+        self._spread()
 
-    def refresh(self, n: int) -> None:
-        """Take the counts over: 257 bounds per lane, and the part that each of 2 ** 11 places belongs to."""
-        ends = np.cumsum(self.counts[:n], axis=1, dtype=np.int64)
-        ends = (ends * ((1 << _EVEN) - 256) // ends[:, -1:]).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
-        self.bound = np.concatenate((np.zeros((n, 1), np.int32), ends), axis=1).ravel()
+    def _spread(self) -> None:
+        """Deal the places of order 0 by the counts; the last ones are the escape."""
+        seen = np.flatnonzero(self.counts)
+        places = (1 << self.total) - len(seen) - 1
+        escape = places * self.fresh // self.all
+        count = self.counts[seen]
+        width = count * (places - escape) // max(1, int(count.sum())) + 1
+        end = np.cumsum(width)
+        self.start[seen], self.width[seen] = end - width, width
+        self.escape = int(end[-1]) if len(end) else 0
+        self.prior[seen] = _STRETCH.take(width >> (self.total - 12))
         if self.inverse:
-            self.part = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), np.diff(ends, axis=1, prepend=0).ravel())
-
-    def predict(self, n: int, one: np.ndarray, two: np.ndarray) -> None:
-        """Chances of the first ``n`` lanes after ids ``one`` (last) and ``two`` (the one before), as 32-bit unsigned."""
-        base = self.lane[:n] * np.int32(SLOTS)
-        h1 = one * np.uint32(0x9E3779B1)
-        h2 = (h1 + two * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
-        self.at = [base + (h >> np.uint32(22)).view(np.int32) for h in (h1, h2)]
-        held = [s.take(a) for s, a in zip(self.slot, self.at, strict=True)]
-        self.guess = [h >> 3 for h in held]
-        self.sure = [h & 7 for h in held]
-        base = self.lane[:n] << 3
-        self.state = [base + s for s in self.sure]
-        self.chance = [r.take(s) for r, s in zip(self.rate, self.state, strict=True)]
-        p1, p2 = self.chance
-        rest = (4096 - p2) * p1 >> _ONE
-        same = self.guess[0] == self.guess[1]
-        self.f2 = p2 + rest * same
-        self.both = p2 + rest  # the chance that either is right
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k in range(2):
-            hit = (self.guess[k] == ids).view(np.int8).astype(np.int32)
-            self.rate[k][self.state[k]] = self.chance[k] + ((64 + 3968 * hit - self.chance[k]) >> 4)
-            self.slot[k][self.at[k]] = (ids << 3) | np.minimum((self.sure[k] + 1) * hit, 6)
-
-
-def _active(size: np.ndarray) -> np.ndarray:
-    """How many blocks have an id at each place; sizes must not rise from block to block."""
-    if (np.diff(size) > 0).any():
-        raise ValueError("longer blocks come first")
-    return np.searchsorted(-size, -np.arange(size.max()), "left")
-
-
-def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
-    """Code each block, the longest first.  Ids lie below ``256 << low_bits``; ``low_bits`` is at most 12."""
-    size = np.array([len(b) for b in blocks])
-    active = _active(size)
-    ids = np.zeros((len(active) + 2, len(blocks)), dtype=np.int32)
-    for k, b in enumerate(blocks):
-        ids[2 : 2 + len(b), k] = b
-    if ids.min() < 0 or ids.max() >= 256 << low_bits:
-        raise ValueError("an id is out of range")
-    seen = ids.view(np.uint32)
-    model = _Model(len(blocks), False)
-    words = np.zeros((len(blocks), 3 * len(active) + 4), dtype=np.int32)
-    place = np.zeros(len(blocks), dtype=np.int64)
-    low, span = np.zeros(len(blocks), _U), np.full(len(blocks), _FULL, _U)
-    mask = (1 << low_bits) - 1
-
-    def carry(lanes: np.ndarray) -> None:
-        at = place[lanes] - 1
-        while len(lanes):
-            words[lanes, at] = (words[lanes, at] + 1) & 0xFFFF
-            more = words[lanes, at] == 0
-            lanes, at = lanes[more], at[more] - 1
-
-    for i, n in enumerate(active.tolist()):
-        if i and i % REFRESH == 0:
-            model.refresh(n)
-        now = ids[i + 2, :n]
-        model.predict(n, seen[i + 1, :n], seen[i, :n])
-        two = model.guess[1] == now
-        one = (model.guess[0] == now) & ~two
-        hit = two | one
-        start = np.where(two, 0, np.where(one, model.f2, model.both))
-        width = np.where(two, model.f2, np.where(one, model.both - model.f2, 4096 - model.both))
-        part = span[:n] >> _U(_ONE)
-        offset = part * start.view(np.uint32)
-        span[:n] = part * width.view(np.uint32)
-        esc = np.flatnonzero(~hit)
-        if len(esc):
-            v = now[esc]
-            up = v >> low_bits
-            at = esc * 257 + up
-            start, end = model.bound[at], model.bound[at + 1]
-            part = span[esc] >> _U(_EVEN)
-            fine = (part * (end - start).view(np.uint32)) >> _U(low_bits)
-            offset[esc] += part * start.view(np.uint32) + fine * (v & mask).view(np.uint32)
-            span[esc] = fine
-            model.counts[esc, up] += 24
-        model.learn(now)
-        low[:n] += offset
-        carry(np.flatnonzero(low[:n] < offset))
-        small = np.flatnonzero(span[:n] < _FLOOR)
-        while len(small):
-            words[small, place[small]] = (low[small] >> _U(48)).astype(np.int32)
-            place[small] += 1
-            low[small] <<= _U(16)
-            span[small] <<= _U(16)
-            small = small[span[small] < _FLOOR]
+            self.place = np.full(1 << self.total, self.none, np.int32)
+            self.place[: self.escape] = np.repeat(seen.astype(np.int32), width)
+
+    def count(self, step: int, ids: np.ndarray) -> None:
+        """Take over order 0 after ``step`` steps; ``ids`` are those of the steps since the last time."""
+        before = self.width[ids] == 0
+        self.fresh, self.all = int(before.sum()) // 2 + 1, len(ids) + 2
+        self.counts += np.bincount(ids, minlength=len(self.counts))
+        self._spread()
+        self.next = step + min(32, max(1, step // 4))
+
+    def predict(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Two guesses and their chances after the last ids ``a`` and those before them ``b``."""
+        self.at1 = a & ((1 << _SLOTS1) - 1)
+        self.at2 = ((a * 0x9E3779B1 + b * 0x85EBCA6B) * 0xC2B2AE35 >> 20) & ((1 << _SLOTS2) - 1)
+        one, other, two = self.one.take(self.at1), self.other.take(self.at1), self.two.take(self.at2)
+        self.packed1, self.packed3 = one, other
+        self.g1, self.s1, self.g3, self.s3 = one >> 3, one & 7, other >> 3, other & 7
+        self.first, self.s2 = two >> 3, two & 7
+        self.agree = self.first == self.g1
+        self.second = np.where(self.agree, self.g3, self.g1)
+        agree = self.agree.astype(np.int64)
+        self.state = np.where(self.agree, self.s3, self.s1) + (agree << 3)
+        r2, r1, r = self.rates
+        f = self.tries[0].chance(self.s2 + (agree << 3), [r2.value.take(self.s2), r1.value.take(self.s1) * agree, self.prior.take(self.first)])
+        s = self.tries[1].chance(self.state, [r.value.take(self.state), self.prior.take(self.second)])
+        self.f = f
+        self.both = f + np.maximum(((1 << _ONE) - f) * s >> _ONE, 1)
+
+    def learn(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, step: int) -> None:
+        """What was coded, and whether the first or the second guess was right."""
+        is1 = np.where(self.agree, first, second)
+        if step < EAGER or step % REST == 0:
+            hit = first.astype(np.int64)
+            self.rates[0].learn(self.s2, hit)
+            self.rates[1].learn(self.s1, is1.astype(np.int64))
+            self.tries[0].learn(hit)
+            missed = np.flatnonzero(~first)
+            again, state, other = second[missed].astype(np.int64), self.state[missed], self.tries[1]
+            self.rates[2].learn(state, again)
+            other.state, other.p, other.inputs = state, other.p[missed], [x[missed] for x in other.inputs]
+            other.learn(again)
+        new = ids << 3
+        old = np.where(self.s2 > 1, (self.first << 3) | (self.s2 >> 1), new | 1)
+        self.two[self.at2] = np.where(first, new | np.minimum(self.s2 + 1, _TOP), old)
+        is3 = self.g3 == ids
+        one = self.packed1 + np.where(is1, self.s1 < _TOP, -((self.s1 > 0) & is3).view(np.int8))
+        # the other one: right, rests beside a right first one, loses confidence, or is replaced
+        worn = np.where(self.s3 > 0, self.packed3 - 1, new | 1)
+        rest = np.where(is1, self.packed3, worn)
+        other = np.where(is3, self.packed3 + (self.s3 < _TOP), rest)
+        swap = (other & 7) > (one & 7)
+        self.one[self.at1] = np.where(swap, other, one)
+        self.other[self.at1] = np.where(swap, one, other)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of ``n`` ids; only the last lane may be shorter."""
+    steps = -(-n // max(1, min(LANES, n // RUN)))
+    return -(-n // steps), steps
+
+
+def encode_block(ids: np.ndarray, bits: int) -> bytes:
+    """Code one block of ids below ``2 ** bits``; ``bits`` is at most 20.
+
+    An empty block gives no bytes.  Bytes: number of new ids, words of each lane, the new ids, then the lanes' words.
+    """
+    n = len(ids)
+    if n == 0:
+        return b""
+    ids = np.asarray(ids).astype(np.int64)
+    if n > BLOCK or bits > 20 or ids.min() < 0 or ids.max() >= 1 << bits:
+        raise ValueError("a block is too long or an id out of range")
+    lanes, steps = _shape(n)
+    grid = np.zeros((steps + 2, lanes), np.int64)
+    grid[2:] = np.concatenate((ids, np.zeros(lanes * steps - n, np.int64))).reshape(lanes, steps).T
+    tail = n - (lanes - 1) * steps  # ids of the last lane
+    model = _Model(1 << bits, False)
+    words = np.zeros((steps + 2) * lanes, dtype=np.uint32)
+    lane = np.arange(lanes)
+    at = lane.copy()  # place of the next word of each lane, one row of lanes after the other
+    low, span = np.zeros(lanes, _U), np.full(lanes, _FULL, _U)
+    fresh: list[np.ndarray] = []
+    since = 0
+
+    def carry(some: np.ndarray) -> None:
+        place = at[some] - lanes
+        while len(place):
+            words[place] += np.uint32(1)
+            place = place[words[place] == 0] - lanes
+
+    for i in range(steps):
+        m = lanes if i < tail else lanes - 1
+        if i == model.next:
+            model.count(i, np.concatenate([grid[k + 2, : lanes if k < tail else lanes - 1] for k in range(since, i)]))
+            since = i
+        now = grid[i + 2, :m]
+        model.predict(grid[i + 1, :m], grid[i, :m])
+        first, second = model.first == now, model.second == now
+        start = np.where(first, 0, np.where(second, model.f, model.both))
+        end = np.where(first, model.f, np.where(second, model.both, 1 << _ONE))
+        part = span[:m] >> _U(_ONE)
+        offset = part * start.view(_U)
+        span[:m] = part * (end - start).view(_U)
+        # order 0 for all lanes; it counts where both guesses fail
+        miss = ~(first | second)
+        start, width = model.start.take(now), model.width.take(now)
+        new = (width == 0) & miss
+        if new.any():
+            start[new], width[new] = model.escape, (1 << model.total) - model.escape
+            fresh.append(now[new])
+        part = span[:m] >> _U(model.total)
+        offset += np.where(miss, part * start.view(_U), _U(0))
+        np.copyto(span[:m], part * width.view(_U), where=miss)
+        model.learn(now, first, second, i)
+        low[:m] += offset
+        carry(np.flatnonzero(low[:m] < offset))
+        small = np.flatnonzero(span[:m] < _FLOOR)
+        l = low[small]
+        words[at[small]] = (l >> _WORD).astype(np.uint32)
+        at[small] += lanes
+        low[small] = l << _WORD
+        span[small] <<= _WORD
     # one more word names a value inside the last range; what is missing after it reads as zero
     end = low + (_FLOOR - _U(1))
     carry(np.flatnonzero(end < low))
-    words[model.lane, place] = (end >> _U(48)).astype(np.int32)
-    out = words.astype("<u2")
-    return [out[k, : place[k] + 1].tobytes() for k in range(len(blocks))]
-
-
-def decode_blocks(coded: list[bytes], size: list[int], low_bits: int) -> list[np.ndarray]:
-    """The ids of each block, given its number of ids."""
-    sizes = np.array(size)
-    active = _active(sizes)
-    words = np.zeros((len(coded), max(len(c) for c in coded) // 2 + 8), dtype=np.uint16)
-    for k, c in enumerate(coded):
-        words[k, : len(c) // 2] = np.frombuffer(c, dtype="<u2")
-    model = _Model(len(coded), True)
-    ids = np.zeros((len(active) + 2, len(coded)), dtype=np.int32)
-    seen = ids.view(np.uint32)
-    span = np.full(len(coded), _FULL, _U)
-    first = words[:, :4].astype(_U)
-    code = (first[:, 0] << _U(48)) | (first[:, 1] << _U(32)) | (first[:, 2] << _U(16)) | first[:, 3]
-    place = np.full(len(coded), 4, dtype=np.int64)
-    last = words.shape[1] - 1
-    for i, n in enumerate(active.tolist()):
-        if i and i % REFRESH == 0:
-            model.refresh(n)
-        model.predict(n, seen[i + 1, :n], seen[i, :n])
-        part = span[:n] >> _U(_ONE)
-        c = code[:n]
-        end2 = part * model.f2.view(np.uint32)
-        end1 = part * model.both.view(np.uint32)
-        two, miss = c < end2, c >= end1
-        now = np.where(two, model.guess[1], model.guess[0])
-        low = np.where(two, _U(0), np.where(miss, end1, end2))
-        high = np.where(two, end2, np.where(miss, part << _U(_ONE), end1))
-        span[:n] = high - low
-        code[:n] = c - low
-        esc = np.flatnonzero(miss)
-        if len(esc):
-            part = span[esc] >> _U(_EVEN)
-            c = code[esc]
-            up = model.part[(esc << _EVEN) + (c // part).view(np.int64)]
-            at = esc * 257 + up
-            start, end = model.bound[at], model.bound[at + 1]
-            c = c - part * start.view(np.uint32)
-            fine = (part * (end - start).view(np.uint32)) >> _U(low_bits)
-            low = c // fine
-            code[esc] = c - fine * low
-            span[esc] = fine
-            now[esc] = (up.astype(np.int32) << low_bits) | low.astype(np.int32)
-            model.counts[esc, up] += 24
-        model.learn(now)
-        ids[i + 2, :n] = now
-        small = np.flatnonzero(span[:n] < _FLOOR)
-        while len(small):
-            code[small] = (code[small] << _U(16)) | words[small, np.minimum(place[small], last)]
-            place[small] += 1
-            span[small] <<= _U(16)
-            small = small[span[small] < _FLOOR]
-    return [ids[2 : 2 + s, k].copy() for k, s in enumerate(size)]
+    words[at] = (end >> _WORD).astype(np.uint32)
+    size = at // lanes + 1
+    used = np.arange(size.max())[:, None] < size
+    plain = np.concatenate([np.zeros(0, np.int64), *fresh])
+    return b"".join((struct.pack("<I", len(plain)), size.astype("<u2").tobytes(), plain.astype("<u2" if bits <= 16 else "<u4").tobytes(),
+                     words[: used.size].reshape(used.shape)[used].astype("<u4").tobytes()))
+
+
+def decode_block(coded: bytes, n: int, bits: int) -> np.ndarray:
+    """The ``n`` ids of a block."""
+    if n == 0:
+        return np.zeros(0, np.int64)
+    lanes, steps = _shape(n)
+    tail = n - (lanes - 1) * steps
+    known = struct.unpack_from("<I", coded)[0]
+    size = np.frombuffer(coded, "<u2", lanes, 4).astype(np.int64)
+    form = np.dtype("<u2" if bits <= 16 else "<u4")
+    plain = np.frombuffer(coded, form, known, 4 + 2 * lanes).astype(np.int64)
+    flat = np.frombuffer(coded, "<u4", -1, 4 + 2 * lanes + known * form.itemsize)
+    used = np.arange(size.max() + 2)[:, None] < size
+    words = np.zeros(used.shape, np.uint32)
+    words[used] = flat
+    words = words.ravel()
+    code = (words[:lanes].astype(_U) << _WORD) | words[lanes : 2 * lanes]
+    model = _Model(1 << bits, True)
+    grid = np.zeros((steps + 2, lanes), np.int64)
+    span = np.full(lanes, _FULL, _U)
+    at = np.arange(lanes) + 2 * lanes
+    last = len(words) - 1
+    since = done = 0
+    for i in range(steps):
+        m = lanes if i < tail else lanes - 1
+        if i == model.next:
+            model.count(i, np.concatenate([grid[k + 2, : lanes if k < tail else lanes - 1] for k in range(since, i)]))
+            since = i
+        model.predict(grid[i + 1, :m], grid[i, :m])
+        part = span[:m] >> _U(_ONE)
+        c = code[:m]
+        end1, end2 = part * model.f.view(_U), part * model.both.view(_U)
+        first, miss = c < end1, c >= end2
+        now = np.where(first, model.first, model.second)
+        low = np.where(first, _U(0), np.where(miss, end2, end1))
+        span[:m] = np.where(first, end1, np.where(miss, part << _U(_ONE), end2)) - low
+        code[:m] = c - low
+        part = span[:m] >> _U(model.total)
+        v = model.place.take((code[:m] // part).view(np.int64), mode="clip").astype(np.int64)
+        start, width = model.start.take(v), model.width.take(v)
+        new = np.flatnonzero((v == model.none) & miss)
+        if len(new):
+            start[new], width[new] = model.escape, (1 << model.total) - model.escape
+            v[new] = plain[done : done + len(new)]
+            done += len(new)
+        np.subtract(code[:m], part * start.view(_U), out=code[:m], where=miss)
+        np.copyto(span[:m], part * width.view(_U), where=miss)
+        now = np.where(miss, v, now)
+        model.learn(now, first, ~(first | miss), i)
+        grid[i + 2, :m] = now
+        small = np.flatnonzero(span[:m] < _FLOOR)
+        code[small] = (code[small] << _WORD) | words[np.minimum(at[small], last)]
+        at[small] += lanes
+        span[small] <<= _WORD
+    return grid[2:].T.reshape(-1)[:n]

@@ -1,15 +1,15 @@
 """Token-id files: tokenise texts, write their ids in order, read them back.
 
-File: ``TLID1`` and the number of low bits, then groups.  A group holds up to
-``LANES`` blocks of ids coded by ``id_coder`` and the documents that end in it:
-an index (doc_id, number of ids), then per block its number of ids, its length
-in bytes and the crc32 of its ids, then the coded bytes.  A reader checks every
-block, and each block can be decoded on its own.
+File: ``TLID2`` and the number of bits of an id, then blocks of up to ``BLOCK``
+ids coded by ``id_coder``.  Before a block stand its number of ids, its length in
+bytes, the crc32 of its ids and the documents that end in it: an index (doc_id,
+number of ids).  A reader checks every block, and each block can be decoded on
+its own.
 
 Documents are dealt to files by ranges of doc_id and sorted within, so files in
 order give all documents in ascending doc_id order (null ids first, rows of one
-id ordered by text).  A document may run over any number of blocks and groups;
-no more than a group of ids is held besides the document at hand.  Every attempt
+id ordered by text).  A document may run over any number of blocks;
+no more than a block of ids is held besides the document at hand.  Every attempt
 of a task writes a file of its own; only those named in the manifest, a table
 written by the tasks that ended well, are read.
 
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.files import attempt_name, create, new_folder, open_read
-from turnloom.llm.id_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from turnloom.llm.id_coder import BLOCK, decode_block, encode_block
 from turnloom.session import cut
 
-MAGIC = b"TLID1"
+MAGIC = b"TLID2"
 TABLE = 400_000
 _OTHER_SPACE = re.compile(r"\s")
 
@@ -92,8 +92,8 @@ class Tokenizer:
             for t, c in zip(texts, cut_up, strict=True)
         ]
 
-    def low_bits(self) -> int:
-        return max(0, (self.lib.get_vocab_size() - 1).bit_length() - 8)
+    def bits(self) -> int:
+        return (self.lib.get_vocab_size() - 1).bit_length()
 
 
 @lru_cache(maxsize=2)
@@ -102,38 +102,36 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Writer:
-    def __init__(self, uri: str, low_bits: int):
-        self.out, self.low_bits = create(uri), low_bits
-        self.out.write(MAGIC + struct.pack("<B", low_bits))
+    def __init__(self, uri: str, bits: int):
+        self.out, self.bits = create(uri), bits
+        self.out.write(MAGIC + struct.pack("<B", bits))
         self.index: list[tuple[int, int, int]] = []
         self.parts: list[np.ndarray] = []
         self.held = self.docs = self.ids = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        for a in range(0, len(ids), BLOCK * LANES):
-            self.parts.append(ids[a : a + BLOCK * LANES])
+        for a in range(0, len(ids), BLOCK):
+            self.parts.append(ids[a : a + BLOCK])
             self.held += len(self.parts[-1])
-            while self.held >= BLOCK * LANES:
-                self._group(BLOCK * LANES)
+            while self.held >= BLOCK:
+                self._block(BLOCK)
         self.index.append((doc_id is not None, doc_id or 0, len(ids)))
         self.docs += 1
         self.ids += len(ids)
 
-    def _group(self, n: int) -> None:
+    def _block(self, n: int) -> None:
         flat = np.concatenate([np.zeros(0, np.uint32), *self.parts])
         now, rest = flat[:n], flat[n:]
-        blocks = [now[a : a + BLOCK] for a in range(0, len(now), BLOCK)]
-        coded = encode_blocks(blocks, self.low_bits) if blocks else []
-        self.out.write(struct.pack("<II", len(self.index), len(blocks)))
+        coded = encode_block(now, self.bits)
+        self.out.write(struct.pack("<IIII", len(self.index), n, len(coded), zlib.crc32(now.astype("<u4"))))
         self.out.write(b"".join(struct.pack("<?qQ", *d) for d in self.index))
-        self.out.write(b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4"))) for b, c in zip(blocks, coded, strict=True)))
-        self.out.write(b"".join(coded))
+        self.out.write(coded)
         self.index, self.parts, self.held = [], [rest] if len(rest) else [], len(rest)
 
     def close(self) -> None:
         if self.held or self.index:
-            self._group(self.held)
-        self.out.write(struct.pack("<II", 0, 0))
+            self._block(self.held)
+        self.out.write(bytes(16))
         self.out.close()
 
 
@@ -145,22 +143,20 @@ def _exactly(src, n: int) -> bytes:
 
 
 def read_file(uri: str) -> Iterator[tuple[list[tuple[int | None, int]], np.ndarray]]:
-    """Per group: the documents that end in it (or before) and its ids."""
+    """Per block: the documents that end in it (or before) and its ids."""
     with open_read(uri) as src:
         head = _exactly(src, len(MAGIC) + 1)
         if head[:-1] != MAGIC:
             raise OSError("not a token-id file")
         while True:
-            docs, blocks = struct.unpack("<II", _exactly(src, 8))
-            if docs == blocks == 0:
+            docs, n, size, crc = struct.unpack("<IIII", _exactly(src, 16))
+            if docs == n == 0:
                 return
-            index = [(d if known else None, n) for known, d, n in struct.iter_unpack("<?qQ", _exactly(src, 17 * docs))]
-            heads = list(struct.iter_unpack("<III", _exactly(src, 12 * blocks)))
-            ids = decode_blocks([_exactly(src, h[1]) for h in heads], [h[0] for h in heads], head[-1]) if heads else []
-            for (_, _, crc), b in zip(heads, ids, strict=True):
-                if zlib.crc32(b.astype("<u4")) != crc:
-                    raise OSError("a block does not match its checksum")
-            yield index, np.concatenate([np.zeros(0, np.int32), *ids])
+            index = [(d if known else None, k) for known, d, k in struct.iter_unpack("<?qQ", _exactly(src, 17 * docs))]
+            ids = decode_block(_exactly(src, size), n, head[-1]).astype(np.int32)
+            if zlib.crc32(ids.astype("<u4")) != crc:
+                raise OSError("a block does not match its checksum")
+            yield index, ids
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -175,7 +171,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 some = pdf.iloc[a : a + 500]
                 coded = tok.encode([t if isinstance(t, str) else "" for t in some["text"]])
                 for d, known, ids in zip(some["doc_id"], some["known"], coded, strict=True):
-                    out = out or Writer(uri, tok.low_bits())
+                    out = out or Writer(uri, tok.bits())
                     out.add(int(d) if known else None, np.frombuffer(ids + end, dtype="<u4"))
         if out:
             out.close()
