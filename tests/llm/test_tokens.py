@@ -92,6 +92,15 @@ def test_coder_is_smaller_than_order_zero():
     assert len(coded) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
+def test_word_table_keeps_frequent_words(monkeypatch):
+    monkeypatch.setattr(token_files, "TABLE", 20)
+    tok, lib = token_files.Tokenizer(BYTES), Tokenizer.from_file(BYTES)
+    for k in range(8):
+        texts = [f"the common word {' '.join(f'rare{k}x{j}' for j in range(12))} common", "x  y"]
+        assert [np.frombuffer(g, "<u4").tolist() for g in tok.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(tok.words) + len(tok.before) < 60 and "common" in tok.words
+
+
 def expected(rows):
     lib, start, out = Tokenizer.from_file(BYTES), 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

@@ -37,7 +37,7 @@ from turnloom.llm.id_coder import BLOCK, decode_block, encode_block
 from turnloom.session import cut
 
 MAGIC = b"TLID2"
-TABLE = 400_000
+TABLE = 250_000
 _OTHER_SPACE = re.compile(r"\s")
 
 
@@ -46,7 +46,9 @@ class Tokenizer:
 
     Its pattern always ends a token before a single blank that a visible
     character follows, so words between single blanks are tokenised once each
-    and looked up after that.  Texts with two blanks in a row go whole.
+    and looked up after that.  Texts with two blanks in a row go whole.  Beyond
+    ``TABLE`` words a new table is begun; the one before still answers, and what
+    it answers moves on, so frequent words stay and rare ones go.
     """
 
     def __init__(self, path: str):
@@ -55,6 +57,7 @@ class Tokenizer:
 
         self.lib = Library.from_file(path)
         self.words: dict[str, bytes] = {}  # after a blank
+        self.before: dict[str, bytes] = {}  # the table before
         self.firsts: dict[str, bytes] = {}  # at the beginning of a text
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -77,11 +80,14 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.words) + len(self.firsts) > TABLE:
-            self.words.clear()
+            self.before, self.words = self.words, {}
             self.firsts.clear()
         cut_up = [None if "  " in t else t.split(" ") for t in texts]
         new = {w for c in cut_up if c for w in c[1:]}
         new.difference_update(self.words)
+        old = new.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in old)
+        new -= old
         if new:
             self._learn(list(new))
         first = list({c[0] for c in cut_up if c} - self.firsts.keys())
