@@ -35,6 +35,27 @@ def test_matching_of_all_groups(spark):
         assert len({x["a"] for x in mine}) == len({x["b"] for x in mine}) == len(mine) and all(w[x["a"], x["b"]] == x["w"] > 0 for x in mine)
 
 
+def test_errors_of_speakers_and_shows(spark):
+    """Error of a unit: time that no one-to-one mapping of labels explains, by all mappings; of a show: weighted mean."""
+    r = random.Random(8)
+    rows = [(u, r.choice("abcd"[: 1 + u % 4]), r.choice("vwxyz"[: 1 + u % 5]), r.choice([0.5, 1.0, 1.0, 2.25])) for u in range(25) for _ in range(r.randrange(1, 14))]
+    rows += [(90, "a", "x", 4.0), (90, "a", "x", 4.0), (91, "a", "x", 3.0), (91, "a", "y", 2.5), (91, "b", "x", 2.5)]  # 91: mutual best alone explains 3 of 8
+    want = {}
+    for u in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == u]
+        refs, hyps = sorted({x[1] for x in own}), sorted({x[2] for x in own})
+        hyps += [None] * max(0, len(refs) - len(hyps))
+        good = max(sum(x[3] for x in own if dict(zip(refs, p, strict=True))[x[1]] == x[2]) for p in itertools.permutations(hyps, len(refs)))
+        total = sum(x[3] for x in own)
+        want[u] = (100 * (total - good) / total, total)
+    errors = V.speaker_error(spark.createDataFrame(rows, "unit int, ref string, hyp string, dur double").repartition(5))
+    got = {x["unit"]: (x["error"], x["duration"]) for x in errors.collect()}
+    assert got.keys() == want.keys() and want[91][0] == 37.5
+    assert all(abs(a - b) < 1e-9 for u in want for a, b in zip(got[u], want[u], strict=True))
+    mean = sum(e * d for e, d in want.values()) / sum(d for _, d in want.values())
+    assert abs(V.show_error(errors).first()["error"] - mean) < 1e-9
+
+
 def test_all_cuts_in_one_pass(spark):
     """The mean silhouette of every cut equals that of the partition it gives; masked pairs, ties and a large unit."""
     rng = np.random.default_rng(7)
