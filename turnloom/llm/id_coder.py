@@ -19,7 +19,8 @@ new to the block by then is an escape, its number is kept plainly.
 
 All chances come from integers, tables of integers and sums of products that
 doubles hold exactly, so a decoder anywhere takes the same steps.  Of several
-lanes that write one slot in a step the last one counts.
+lanes that write one slot in a step the last one counts: numpy assigns in this
+order, though it promises none, and the checksum of a block would show another.
 
 Coder: low and range in 64 bits, 32-bit words out, carries passed back into the
 words already written; every lane has its own words.
