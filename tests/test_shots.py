@@ -266,3 +266,27 @@ def test_masked_pairs_never_merge(spark):
     m = V.agglomerate(p, df.withColumn("w", F.lit(1.0)), "min").collect()
     # {1, 2} and {0, 3} hold a forbidden pair and stay apart.
     assert [(r["left"], r["right"]) for r in m] == [(1, 2), (0, 3)]
+
+
+def test_cuts_by_brute_force(spark):
+    """A cut opens where one large distance stands between two small ones; blocks of frames of any size find the same."""
+    r = random.Random(30)
+    rows = []
+    for v in range(3):
+        base = [r.random() for _ in range(8)]
+        for i in range(40):
+            if r.random() < 0.15:
+                base = [r.random() for _ in range(8)]
+            rows.append((v, i, [x + r.random() / 50 for x in base]))
+    hist = {(v, i): np.array(h) for v, i, h in rows}
+    dist = lambda a, b: float(np.mean([1 - abs(np.corrcoef(a[k : k + 4], b[k : k + 4])[0, 1]) for k in (0, 4)]))
+    d = {(v, i): dist(h, hist[v, i - 1]) for (v, i), h in hist.items() if i}
+    want = set()
+    for v in range(3):
+        starts = [0] + [i - 1 for i in range(3, 40) if d[v, i - 2] <= 0.2 and d[v, i - 1] >= 0.3 and d[v, i] <= 0.2]
+        want |= {(v, a, b) for a, b in zip(starts, [*starts[1:], 40])}
+    assert len(want) > 6
+    df = spark.createDataFrame(rows, "video int, frame_idx int, hist array<double>")
+    assert {tuple(x) for x in S.detect_cuts(df, 2).select("video", "start_frame", "end_frame").collect()} == want
+    small = S.frame_distances(df, 2, size=7).collect()
+    assert len(small) == len(rows) and all(abs(x["d2"] - d[x["video"], x["frame_idx"]]) < 1e-9 for x in small if x["frame_idx"])
