@@ -290,3 +290,21 @@ def test_cuts_by_brute_force(spark):
     assert {tuple(x) for x in S.detect_cuts(df, 2).select("video", "start_frame", "end_frame").collect()} == want
     small = S.frame_distances(df, 2, size=7).collect()
     assert len(small) == len(rows) and all(abs(x["d2"] - d[x["video"], x["frame_idx"]]) < 1e-9 for x in small if x["frame_idx"])
+
+
+def test_story_units_leave_a_task_in_parts(spark, monkeypatch):
+    """Nested units may be square in the shots of a window: a sweep holds only some of them, and no shuffle follows."""
+    import pandas as pd
+
+    n = 400
+    shots = pd.DataFrame({"episode": 1, "shot_idx": range(1, n + 1), "start_ms": range(0, 10 * n, 10), "end_ms": range(10, 10 * n + 10, 10),
+                          "nxt": [i + 2 if i + 2 <= n else -1 for i in range(1, n + 1)], "_own": True})
+    monkeypatch.setattr(S, "UNITS", 1000)
+    parts = list(S._sweep(30, 3000, True)(iter([shots[:150], shots[150:]])))
+    assert len(parts) > 50 and max(map(len, parts)) < 1000 + n
+    got = pd.concat(parts)
+    assert len(got) == len(got.drop_duplicates()) == sum(min(300, n - f) - 2 for f in range(n - 2))
+    df = spark.createDataFrame(shots.assign(cam_manual=1 + shots["shot_idx"] % 2).drop(columns=["nxt", "_own"]))
+    deep = S.extract_bounded_lsus(df, 30, 3000, nested=True)
+    assert deep.count() == len(got)
+    assert "Aggregate [episode" not in deep._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[0]
