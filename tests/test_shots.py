@@ -308,3 +308,33 @@ def test_story_units_leave_a_task_in_parts(spark, monkeypatch):
     deep = S.extract_bounded_lsus(df, 30, 3000, nested=True)
     assert deep.count() == len(got)
     assert "Aggregate [episode" not in deep._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[0]
+
+
+def test_conflicts_by_spans(spark):
+    """Spans of units choose as their pairs do, with and without a changing value, and no pairs are formed beforehand."""
+    r = random.Random(12)
+    first = {i: r.randrange(60) for i in range(40)}
+    spans = [(i, i % 2, first[i], first[i] + r.randrange(2, 12)) for i in first]
+    pairs = [(a[0], b[0]) for a, b in itertools.combinations(spans, 2) if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]]
+    units = spark.createDataFrame(spans, "lsu_id int, episode int, first_shot int, last_shot int")
+    cl = spark.createDataFrame(pairs, "item1 int, item2 int")
+    it = spark.createDataFrame([(f"g{g}", i, r.random(), float(r.randrange(1, 9))) for g in range(3) for i in first], "grp string, item int, value double, weight double")
+    near = lambda picks, rest: rest.join(picks.select("grp", F.col("item").alias("pick")), "grp").select("grp", "item", (F.abs(F.col("item") - F.col("pick")) / 50.0).alias("gain"))
+    key = lambda d: sorted((x["grp"], x["step"], x["item"]) for x in d.collect())
+    by_spans = O.unit_conflicts(units)
+    assert by_spans.of.count() == len(spans)
+    assert len(pairs) > 20
+    for choose in (lambda c: O.mmr(it, 25.0, c), lambda c: O.mmr(it, 25.0, c, near, 0.5), lambda c: O.random_selection(it, 25.0, c, 3)):
+        assert key(choose(by_spans)) == key(choose(cl))
+
+
+def test_units_are_not_broadcast(spark):
+    """The shots of the units, unfolded, stay out of the driver however small the table of units is."""
+    from turnloom.operators.joins import lsu_contents
+
+    units = spark.createDataFrame([(1, 7, 1, 2)], "episode int, lsu_id long, first_shot long, last_shot long")
+    shots = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 10, 20)], "episode int, shot_idx long, start_ms long, end_ms long")
+    segs = spark.createDataFrame([(1, 5, 2, 6), (1, 6, 12, 18)], "episode int, seg_idx long, start_ms long, end_ms long")
+    got = lsu_contents(units, shots, segs)
+    assert sorted((x["lsu_id"], x["seg_idx"]) for x in got.collect()) == [(7, 5), (7, 6)]
+    assert "SortMergeJoin [episode" in got._jdf.queryExecution().executedPlan().toString()
