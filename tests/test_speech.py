@@ -165,3 +165,14 @@ def test_x04_waits_for_scenes_out_of_order(spark):
     whole = run([rows, far])
     assert len(whole) >= 5
     assert run([[rows[2]], [rows[0], rows[1]], [rows[4]], [rows[3]], far]) == whole
+
+
+def test_words_are_counted_where_they_lie(spark):
+    """Words per line and per document need no shuffle but that of the lines."""
+    from turnloom.catalog import load
+
+    for name in ("t03_term_counts", "t04_unit_terms"):
+        df = load()[0][name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(unit") == 1 and "hashpartitioning(unit#" in plan
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and line.count("#") > 2 and "term" in line and "unit" in line]

@@ -173,13 +173,18 @@ def stop_words(s, d):
     return w.where(F.length("term").between(1, 3)).distinct()
 
 
+def _lines(s, d):
+    """Lines laid out by document: words are then counted where they lie, per line and per document, and texts are all that is shuffled."""
+    return A.lines(s, d).repartition("unit")
+
+
 def _counts(s, d):
-    return T.term_counts(A.lines(s, d), stop_words(s, d), ["unit", "source", "seg_idx"])
+    return T.term_counts(_lines(s, d), stop_words(s, d), ["unit", "source", "seg_idx"])
 
 
 def _unit_counts(s, d):
     """Words per document at once, used several times."""
-    return cut(T.term_counts(A.lines(s, d), stop_words(s, d), ["unit"]))
+    return cut(T.term_counts(_lines(s, d), stop_words(s, d), ["unit"]))
 
 
 def _units(s, d):

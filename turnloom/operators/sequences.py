@@ -13,6 +13,7 @@ from turnloom.functions.text import preprocess
 from turnloom.functions.vectors import block_distance
 from turnloom.plans.ordered import band, blocked, islands, neighbours, running, time_block, with_halo
 from turnloom.plans.rounds import find_roots
+from turnloom.session import cut
 
 STEP_MS = 500  # fixed value: interval between two measurements of the speech rate
 WINDOW_MS = 1500  # fixed value: length of the window around a measurement
@@ -42,8 +43,11 @@ def character_shares(segs: DataFrame, keys: Sequence[str], step: int = STEP_MS,
     Characters are spread evenly over their segment; how many fall in a window
     follows from integer division, so no row per character is made.
     """
+    return _shares(character_ends(segs, keys), keys, step, width)
+
+
+def _shares(s: DataFrame, keys: Sequence[str], step: int, width: int) -> DataFrame:
     half = width // 2
-    s = character_ends(segs, keys)
     lo = F.greatest(F.ceil((F.col("start_ms") - half) / F.lit(step)), F.lit(0))
     hi = F.floor((F.col("_last") + half) / F.lit(step))
     g = s.withColumn("grid", F.explode(F.sequence(lo, F.greatest(hi, lo)))).withColumn("t", F.col("grid") * step)
@@ -63,8 +67,9 @@ def speech_rate(segs: DataFrame, keys: Sequence[str] = ("episode",), step: int =
     The grid runs from 0 until the window has left the last character.
     """
     keys = list(keys)
-    near = character_shares(segs, keys, step, width).select(*keys, "t", "c")
-    end = character_ends(segs, keys).groupBy(*keys).agg(F.max("_last").alias("_last"))
+    ends = cut(character_ends(segs, keys))  # a few numbers per segment: texts are read and normalised once
+    near = _shares(ends, keys, step, width).select(*keys, "t", "c")
+    end = ends.groupBy(*keys).agg(F.max("_last").alias("_last"))
     stop = F.floor((F.col("_last") + width // 2) / F.lit(step)) + 1
     grid = end.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), stop))).select(*keys, (F.col("_g") * step).alias("t"), F.lit(0).cast("long").alias("c"))
     rate = near.unionByName(grid).groupBy(*keys, "t").agg((F.sum("c") * 1000.0 / width).alias("rate"))
