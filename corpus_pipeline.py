@@ -15,26 +15,27 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import dedup, language, mixing, pieces, toxicity
 from turnloom.llm.common import table
-from turnloom.session import shared_dir
+from turnloom.session import cut, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: a text without a letter goes, and one too far from all languages.
 
     Profiles are learned from all documents of the stage that name a language.
-    How far is too far is told per language by a bounded sample of these
-    (``language.loosest_scores``): the share ``language.REJECT`` of such texts
-    that lie farthest goes.  Every text is scored once.  Without any document
+    How far is too far is told per language by all of these
+    (``language.loosest_scores``): the share ``language.REJECT`` of their texts
+    that lie farthest goes.  Every text is scored once, into a table that both
+    the limits and the rows that stay are taken from.  Without any document
     that names a language all stay; null and empty texts go, repeated rows go or
     stay together, and other columns are not touched.
     """
     profiles = language.learn_profiles(docs)
     if not profiles:
         return docs
-    low = language.loosest_scores(profiles, docs)
-    found = language.predict(profiles, F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    scored = cut(docs.select(row, language.predict(profiles, F.col("text")).alias("_found")))
+    low = language.loosest_scores(scored.select(F.xxhash64(F.col("_doc.text").cast("string")).alias("text_hash"), "_doc.lang", "_found.lang_pred", "_found.score"))
     least = F.coalesce(F.create_map(*[F.lit(x) for pair in low.items() for x in pair])[F.col("_found.lang_pred")], F.lit(0.0)) if low else F.lit(0.0)
-    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), found.alias("_found"))
     return scored.where((F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= least)).select("_doc.*")
 
 

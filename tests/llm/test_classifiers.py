@@ -178,3 +178,11 @@ def test_quality_edge_cases(spark, edge, none):
         model = quality.learn(d, lab)
         got = edge.select(quality.score(model, F.col("text")).alias("q")).collect()
         assert all(0 <= r["q"] <= 1 for r in got)
+
+
+def test_language_limits_count_every_text(spark):
+    rows = spark.range(20_000).select(
+        F.xxhash64("id").alias("text_hash"), F.lit("en").alias("lang"), F.lit("en").alias("lang_pred"), ((F.col("id") + 1) / 20_000).alias("score"))
+    none = spark.createDataFrame([(-1, None, "en", 0.0), (-2, "en", "und", 0.0)], "text_hash long, lang string, lang_pred string, score double")
+    got = language.loosest_scores(rows.unionByName(rows).unionByName(none))  # copies count once, nameless and unknown texts not at all
+    assert list(got) == ["en"] and abs(got["en"] * 20_000 - 40) <= 2

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import release
 
 TOP = 300
-SAMPLE, REJECT = 8_000, 0.002  # of ``loosest_scores``
+REJECT = 0.002  # of ``loosest_scores``
 UNKNOWN = "und"
 _BITS = 21
 _letters = np.zeros(0x110000, dtype=np.int8)  # 0 not looked up yet, 1 letter, 2 other
@@ -96,19 +96,16 @@ def learn_profiles(docs: DataFrame, top: int = TOP) -> list[tuple[str, list[int]
     return sorted(got.items())
 
 
-def loosest_scores(profiles: list[tuple[str, list[int]]], docs: DataFrame) -> dict[str, float]:
-    """Per predicted language the score that all but a share ``REJECT`` of the texts that name a language reach.
+def loosest_scores(scored: DataFrame) -> dict[str, float]:
+    """Per predicted language the score that all but a share ``REJECT`` of the different texts that name a language reach.
 
-    Taken from a sample of at most ``SAMPLE`` different texts that name a language, the first ones by hash.
+    From columns ``text_hash``, ``lang``, ``lang_pred`` and ``score`` of all
+    rows; only one row per language reaches the driver.
     """
-    named = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    last = named.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    if last is None:
-        return {}
-    some = named.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
-    got = some.select(predict(profiles, F.col("text")).alias("p")).where(F.col("p.lang_pred") != UNKNOWN)
-    low = got.groupBy("p.lang_pred").agg(F.percentile_approx("p.score", REJECT, 10_000).alias("low"))
-    return {r["lang_pred"]: r["low"] for r in low.collect()}  # one row per language
+    named = scored.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    each = named.groupBy("text_hash").agg(F.first("lang_pred").alias("lang_pred"), F.first("score").alias("score"))  # equal for equal texts
+    low = each.groupBy("lang_pred").agg(F.percentile_approx("score", REJECT, 10_000).alias("low"))
+    return {r["lang_pred"]: r["low"] for r in low.collect()}
 
 
 def predict(profiles: list[tuple[str, list[int]]], text: Column, top: int = TOP) -> Column:
