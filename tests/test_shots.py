@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnloom.operators import selection as O
 from turnloom.operators import sequences as S
 from turnloom.operators import vectors as V
+from turnloom.plans.ordered import running
 
 
 def _runs(cams, first, last):
@@ -338,3 +339,13 @@ def test_units_are_not_broadcast(spark):
     got = lsu_contents(units, shots, segs)
     assert sorted((x["lsu_id"], x["seg_idx"]) for x in got.collect()) == [(7, 5), (7, 6)]
     assert "SortMergeJoin [episode" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_a_choice_broadcast_nothing(spark):
+    it = spark.createDataFrame([("a", i, 1.0, 2.0) for i in range(6)], "grp string, item long, value double, weight double")
+    spans = O.Spans(spark.createDataFrame([(i, 1, i, i + 1) for i in range(6)], "item long, part int, first int, last int"))
+    mark, meet = O._conflicting(spans)
+    marked = mark(it)
+    for df in (meet(marked, marked), O._without(marked, marked, meet), running(it, ["grp"], ["item"], F.col("item"), {"n": ("sum", F.lit(1))})):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["_i1"], r["_i2"]) for r in meet(marked, marked).collect()} == {(i, j) for i in range(6) for j in range(6) if abs(i - j) == 1}
