@@ -143,7 +143,7 @@ def cooccurrence_graph(units: DataFrame, directed: bool = False) -> DataFrame:
     Units with the same cast are counted together first, so pairs are formed
     once per distinct cast and not once per unit.
     """
-    cast = units.select("unit", "speaker").distinct().groupBy("unit").agg(F.array_sort(F.collect_list("speaker")).alias("cast"))
+    cast = units.groupBy("unit").agg(F.array_sort(F.collect_set("speaker")).alias("cast"))
     casts = cast.groupBy("cast").agg(F.count(F.lit(1)).alias("n"))
     one = casts.select("cast", "n", F.explode("cast").alias("src"))
     e = one.select("src", "n", F.explode("cast").alias("dst")).where("src <> dst")

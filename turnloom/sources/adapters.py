@@ -9,6 +9,7 @@ from turnloom.plans.ordered import neighbours, row_index, running, time_block
 
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
+TASK_ROWS = 1 << 19  # lines of orders in a task, however large the table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,14 +73,18 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     sp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # dealt by order once, for the counts, the join and what groups by order after that
+    parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // TASK_ROWS))
     per = (
         li.join(sp, li.l_suppkey == sp.s_suppkey)
         .join(na, sp.s_nationkey == na.n_nationkey)
-        .groupBy(F.col("l_orderkey").alias("unit"), F.col("n_name").alias("speaker"))
+        .select(F.col("l_orderkey").alias("unit"), F.col("n_name").alias("speaker"))
+        .repartition(parts, "unit")
+        .groupBy("unit", "speaker")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 23941).cast("int")
-    return per.join(od, per.unit == od.o_orderkey).select("unit", month.alias("month_idx"), "speaker", "n")
+    return per.join(od.hint("merge"), per.unit == od.o_orderkey).select("unit", month.alias("month_idx"), "speaker", "n")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
