@@ -8,7 +8,9 @@ from turnloom.functions import columns as C
 from turnloom.functions.text import preprocess
 from turnloom.operators import interactions as I
 from turnloom.operators import sequences as S
+from turnloom.sources import adapters as A
 from turnloom.sources import files
+from turnloom.streaming import operators as X
 
 
 def _sequential(segs, gap, drop, rules):
@@ -176,3 +178,23 @@ def test_words_are_counted_where_they_lie(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(unit") == 1 and "hashpartitioning(unit#" in plan
         assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and line.count("#") > 2 and "term" in line and "unit" in line]
+
+
+def test_lines_of_orders_are_dealt_by_their_number(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, A.order_lines(spark, sf).collect()))
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    some = A.order_lines(spark, sf)
+    assert sorted(map(tuple, some.collect())) == whole
+    sizes = [r["count"] for r in some.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
+
+
+def test_stream_speech_rate_keeps_blocks_of_grid_times(spark):
+    rows = [(u, i * 1700, i * 1700 + 900 + u, "some words, spoken" if i % 5 else "") for u in (1, 2) for i in range(40)]
+    segs = spark.createDataFrame(rows, "unit long, start_ms long, end_ms long, text string")
+    blocks = X.stream_speech_rate(segs).collect()
+    got = {(b["unit"], t): rate for b in blocks for t, rate in b["rates"] if rate > 0}
+    want = {(r["unit"], r["t"]): r["rate"] for r in S.speech_rate(segs, ["unit"]).collect() if r["rate"] > 0}
+    assert got == want
+    assert len(blocks) <= len(want) / 8 and all([t for t, _ in b["rates"]] == sorted(t for t, _ in b["rates"]) for b in blocks)

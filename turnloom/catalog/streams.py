@@ -31,8 +31,8 @@ near as (select unit, ts, unnest(range(greatest((ts - 750 + 499) // 500, 0), (ts
 select unit, t, round(count(*) * 1000.0 / 1500, 6) as rate from near where ts >= t - 750 and ts <= t + 750 group by 1, 2"""))
 def _(s, d):
     ln = replay(timed_lines(s, d).select("unit", "start_ms", "end_ms", "text"), order="start_ms")
-    got = drain(X.stream_speech_rate(ln, delay="1 hour"), "update", ["unit", "t_ts"])
-    return got.select("unit", (F.unix_millis("t_ts") - X.EPOCH_MS).alias("t"), F.round("rate", 6).alias("rate")).where("rate > 0")
+    got = drain(X.stream_speech_rate(ln, delay="1 hour"), "update", ["unit", "block_ts"]).select("unit", F.inline("rates"))
+    return got.select("unit", "t", F.round("rate", 6).alias("rate")).where("rate > 0")
 
 
 @query("x03_stream_interactions", sql(SPEECH, rules_cte("known", GAP), then="""

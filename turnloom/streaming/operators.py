@@ -14,6 +14,7 @@ from turnloom.operators.sequences import character_shares
 from turnloom.plans.ordered import with_halo
 
 CUT_BLOCK = 64
+RATE_BLOCK = 16  # grid times
 EPOCH_MS = 1_704_067_200_000  # 2024-01-01, the zero of all clocks; rows at time 0 itself would be late from the start
 
 
@@ -45,10 +46,20 @@ def stream_cuts(frames: DataFrame, n_blocks: int, high: float = 0.30, low: float
 def stream_speech_rate(segs: DataFrame, key: str = "unit", delay: str = "10 minutes", step: int = 500, width: int = 1500) -> DataFrame:
     """Characters per second around each grid time, without the global maximum.
 
-    Grid times at which nobody speaks yield no row.
+    Rows ``key``, block time and ``rates``, the (t, rate) of the block's grid
+    times in order; those at which nobody speaks are left out.  State is a row
+    of ``RATE_BLOCK`` sums per block, not a row per grid time.  The watermark
+    waits a block longer than ``delay``, so nothing within it is late.  Use
+    update mode; the last row of a block counts.
     """
-    g = character_shares(segs, [key], step, width).withColumn("t_ts", F.timestamp_millis(F.col("t") + EPOCH_MS)).withWatermark("t_ts", delay)
-    return g.groupBy(key, "t_ts").agg((F.sum("c") * 1000.0 / width).alias("rate"))
+    size = RATE_BLOCK * step
+    block = F.floor(F.col("t") / F.lit(size)) * size
+    g = character_shares(segs, [key], step, width).withColumn("block_ts", F.timestamp_millis(block + EPOCH_MS))
+    g = g.withColumn("slot", F.floor(F.col("t") / F.lit(step)) % RATE_BLOCK).withWatermark("block_ts", f"{delay} {size} milliseconds")
+    g = g.groupBy(key, "block_ts").agg(*[F.sum(F.when(F.col("slot") == i, F.col("c"))).alias(f"c{i}") for i in range(RATE_BLOCK)])
+    start = F.unix_millis("block_ts") - EPOCH_MS
+    each = [F.when(F.col(f"c{i}").isNotNull(), F.struct((start + i * step).alias("t"), (F.col(f"c{i}") * 1000.0 / width).alias("rate"))) for i in range(RATE_BLOCK)]
+    return g.select(key, "block_ts", F.array_compact(F.array(*each)).alias("rates"))
 
 
 # ---- interactions ----------------------------------------------------------
