@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from turnloom.llm import dedup
@@ -109,3 +110,14 @@ def test_connected(spark):
             low[a] = low[b] = min(low.get(a, a), low.get(b, b))
     want = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: low[x] for x in want}
+
+
+def test_signatures_are_handed_on_in_parts():
+    texts = [" ".join(f"w{i}x{j}" for j in range(4000)) for i in range(40)] + [None, "", "one"]
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    got = list(dedup._signatures(5, False)([pdf]))
+    assert len(got) > 2 and max(sum(map(len, g["detail"])) for g in got) < 100_000
+    assert [d for g in got for d in g["doc_id"]] == list(range(len(texts)))
+    assert [n for g in got for n in g["n"]] == [3996] * 40 + [0, 0, 1]
+    for bare in dedup._signatures(5, None)([pdf]):
+        assert all(d.base is None or d.base.size == 0 for d in bare["detail"])  # keeps no set alive

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORK_BYTES = 1 << 20  # texts are handled in slices of about this size inside an Arrow batch
+WORK_BYTES = 1 << 18  # texts are handled in slices of about this size inside an Arrow batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,15 +98,17 @@ def _signatures(k: int, bands: bool | None):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"n": [], "h1": [], "h2": [], "detail": []}
-            for _, parts in slices(pdf["text"]):
+            for at, parts in slices(pdf["text"]):  # handed on slice by slice: the sets of a whole batch are not held
+                out = {"n": [], "h1": [], "h2": [], "detail": []}
                 for s in shingle_sets(parts, k):
                     out["n"].append(len(s))
                     out["h1"].append(int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)) if len(s) else 0)
                     out["h2"].append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    out["detail"].append((band_keys(sketch(s)) if bands and len(s) else s if bands is not None else s[:0]).view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **out})
-            del pdf, out
+                    detail = band_keys(sketch(s)) if bands and len(s) else s if bands is not None else np.zeros(0, np.uint64)
+                    out["detail"].append(detail.view(np.int64))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(parts)].reset_index(drop=True), **out})
+                del out
+            del pdf
             release()
 
     return run
@@ -221,10 +223,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     first = found.where("kept and n_shingles > 0").groupBy("root").agg(F.min(F.struct("h1", "h2")).alias("f"), F.first("doc_id").alias("w_id"))
     first = first.select("w_id", F.col("f.h1").alias("w1"), F.col("f.h2").alias("w2"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("n", "h1", "h2")})  # for a batch without rows
 
     @F.pandas_udf("n long, h1 long, h2 long")
     def signature(texts: pd.Series) -> pd.DataFrame:
-        return pd.concat([p[["n", "h1", "h2"]] for p in _signatures(k, None)([pd.DataFrame({"doc_id": 0, "text": texts})])])
+        return pd.concat([none, *(p[["n", "h1", "h2"]] for p in _signatures(k, None)([pd.DataFrame({"doc_id": 0, "text": texts})]))], ignore_index=True)
 
     src = docs.select(row, F.col("doc_id").cast("long").alias("id"), signature(F.col("text").cast("string")).alias("s"))
     src = src.select("row", "id", "s.n", "s.h1", "s.h2")
