@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import release
 from turnloom.session import cut
 
-TABLE = 100_000
+TABLE = 200_000
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 19  # of text that is cut up at once
 SLICE = 1 << 16  # chunks whose (document, pair) rows are made distinct at once
