@@ -10,6 +10,7 @@ from turnloom.operators import selection as O
 from turnloom.operators import sequences as S
 from turnloom.operators import vectors as V
 from turnloom.plans.ordered import running
+from turnloom.session import cut
 
 
 def _runs(cams, first, last):
@@ -349,3 +350,18 @@ def test_rounds_of_a_choice_broadcast_nothing(spark):
     for df in (meet(marked, marked), O._without(marked, marked, meet), running(it, ["grp"], ["item"], F.col("item"), {"n": ("sum", F.lit(1))})):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r["_i1"], r["_i2"]) for r in meet(marked, marked).collect()} == {(i, j) for i in range(6) for j in range(6) if abs(i - j) == 1}
+
+
+def test_features_of_units_broadcast_nothing(spark, monkeypatch):
+    plans, table = [], lambda rows, schema: cut(spark.createDataFrame(rows, schema))  # with a size that a plan knows
+    monkeypatch.setattr(O, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    shots = table([(1, i, i, 1000 * i - 1000, 1000 * i) for i in range(1, 6)], "episode int, shot_idx int, shot_id long, start_ms long, end_ms long").hint("merge")
+    units = table([(1, 7, 2, 3), (1, 8, 4, 5)], "episode int, lsu_id long, first_shot int, last_shot int").hint("merge")
+    speech = table([(1, 5, "a", 1100, 1900), (1, 6, "b", 2100, 2900)], "episode int, seg_idx long, speaker string, start_ms long, end_ms long").hint("merge")
+    faces = table([(1, 1500, 130), (1, 1500, 20)], "episode int, frame_ms long, h int")
+    music = table([(1, 1200, 1, 0.25), (1, 2200, 2, 0.75)], "episode int, pos_ms long, music_id long, rate double")
+    got = O.unit_features(units, shots, speech, faces, music, 260)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    rows = {r["lsu_id"]: (r["start_ms"], r["end_ms"], r["seconds"], r["shot_size"], r["music_rate"]) for r in got.collect()}
+    assert rows == {7: (1000, 2960, 1.96, 0.25, 0.5), 8: (3000, 4960, 1.96, 0.0, None)}
