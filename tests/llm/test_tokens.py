@@ -101,6 +101,39 @@ def test_word_table_keeps_frequent_words(monkeypatch):
         assert len(tok.words) + len(tok.before) < 60 and "common" in tok.words
 
 
+def test_pieces_go_to_the_model_once(monkeypatch):
+    """Words that differ by their marks only cost one call of the library; results stay those of whole texts."""
+    tok, lib = token_files.Tokenizer(BYTES), Tokenizer.from_file(BYTES)
+    asked = []
+
+    class Model:
+        def tokenize(self, seen, model=tok.model):
+            asked.append(seen)
+            return model.tokenize(seen)
+
+    tok.model = Model()
+    texts = ["x erndeaha erndeaha. erndeaha, erndeaha\nerndeaha", "x ètionré? ètionré!\n ètionré", "x <|endoftext|> erndeaha", "x 日本 erndeaha", "a  b"]
+    for size in (1, 1 << 22):
+        monkeypatch.setattr(token_files, "TEXT", size)
+        got = [np.frombuffer(g, "<u4").tolist() for g in tok.encode(texts)]
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked))
+    assert len([a for a in asked if "erndeaha" in a]) == 2  # after a blank and after a line feed
+
+
+def test_classes_are_those_of_the_library():
+    split = Tokenizer.from_file(BYTES).pre_tokenizer
+    tok = token_files.tokenizer(BYTES)
+    assert tok.by_piece
+    for c in range(token_files.LOW):
+        text = f"é{chr(c)}{chr(c)}7 {chr(c)}'{chr(c)}"
+        whole, at = [], 0
+        for _, (x, y) in split.pre_tokenize_str(text):
+            whole.append(text[x:y])
+            at = y
+        assert at == len(text) and tok.cut(text) == whole, c
+
+
 def expected(rows):
     lib, start, out = Tokenizer.from_file(BYTES), 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

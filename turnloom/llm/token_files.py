@@ -19,26 +19,65 @@ gives no file and no rows.  Other columns of the input are not touched.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.alignment import byte_alphabet
 from turnloom.llm.files import attempt_name, create, new_folder, open_read
 from turnloom.llm.id_coder import BLOCK, decode_block, encode_block
 from turnloom.session import cut
 
 MAGIC = b"TLID2"
-TABLE = 250_000
-_OTHER_SPACE = re.compile(r"\s")
+TABLE = 400_000
+LOW = 0x2100  # code points whose classes are asked for
+TEXT = 1 << 22  # characters that are looked up at once
+_HIGH = re.compile(f"[^\0-{chr(LOW - 1)}]")
+
+
+def _pieces(split) -> re.Pattern:
+    """The byte-level pattern for code points below ``LOW``, with the classes that ``split``, the library's own, gives them."""
+    begins = np.zeros(6 * LOW, bool)
+    begins[[at for _, (at, _) in split.pre_tokenize_str("".join(f"a{chr(c)}{chr(c)}1a\n" for c in range(LOW)))]] = True
+    one, two, three = begins.reshape(-1, 6)[:, 1:4].T
+
+    def members(some: np.ndarray) -> str:
+        cuts = np.flatnonzero(np.diff(np.concatenate(([0], some, [0]))))
+        return "".join(f"\\u{x:04x}-\\u{y - 1:04x}" for x, y in cuts.reshape(-1, 2).tolist())
+
+    letter, number, space = members(~one), members(one & ~two & ~three), members(two)
+    return re.compile(
+        f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class _Table(dict):
+    """Values of keys, made when first asked for.  The table before still answers, and what it answers moves on."""
+
+    def __init__(self, make: Callable[[str], bytes], part: int = 1):
+        self.make, self.part, self.before = make, part, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.before.get(key)
+        self[key] = got = self.make(key) if got is None else got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > TABLE // self.part:
+            self.before = dict(self)
+            self.clear()
 
 
 class Tokenizer:
@@ -46,7 +85,10 @@ class Tokenizer:
 
     Its pattern always ends a token before a single blank that a visible
     character follows, so words between single blanks are tokenised once each
-    and looked up after that.  Texts with two blanks in a row go whole.  Beyond
+    and looked up after that.  A new word is cut into the pieces of the pattern,
+    and only pieces that are new as well go to the library's model.  Texts
+    with an added token or a code point from ``LOW`` on, and all texts of another
+    kind of vocabulary, go to the library whole.  Beyond
     ``TABLE`` words a new table is begun; the one before still answers, and what
     it answers moves on, so frequent words stay and rare ones go.
     """
@@ -56,47 +98,91 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.lib = Library.from_file(path)
-        self.words: dict[str, bytes] = {}  # after a blank
-        self.before: dict[str, bytes] = {}  # the table before
-        self.firsts: dict[str, bytes] = {}  # at the beginning of a text
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Unseen words, many to a call: joined by line feeds, whose id ends each of them."""
-        feed = self.lib.encode("\n", add_special_tokens=False).ids
-        plain = [w for w in new if w and not _OTHER_SPACE.search(w)] if len(feed) == 1 else []
-        for a in range(0, len(plain), 256):
-            some = plain[a : a + 256]
-            ids = np.frombuffer(self._whole(["\n".join(" " + w for w in some) + "\n"])[0], dtype="<u4")
-            ends = np.flatnonzero(ids == feed[0])
-            if len(ends) == len(some):
-                for w, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)), ends, strict=True):
-                    self.words[w] = ids[x:y].tobytes()
-        rest = [w for w in new if w not in self.words]
-        self.words.update(zip(rest, self._whole([" " + w for w in rest]), strict=True))
+        form = json.loads(self.lib.to_str())
+        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_piece = (
+            form["model"]["type"] == "BPE" and not form["model"]["dropout"]
+            and not any(form[k] for k in ("normalizer", "truncation", "padding"))
+            and split.items() <= (form["pre_tokenizer"] or {}).items()
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in form["added_tokens"]))
+        self.added = [t["content"] for t in form["added_tokens"]]
+        self.blank = next(c for c, b in byte_alphabet().items() if b == 32)
+        self.visible = {b: c for c, b in byte_alphabet().items()}
+        self.model = self.lib.model
+        self.model._resize_cache(0)  # what repeats is in the tables
+        self.cut = _pieces(self.lib.pre_tokenizer).findall if self.by_piece else None
+        self.words = _Table(self._word)  # one piece after a blank
+        self.mixed = _Table(None, 4)  # more than one
+        self.inner = _Table(self._piece)  # pieces of words after their first, and of beginnings
+
+    @property
+    def before(self) -> dict[str, bytes]:
+        return self.words.before
+
+    def _piece(self, piece: str) -> bytes:
+        seen = piece.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(self.blank + word)]).tobytes()
+        return self._piece(" " + word)
+
+    def _new(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.words[word]
+        got = self.mixed.get(word) or self.mixed.before.get(word)
+        if got is None:
+            first, *rest = self.cut(" " + word)
+            if not rest:
+                return self.words[word]
+            got = self.words[first[1:]] + b"".join(map(self.inner.__getitem__, rest))
+        self.mixed[word] = got
+        return got
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts without two blanks in a row: each distinct word is looked up once."""
+        cut_up = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = cut_up.values.dictionary_encode()
+        begin = cut_up.offsets.to_numpy()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        value = [self._new(w) if v is None else v for w, v in zip(distinct, map(self.words.get, distinct), strict=True)]
+        which = words.indices.to_numpy().copy()
+        which[begin[:-1]] = np.arange(len(value), len(value) + len(texts))
+        value += [b"".join(map(self.inner.__getitem__, self.cut(t.split(" ", 1)[0]))) for t in texts]
+        size = np.fromiter(map(len, value), np.int64, len(value)) >> 2
+        pool, n = np.frombuffer(b"".join(value), "<u4"), size[which]
+        end = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat((np.cumsum(size) - size)[which] - end[:-1], n) + np.arange(end[-1])]
+        ends = end[begin].tolist()
+        return (ids[a:b].tobytes() for a, b in zip(ends, ends[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.words) + len(self.firsts) > TABLE:
-            self.before, self.words = self.words, {}
-            self.firsts.clear()
-        cut_up = [None if "  " in t else t.split(" ") for t in texts]
-        new = {w for c in cut_up if c for w in c[1:]}
-        new.difference_update(self.words)
-        old = new.intersection(self.before)
-        self.words.update((w, self.before[w]) for w in old)
-        new -= old
-        if new:
-            self._learn(list(new))
-        first = list({c[0] for c in cut_up if c} - self.firsts.keys())
-        self.firsts.update(zip(first, self._whole(first), strict=True))
-        look = self.words
-        return [
-            self._whole([t])[0] if c is None else self.firsts[c[0]] + b"".join([look[w] for w in c[1:]])
-            for t, c in zip(texts, cut_up, strict=True)
-        ]
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            for k, ids in zip(plain, self._some([texts[k] for k in plain]) if plain else (), strict=True):
+                out[k] = ids
+            plain.clear()
+
+        for table in (self.words, self.mixed, self.inner):
+            table.turn()
+        for k, t in enumerate(texts):
+            if not self.by_piece or any(x in t for x in self.added) or not t.isascii() and _HIGH.search(t):
+                out[k] = array("I", self.lib.encode(t, add_special_tokens=False).ids).tobytes()
+            elif "  " in t:
+                out[k] = b"".join(map(self.inner.__getitem__, self.cut(t)))
+            else:
+                plain.append(k)
+                held += len(t)
+                if held >= TEXT:
+                    flush()
+                    held = 0
+        flush()
+        return out
 
     def bits(self) -> int:
         return (self.lib.get_vocab_size() - 1).bit_length()
@@ -173,8 +259,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         tok, out, uri = tokenizer(path), None, f"{folder}/{attempt_name()}"
         end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                some = pdf.iloc[a : a + 500]
+            for a in range(0, len(pdf), 1000):
+                some = pdf.iloc[a : a + 1000]
                 coded = tok.encode([t if isinstance(t, str) else "" for t in some["text"]])
                 for d, known, ids in zip(some["doc_id"], some["known"], coded, strict=True):
                     out = out or Writer(uri, tok.bits())
