@@ -92,6 +92,38 @@ def test_coder_is_smaller_than_order_zero():
     assert len(coded) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
+def test_packed_slots_move_like_single_ones():
+    """Tables of moves against the rules of the two slots of order 1 and the one of order 2, for all confidences and outcomes."""
+    for s1 in range(8):
+        for s3 in range(8):
+            for hit in (0, 1, 2):  # neither, the first, the other one
+                one, other, new = 5 << 3 | s1, 9 << 3 | s3, 11 << 3 | 1
+                k = s1 | s3 << 3 | (hit == 1) << 6 | (hit == 2) << 7
+                if hit == 1:
+                    a, b = 5 << 3 | min(s1 + 1, 7), other
+                elif hit == 2:
+                    a, b = 5 << 3 | max(s1 - 1, 0), 9 << 3 | min(s3 + 1, 7)
+                else:
+                    a, b = one, other - 1 if s3 else new
+                now = (other << 32 | one) + int(id_coder._ADD[k])
+                if id_coder._PUT[k]:
+                    now = now & 0xFFFFFFFF | new << 32
+                assert (now & 0xFFFFFFFF, now >> 32) == (a, b) and id_coder._SWAP[k] == ((b & 7) > (a & 7))
+        assert id_coder._ADD2[s1 + 8] == min(s1 + 1, 7) - s1 and id_coder._ADD2[s1] == s1 // 2 - s1
+
+
+def test_full_block_of_wide_lanes():
+    """A whole block, whose steps are no more than those of half as many ids before."""
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, id_coder.BLOCK), 50_255)
+    lanes, steps = id_coder._shape(len(ids))
+    assert steps <= 256 and lanes * steps == len(ids) == 1 << 21
+    coded = id_coder.encode_block(ids, 16)
+    assert (id_coder.decode_block(coded, len(ids), 16) == ids).all()
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * len(coded) / len(ids) < 1.1 * -(share * np.log2(share)).sum() + 0.3
+
+
 def test_word_table_keeps_frequent_words(monkeypatch):
     monkeypatch.setattr(token_files, "TABLE", 20)
     tok, lib = token_files.Tokenizer(BYTES), Tokenizer.from_file(BYTES)

@@ -33,7 +33,7 @@ import struct
 
 import numpy as np
 
-BLOCK, LANES, RUN = 1 << 20, 4096, 128
+BLOCK, LANES, RUN = 1 << 21, 8192, 256
 EAGER, REST = 32, 4
 _U = np.uint64
 _FULL, _FLOOR, _WORD = _U(2**64 - 1), _U(1 << 32), _U(32)
@@ -52,23 +52,11 @@ class _Try:
     def __init__(self, states: int, inputs: int):
         self.weight = np.full((inputs, states), 0.9 / inputs)
         self.weight[0] = 0.6
-        self.states = states
-
-    def chance(self, state: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        self.state, self.inputs = state, inputs
-        dot = self.weight[0].take(state) * inputs[0]
-        for w, x in zip(self.weight[1:], inputs[1:], strict=True):
-            dot += w.take(state) * x
-        self.p = _SQUASH.take(dot.astype(np.int64) + 2047, mode="clip")
-        return self.p
-
-    def learn(self, hit: np.ndarray) -> None:
-        """``hit``: 1 right, 0 wrong.  Weights move by the mean of error times input, rounded to 2 ** -20."""
-        error = ((hit << _ONE) - self.p) << 4
-        met = np.bincount(self.state, minlength=self.states) + 16.0
-        for w, x in zip(self.weight, self.inputs, strict=True):
-            step = np.bincount(self.state, error * x, self.states) / met * 2.0**-27
-            w += np.rint(step * 2.0**20) * 2.0**-20
+
+    def learn(self, met: np.ndarray, steps: list[np.ndarray]) -> None:
+        """Weights move by the mean of error times input over what a state met, rounded to 2 ** -20."""
+        for w, step in zip(self.weight, steps, strict=True):
+            w += np.rint(step / (met + 16.0) * 2.0**-7) * 2.0**-20
         np.clip(self.weight, -2.0, 4.0, out=self.weight)
 
 
@@ -78,31 +66,53 @@ class _Rate:
     def __init__(self, states: int):
         self.seen = np.full(states, 4.0)
         self.hits = np.arange(states) % 8 * 0.4 + 0.2
-        self.states = states
         self.take_over()
 
     def take_over(self) -> None:
         self.value = _STRETCH.take((self.hits * 4095 // self.seen).astype(np.int64))
 
-    def learn(self, state: np.ndarray, hit: np.ndarray) -> None:
-        got = np.bincount((state << 1) | hit, minlength=2 * self.states)
-        self.hits += got[1::2]
-        self.seen += got[::2] + got[1::2]
+    def learn(self, seen: np.ndarray, hits: np.ndarray) -> None:
+        self.hits += hits
+        self.seen += seen
         old = self.seen > 60_000
         self.seen[old] = np.floor(self.seen[old] / 2)
         self.hits[old] = np.floor(self.hits[old] / 2)
         self.take_over()
 
 
+def _moves() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the slots become, by confidences and hits.
+
+    Order 2, by confidence and hit: what is added.  Order 1, by both confidences, hit of the first and of the other one:
+    what is added to the packed pair, whether the other one is replaced, and whether the two change places.
+    A first one that hits gains confidence, and loses it where the other one hits; the other one gains by a hit, rests beside a
+    right first one, and else loses confidence or is replaced.
+    """
+    two = np.array([(s >> 1) - s for s in range(8)] + [int(s < _TOP) for s in range(8)], np.int64)
+    add, put, swap = np.zeros(256, np.int64), np.zeros(256, bool), np.zeros(256, bool)
+    for k in range(256):
+        s1, s3, is1, is3 = k & 7, k >> 3 & 7, k >> 6 & 1, k >> 7
+        d1 = (s1 < _TOP) if is1 else -((s1 > 0) & is3)
+        put[k] = not (is1 or is3 or s3)
+        d3 = (s3 < _TOP) if is3 else 0 if is1 or put[k] else -1
+        add[k] = int(d1) + (int(d3) << 32)
+        swap[k] = (1 if put[k] else s3 + d3) > s1 + d1
+    return two, add, put, swap
+
+
+_ADD2, _ADD, _PUT, _SWAP = _moves()
+
+
 class _Model:
     def __init__(self, vocabulary: int, inverse: bool):
         self.none = vocabulary  # the guess of an empty slot
         self.total = 17 if vocabulary <= 1 << 16 else 20
-        self.one = np.full(1 << _SLOTS1, self.none << 3, np.int64)
-        self.other = self.one.copy()
+        self.slots = None if vocabulary <= 1 << _SLOTS1 else (1 << _SLOTS1) - 1
+        self.pair = np.full(1 << _SLOTS1, self.none << 35 | self.none << 3, np.int64)  # the likeliest below, the other one above
         self.two = np.full(1 << _SLOTS2, self.none << 3, np.int64)
         self.rates = [_Rate(8), _Rate(8), _Rate(16)]
         self.tries = [_Try(16, 3), _Try(16, 2)]
+        self._mix()
         self.counts = np.zeros(vocabulary, np.int64)
         self.inverse = inverse
         self.start = np.zeros(vocabulary + 1, np.int64)
@@ -135,49 +145,97 @@ class _Model:
         self._spread()
         self.next = step + min(32, max(1, step // 4))
 
+    def _mix(self) -> None:
+        """Tables of the mixes: of the first try by (agree, confidence of order 1, of order 2), of the second by its state."""
+        r2, r1, r = (x.value for x in self.rates)
+        w = self.tries[0].weight.reshape(3, 2, 1, 8)
+        fixed = w[0] * r2 + w[1] * r1[:, None] * np.arange(2)[:, None, None]
+        self.fixed1, self.by1 = fixed.reshape(-1) + 2047, np.repeat(w[2], 8, 1).reshape(-1)
+        w = self.tries[1].weight
+        self.fixed2, self.by2 = w[0] * r + 2047, w[1]
+
     def predict(self, a: np.ndarray, b: np.ndarray) -> None:
         """Two guesses and their chances after the last ids ``a`` and those before them ``b``."""
-        self.at1 = a & ((1 << _SLOTS1) - 1)
-        self.at2 = ((a * 0x9E3779B1 + b * 0x85EBCA6B) * 0xC2B2AE35 >> 20) & ((1 << _SLOTS2) - 1)
-        one, other, two = self.one.take(self.at1), self.other.take(self.at1), self.two.take(self.at2)
-        self.packed1, self.packed3 = one, other
-        self.g1, self.s1, self.g3, self.s3 = one >> 3, one & 7, other >> 3, other & 7
-        self.first, self.s2 = two >> 3, two & 7
-        self.agree = self.first == self.g1
-        self.second = np.where(self.agree, self.g3, self.g1)
-        agree = self.agree.astype(np.int64)
-        self.state = np.where(self.agree, self.s3, self.s1) + (agree << 3)
+        self.at1 = a if self.slots is None else a & self.slots
+        h = a * 0x9E3779B1
+        h += b * 0x85EBCA6B
+        h *= 0xC2B2AE35
+        self.at2 = (h.view(_U) >> _U(64 - _SLOTS2)).view(np.int64)
+        self.packed, self.packed2 = self.pair.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        one, other = self.packed & 0xFFFFFFFF, self.packed >> 32
+        self.g1, self.g3, self.first = one >> 3, other >> 3, self.packed2 >> 3
+        self.s1, self.s3, self.s2 = one & 7, other & 7, self.packed2 & 7
+        agree = -(self.first == self.g1).astype(np.int64)  # all bits
+        other ^= one
+        other &= agree
+        other ^= one  # the one that differs from the first guess
+        self.second = other >> 3
+        other &= 7
+        other += agree & 8
+        self.state = other
+        agree &= 64
+        agree += self.s1 << 3
+        agree += self.s2
+        self.both_states = agree
+        self.prior1, self.prior2 = self.prior.take(self.first, mode="clip"), self.prior.take(self.second, mode="clip")
+        dot = self.by1.take(self.both_states, mode="clip")
+        dot *= self.prior1
+        dot += self.fixed1.take(self.both_states, mode="clip")
+        self.f = _SQUASH.take(dot.astype(np.int64), mode="clip")
+        dot = self.by2.take(self.state, mode="clip")
+        dot *= self.prior2
+        dot += self.fixed2.take(self.state, mode="clip")
+        self.s = _SQUASH.take(dot.astype(np.int64), mode="clip")
+        left = (1 << _ONE) - self.f
+        left *= self.s
+        left >>= _ONE
+        self.both = np.maximum(left, 1, out=left)
+        self.both += self.f
+
+    def _learn_chances(self, first: np.ndarray, second: np.ndarray, is1: np.ndarray) -> None:
         r2, r1, r = self.rates
-        f = self.tries[0].chance(self.s2 + (agree << 3), [r2.value.take(self.s2), r1.value.take(self.s1) * agree, self.prior.take(self.first)])
-        s = self.tries[1].chance(self.state, [r.value.take(self.state), self.prior.take(self.second)])
-        self.f = f
-        self.both = f + np.maximum(((1 << _ONE) - f) * s >> _ONE, 1)
+        got = np.bincount((self.both_states << 1) + first, minlength=256).reshape(2, 8, 8, 2).sum(1)  # agree, order 2, hit
+        error = ((first.astype(np.int64) << _ONE) - self.f) << 4
+        fixed = np.bincount(self.both_states, error, 128).reshape(2, 8, 8)
+        by = np.bincount(self.both_states, error * self.prior1, 128).reshape(2, 8, 8).sum(1)
+        steps = [fixed.sum(1) * r2.value, (fixed * r1.value[:, None]).sum(1) * np.arange(2)[:, None], by]
+        self.tries[0].learn(got.sum(2).reshape(-1), [x.reshape(-1) for x in steps])
+        r2.learn(got.sum((0, 2)), got[..., 1].sum(0))
+        got = np.bincount((self.s1 << 1) + is1, minlength=16)
+        r1.learn(got[::2] + got[1::2], got[1::2])
+        missed = np.flatnonzero(~first)
+        again, state = second[missed].astype(np.int64), self.state[missed]
+        got = np.bincount((state << 1) | again, minlength=32)
+        error = ((again << _ONE) - self.s[missed]) << 4
+        seen = got[::2] + got[1::2]
+        self.tries[1].learn(seen, [np.bincount(state, error, 16) * r.value, np.bincount(state, error * self.prior2[missed], 16)])
+        r.learn(seen, got[1::2])
+        self._mix()
 
     def learn(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, step: int) -> None:
         """What was coded, and whether the first or the second guess was right."""
-        is1 = np.where(self.agree, first, second)
+        is1, is3 = self.g1 == ids, self.g3 == ids
         if step < EAGER or step % REST == 0:
-            hit = first.astype(np.int64)
-            self.rates[0].learn(self.s2, hit)
-            self.rates[1].learn(self.s1, is1.astype(np.int64))
-            self.tries[0].learn(hit)
-            missed = np.flatnonzero(~first)
-            again, state, other = second[missed].astype(np.int64), self.state[missed], self.tries[1]
-            self.rates[2].learn(state, again)
-            other.state, other.p, other.inputs = state, other.p[missed], [x[missed] for x in other.inputs]
-            other.learn(again)
+            self._learn_chances(first, second, is1)
         new = ids << 3
-        old = np.where(self.s2 > 1, (self.first << 3) | (self.s2 >> 1), new | 1)
-        self.two[self.at2] = np.where(first, new | np.minimum(self.s2 + 1, _TOP), old)
-        is3 = self.g3 == ids
-        one = self.packed1 + np.where(is1, self.s1 < _TOP, -((self.s1 > 0) & is3).view(np.int8))
-        # the other one: right, rests beside a right first one, loses confidence, or is replaced
-        worn = np.where(self.s3 > 0, self.packed3 - 1, new | 1)
-        rest = np.where(is1, self.packed3, worn)
-        other = np.where(is3, self.packed3 + (self.s3 < _TOP), rest)
-        swap = (other & 7) > (one & 7)
-        self.one[self.at1] = np.where(swap, other, one)
-        self.other[self.at1] = np.where(swap, one, other)
+        new |= 1
+        k = first * np.int64(8)
+        k += self.s2
+        now = self.packed2
+        now += _ADD2.take(k, mode="clip")
+        np.putmask(now, k < 2, new)
+        self.two[self.at2] = now
+        k = self.s3 << 3
+        k += self.s1
+        k += is1 * np.int64(64)
+        k += is3 * np.int64(128)
+        now = self.packed
+        now += _ADD.take(k, mode="clip")
+        new <<= 32
+        new |= now & 0xFFFFFFFF
+        np.putmask(now, _PUT.take(k, mode="clip"), new)
+        np.putmask(now, _SWAP.take(k, mode="clip"), (now >> 32) | (now << 32))
+        self.pair[self.at1] = now
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -223,21 +281,32 @@ def encode_block(ids: np.ndarray, bits: int) -> bytes:
         now = grid[i + 2, :m]
         model.predict(grid[i + 1, :m], grid[i, :m])
         first, second = model.first == now, model.second == now
-        start = np.where(first, 0, np.where(second, model.f, model.both))
-        end = np.where(first, model.f, np.where(second, model.both, 1 << _ONE))
-        part = span[:m] >> _U(_ONE)
-        offset = part * start.view(_U)
-        span[:m] = part * (end - start).view(_U)
-        # order 0 for all lanes; it counts where both guesses fail
         miss = ~(first | second)
-        start, width = model.start.take(now), model.width.take(now)
-        new = (width == 0) & miss
-        if new.any():
+        start = model.f * ~first
+        end = start.copy()
+        gap = model.both - model.f
+        start += gap * miss
+        np.putmask(end, first, model.f)
+        np.putmask(end, second, model.both)
+        np.putmask(end, miss, 1 << _ONE)
+        end -= start
+        own = span[:m]
+        own >>= _U(_ONE)
+        offset = own * start.view(_U)
+        own *= end.view(_U)
+        # order 0 for all lanes; it counts where both guesses fail
+        start, width = model.start.take(now, mode="clip"), model.width.take(now, mode="clip")
+        new = np.flatnonzero((width == 0) & miss)
+        if len(new):
             start[new], width[new] = model.escape, (1 << model.total) - model.escape
             fresh.append(now[new])
-        part = span[:m] >> _U(model.total)
-        offset += np.where(miss, part * start.view(_U), _U(0))
-        np.copyto(span[:m], part * width.view(_U), where=miss)
+        part = own >> _U(model.total)
+        start = start.view(_U)
+        start *= part
+        start *= miss
+        offset += start
+        part *= width.view(_U)
+        np.putmask(own, miss, part)
         model.learn(now, first, second, i)
         low[:m] += offset
         carry(np.flatnonzero(low[:m] < offset))
@@ -286,25 +355,33 @@ def decode_block(coded: bytes, n: int, bits: int) -> np.ndarray:
             model.count(i, np.concatenate([grid[k + 2, : lanes if k < tail else lanes - 1] for k in range(since, i)]))
             since = i
         model.predict(grid[i + 1, :m], grid[i, :m])
-        part = span[:m] >> _U(_ONE)
-        c = code[:m]
+        own, c = span[:m], code[:m]
+        part = own >> _U(_ONE)
         end1, end2 = part * model.f.view(_U), part * model.both.view(_U)
         first, miss = c < end1, c >= end2
-        now = np.where(first, model.first, model.second)
-        low = np.where(first, _U(0), np.where(miss, end2, end1))
-        span[:m] = np.where(first, end1, np.where(miss, part << _U(_ONE), end2)) - low
-        code[:m] = c - low
-        part = span[:m] >> _U(model.total)
-        v = model.place.take((code[:m] // part).view(np.int64), mode="clip").astype(np.int64)
-        start, width = model.start.take(v), model.width.take(v)
+        now, low = model.second, end1 * ~first
+        np.putmask(low, miss, end2)
+        part <<= _U(_ONE)
+        np.putmask(end2, first, end1)
+        np.putmask(end2, miss, part)
+        np.putmask(now, first, model.first)
+        np.subtract(end2, low, out=own)
+        c -= low
+        part = own >> _U(model.total)
+        v = model.place.take((c // part).view(np.int64), mode="clip").astype(np.int64)
+        start, width = model.start.take(v, mode="clip"), model.width.take(v, mode="clip")
         new = np.flatnonzero((v == model.none) & miss)
         if len(new):
             start[new], width[new] = model.escape, (1 << model.total) - model.escape
             v[new] = plain[done : done + len(new)]
             done += len(new)
-        np.subtract(code[:m], part * start.view(_U), out=code[:m], where=miss)
-        np.copyto(span[:m], part * width.view(_U), where=miss)
-        now = np.where(miss, v, now)
+        start = start.view(_U)
+        start *= part
+        start *= miss
+        c -= start
+        part *= width.view(_U)
+        np.putmask(own, miss, part)
+        np.putmask(now, miss, v)
         model.learn(now, first, ~(first | miss), i)
         grid[i + 2, :m] = now
         small = np.flatnonzero(span[:m] < _FLOOR)

@@ -1,6 +1,6 @@
 """Token-id files: tokenise texts, write their ids in order, read them back.
 
-File: ``TLID2`` and the number of bits of an id, then blocks of up to ``BLOCK``
+File: ``TLID3`` and the number of bits of an id, then blocks of up to ``BLOCK``
 ids coded by ``id_coder``.  Before a block stand its number of ids, its length in
 bytes, the crc32 of its ids and the documents that end in it: an index (doc_id,
 number of ids).  A reader checks every block, and each block can be decoded on
@@ -41,7 +41,7 @@ from turnloom.llm.files import attempt_name, create, new_folder, open_read
 from turnloom.llm.id_coder import BLOCK, decode_block, encode_block
 from turnloom.session import cut
 
-MAGIC = b"TLID2"
+MAGIC = b"TLID3"
 TABLE = 400_000
 LOW = 0x2100  # code points whose classes are asked for
 TEXT = 1 << 22  # characters that are looked up at once
@@ -131,7 +131,10 @@ class Tokenizer:
     def _new(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.words[word]
-        got = self.mixed.get(word) or self.mixed.before.get(word)
+        got = self.mixed.get(word)
+        if got is not None:
+            return got
+        got = self.mixed.before.get(word)
         if got is None:
             first, *rest = self.cut(" " + word)
             if not rest:
