@@ -45,6 +45,7 @@ MAGIC = b"TLID3"
 TABLE = 400_000
 LOW = 0x2100  # code points whose classes are asked for
 TEXT = 1 << 22  # characters that are looked up at once
+_MARKS = ".,;:!?"
 _HIGH = re.compile(f"[^\0-{chr(LOW - 1)}]")
 
 
@@ -131,6 +132,9 @@ class Tokenizer:
     def _new(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.words[word]
+        head = word.rstrip(_MARKS)
+        if head.isascii() and head.isalpha():  # the marks after it are one piece
+            return self.words[head] + self.inner[word[len(head) :]]
         got = self.mixed.get(word)
         if got is not None:
             return got
@@ -149,7 +153,9 @@ class Tokenizer:
         words = cut_up.values.dictionary_encode()
         begin = cut_up.offsets.to_numpy()
         distinct = words.dictionary.to_numpy(zero_copy_only=False)
-        value = [self._new(w) if v is None else v for w, v in zip(distinct, map(self.words.get, distinct), strict=True)]
+        value = list(map(self.words.get, distinct))
+        for k in [k for k, v in enumerate(value) if v is None]:
+            value[k] = self._new(distinct[k])
         which = words.indices.to_numpy().copy()
         which[begin[:-1]] = np.arange(len(value), len(value) + len(texts))
         value += [b"".join(map(self.inner.__getitem__, self.cut(t.split(" ", 1)[0]))) for t in texts]
