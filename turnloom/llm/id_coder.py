@@ -34,7 +34,7 @@ import struct
 import numpy as np
 
 BLOCK, LANES, RUN = 1 << 21, 8192, 256
-EAGER, REST = 32, 16
+EAGER, REST = 12, 16
 _U = np.uint64
 _FULL, _FLOOR, _WORD = _U(2**64 - 1), _U(1 << 32), _U(32)
 _ONE = 12  # bits of a chance; with those of order 0 no more than a word

@@ -44,7 +44,7 @@ from turnloom.session import cut
 MAGIC = b"TLID3"
 TABLE = 400_000
 LOW = 0x2100  # code points whose classes are asked for
-TEXT = 1 << 22  # characters that are looked up at once
+TEXT = 6_000_000  # characters that are looked up at once
 _MARKS = ".,;:!?"
 _HIGH = re.compile(f"[^\0-{chr(LOW - 1)}]")
 
@@ -131,7 +131,11 @@ class Tokenizer:
 
     def _new(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
-            return self.words[word]
+            got = self.words.before.get(word)
+            if got is None:
+                got = array("I", [t.id for t in self.model.tokenize(self.blank + word)]).tobytes()
+            self.words[word] = got
+            return got
         head = word.rstrip(_MARKS)
         if head.isascii() and head.isalpha():  # the marks after it are one piece
             return self.words[head] + self.inner[word[len(head) :]]
@@ -268,8 +272,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         tok, out, uri = tokenizer(path), None, f"{folder}/{attempt_name()}"
         end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
-            for a in range(0, len(pdf), 1000):
-                some = pdf.iloc[a : a + 1000]
+            for a in range(0, len(pdf), 2500):
+                some = pdf.iloc[a : a + 2500]
                 coded = tok.encode([t if isinstance(t, str) else "" for t in some["text"]])
                 for d, known, ids in zip(some["doc_id"], some["known"], coded, strict=True):
                     out = out or Writer(uri, tok.bits())
