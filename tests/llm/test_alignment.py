@@ -107,3 +107,18 @@ def test_small_blocks_and_edges(spark, edge, none, monkeypatch):
     assert len(tool.text) == 0
     for k in ("n_a", "n_links", "held"):
         assert whole[k].tolist() == again[k].tolist()
+
+
+def test_large_rows_are_held_one_at_a_time(spark, monkeypatch):
+    """Writers and readers hold a row group, and a task of the last step few blocks, whatever the number of shuffle partitions."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 40)
+    rows = [(i, f"some words of text number {i} again") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in alignment.block_table(docs, A, B).inputFiles()]
+    sizes = [f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)]
+    assert sum(sizes) > 10 and max(sizes) == 1
+    got = alignment.align(docs, A, B)
+    assert got.rdd.getNumPartitions() >= sum(sizes) // alignment.TASK_BLOCKS > 4
+    assert rows_of(got) == sorted(expected(rows), key=repr)

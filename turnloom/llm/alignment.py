@@ -46,6 +46,8 @@ from turnloom.session import cut
 TABLE = 200_000
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 19  # of text that is cut up at once
+GROUP_ROWS = 1  # a block's row is about 7 MB; a reader holds a row group of each column
+TASK_BLOCKS = 2  # blocks that a task gets its counts back for
 SLICE = 1 << 16  # chunks whose (document, pair) rows are made distinct at once
 MARK = "▁"
 _TWO = re.compile(r"\s\s")
@@ -289,7 +291,7 @@ def block_table(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     src = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return cut(src.mapInPandas(run, _BLOCK))
+    return cut(src.mapInPandas(run, _BLOCK), GROUP_ROWS)
 
 
 def pair_counts(blocks: DataFrame, size_b: int) -> DataFrame:
@@ -305,9 +307,11 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     size_b = aligner(path_a, path_b).size_b
     blocks = block_table(docs, path_a, path_b)
+    # dealt by number of blocks: a partition leaves the JVM as one batch, whatever the number of shuffle partitions
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-blocks.select("block").count() // TASK_BLOCKS))
     wanted = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     found = wanted.join(pair_counts(blocks, size_b), "pair")
-    found = found.select("block", "place", (F.col("n") * 2 + F.col("best").cast("long")).alias("value"))
+    found = found.select("block", "place", (F.col("n") * 2 + F.col("best").cast("long")).alias("value")).repartition(tasks, "block")
     looked = found.groupBy("block").agg(F.collect_list(F.struct("place", "value")).alias("v"))  # one block's distinct pairs
     looked = looked.select("block", F.col("v.place").alias("at"), F.col("v.value").alias("value"))
 
@@ -333,5 +337,5 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                                     "n_best": out["n_best"], "count_sum": out["count_sum"], "groups_sha256": r.sha})
         release()
 
-    full = blocks.drop("pairs", "held").join(looked, "block", "left").drop("block")
+    full = blocks.drop("pairs", "held").repartition(tasks, "block").join(looked, "block", "left").drop("block")
     return full.mapInPandas(run, _DOCS)

@@ -41,14 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder, so that an iterative plan stays short.
 
     A written table costs one re-read when an executor is lost, carries true
     sizes into the next plan, and unlike a checkpointed plan no constraints
     that would grow from round to round.  The folder is scratch space.
+
+    The shuffle files behind it go as soon as it is written: nothing reads them again,
+    and the driver's collector would leave them for as long as it has memory.
+    ``group_rows``: rows of a row group at most, where rows are so large that
+    writers and readers must not hold many.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
